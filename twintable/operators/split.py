@@ -84,7 +84,7 @@ def tag_split(
 def _repeat(df: DataFrame, times: str, block: int = 4096) -> DataFrame:
     """Each row ``times`` times, a row with many copies spread over tasks."""
     blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / block))
-    spread = df.where(F.col(times) > 0).withColumn("_block", F.explode(blocks)).repartition()
+    spread = df.where(F.col(times) > 0).withColumn("_block", F.explode(blocks)).hint("rebalance")
     rest = F.least(F.lit(block).cast("bigint"), F.col(times) - F.col("_block") * block)
     return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), rest))).drop("_block", "_copy")
 
