@@ -181,9 +181,7 @@ def _(t):
     'SELECT n_nationkey AS nation_key_no, n_name AS "größe_2", n_regionkey AS "größe" FROM nation',
 )
 def _(t):
-    return standardize_columns(t.nation.toDF(" Nation Key (No.)", "Größe!", "größe").select(
-        " Nation Key (No.)", "größe", "Größe!"
-    ))
+    return standardize_columns(t.nation.select("n_nationkey", "n_regionkey", "n_name").toDF(" Nation Key (No.)", "größe", "Größe!"))
 
 
 @query(

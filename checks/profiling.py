@@ -29,14 +29,14 @@ COLUMNS = {
         "l_tax": "double",
         "l_returnflag": "string",
         "l_linestatus": "string",
-        "l_shipdate": "timestamp",
+        "l_shipdate": "timestamp_ntz",
     },
     "orders": {
         "o_orderkey": "bigint",
         "o_custkey": "bigint",
         "o_orderstatus": "string",
         "o_totalprice": "double",
-        "o_orderdate": "timestamp",
+        "o_orderdate": "timestamp_ntz",
         "o_orderpriority": "string",
     },
     "customer": {

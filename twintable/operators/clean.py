@@ -14,7 +14,7 @@ from twintable.functions.text import (
     squish,
     without_placeholder,
 )
-from twintable.spec import string_columns
+from twintable.spec import column, string_columns
 
 # Fixed values of the proxy label rule.
 EASY_MATERIALS = ("aluminum", "aluminium", "steel", "copper", "glass", "paper", "cardboard")
@@ -22,7 +22,7 @@ HARD_MATERIALS = ("composite", "mixed_composite", "unknown")
 
 
 def _with(df: DataFrame, columns: Iterable[str], change) -> DataFrame:
-    return df.withColumns({c: change(F.col(c)) for c in columns})
+    return df.withColumns({c: change(column(c)) for c in columns})
 
 
 def normalize_strings(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def _chosen(df: DataFrame, tests: dict[str, Column]) -> list[str]:
 
 def boolean_columns(df: DataFrame) -> list[str]:
     """String columns whose every non-null value is a boolean word."""
-    return _chosen(df, {c: F.bool_and(is_bool_word(F.col(c))) for c in string_columns(df)})
+    return _chosen(df, {c: F.bool_and(is_bool_word(column(c))) for c in string_columns(df)})
 
 
 def coerce_booleans(df: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def numeric_like_columns(df: DataFrame, min_rate: float = 0.95) -> list[str]:
     """String columns where more than ``min_rate`` of the non-nulls are numbers."""
 
     def test(name: str) -> Column:
-        c = F.col(name)
+        c = column(name)
         return F.count(_plain_number(c)) > F.lit(min_rate) * F.count(c)
 
     return _chosen(df, {c: test(c) & (F.count(c) > 0) for c in string_columns(df)})
@@ -93,12 +93,12 @@ def drop_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 def filled_columns(df: DataFrame) -> list[str]:
     """Columns with at least one value."""
-    return _chosen(df, {c: F.count(F.col(c)) > 0 for c in df.columns})
+    return _chosen(df, {c: F.count(column(c)) > 0 for c in df.columns})
 
 
 def drop_empty(df: DataFrame) -> DataFrame:
     """Drop columns without any value, then rows without any value."""
-    kept = df.select(*filled_columns(df))
+    kept = df.select(*[column(c) for c in filled_columns(df)])
     return kept.dropna(how="all") if kept.columns else kept
 
 
@@ -182,7 +182,7 @@ def require_classes(df: DataFrame, target: str, at_least: int = 2) -> DataFrame:
 
 
 def columns_with_nulls(df: DataFrame) -> list[str]:
-    return _chosen(df, {c: F.bool_or(F.col(c).isNull()) for c in df.columns})
+    return _chosen(df, {c: F.bool_or(column(c).isNull()) for c in df.columns})
 
 
 def require_complete(df: DataFrame) -> DataFrame:

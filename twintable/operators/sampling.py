@@ -257,7 +257,7 @@ class BayesNetwork(Sampler):
         h = subset_entropies(coded, self.nodes, min(self.degree + 1, len(self.nodes)))
         structure = None if self.epsilon is None else self.epsilon / 2
         self.network = choose_network(h, self.nodes, self.degree, self.rows, structure, self.seed)
-        self.tables = {node.name: self._conditional(coded, node) for node in self.network}
+        self.tables = self._conditionals(coded)
 
     def _bin_edges(self, real: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
         if not columns:
@@ -266,22 +266,43 @@ class BayesNetwork(Sampler):
         found = quantiles(real, columns, marks).collect()
         return {r["column"]: sorted(set(r[2:])) for r in found}
 
-    def _cell_counts(self, coded: DataFrame, node: Node) -> DataFrame:
-        keys = [F.col(p).alias(f"_p{i}") for i, p in enumerate(node.parents)]
-        return coded.groupBy(*keys, F.col(node.name).alias("_value")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-
-    def _conditional(self, coded: DataFrame, node: Node) -> tuple[DataFrame, int]:
-        """Per parent values: child values with cumulative shares, at most one per child value."""
-        keys = [f"_p{i}" for i in range(len(node.parents))]
-        counts = self._cell_counts(coded, node)
-        upto = Window.partitionBy(*keys, F.lit(0)).orderBy("_value")
-        whole = Window.partitionBy(*keys, F.lit(0))
-        shares = counts.select(
+    def _cell_counts(self, coded: DataFrame) -> DataFrame:
+        """``(_node, _p0.., _value, _n)`` of every node, rows fanning out over nodes in one pass."""
+        cells = [
+            F.struct(
+                F.lit(i).alias("_node"),
+                *[
+                    (F.col(node.parents[j]) if j < len(node.parents) else F.lit("")).alias(f"_p{j}")
+                    for j in range(self.degree)
+                ],
+                F.col(node.name).alias("_value"),
+            )
+            for i, node in enumerate(self.network)
+        ]
+        fanned = coded.select(F.inline(F.array(*cells)))
+        return fanned.groupBy(*fanned.columns).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+
+    def _conditionals(self, coded: DataFrame) -> dict[str, tuple[DataFrame, int]]:
+        """Per node and parent values: child values with cumulative shares.
+
+        A window or list holds the values of one child, at most ``max_values``.
+        """
+        keys = ["_node", *[f"_p{j}" for j in range(self.degree)]]
+        whole = Window.partitionBy(*keys)
+        upto = whole.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        shares = self._cell_counts(coded).select(
             *keys, "_value", (F.sum("_n").over(upto) / F.sum("_n").over(whole)).alias("_upto")
         )
-        packed = shares.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_upto", "_value"))).alias("_steps"))
-        table = materialize(packed)
-        return table, table.count()
+        steps = F.array_sort(F.collect_list(F.struct("_upto", "_value"))).alias("_steps")
+        packed = materialize(shares.groupBy(*keys).agg(steps))
+        sizes = {r["_node"]: r["k"] for r in packed.groupBy("_node").agg(F.count(F.lit(1)).alias("k")).collect()}
+        return {
+            node.name: (
+                packed.where(F.col("_node") == i).select(*[f"_p{j}" for j in range(len(node.parents))], "_steps"),
+                sizes.get(i, 0),
+            )
+            for i, node in enumerate(self.network)
+        }
 
     def _draw(self, rows: DataFrame, node: Node, seed: int) -> DataFrame:
         table, size = self.tables[node.name]
@@ -338,28 +359,33 @@ class PrivateBayesNetwork(BayesNetwork):
         super().__init__(degree, bins, max_values, seed)
         self.epsilon = epsilon
 
-    def _cell_counts(self, coded: DataFrame, node: Node) -> DataFrame:
+    def _cell_counts(self, coded: DataFrame) -> DataFrame:
         """Noisy counts over every possible cell, empty ones included."""
         spark = coded.sparkSession
-        columns = [*node.parents, node.name]
-        names = [f"_p{i}" for i in range(len(node.parents))] + ["_value"]
-        domains = {c: [] for c in columns}
         # at most max_values (or bins) values per column
-        for r in value_counts(coded, columns).select("column", "value").collect():
+        domains: dict[str, list[str]] = {c: [] for c in self.nodes}
+        for r in value_counts(coded, self.nodes).select("column", "value").collect():
             domains[r["column"]].append(r["value"])
-        cells = spark.range(math.prod(len(d) for d in domains.values()))
-        step, picks = 1, []
-        for c, name in zip(columns, names):
-            values = sorted(domains[c])
-            place = F.pmod(F.floor(F.col("id") / step), F.lit(len(values))).cast("int")
-            picks.append(F.get(F.array(*[F.lit(v) for v in values]), place).alias(name))
-            step *= len(values)
-        exact = super()._cell_counts(coded, node)
+        parts = []
+        for i, node in enumerate(self.network):
+            columns = [*node.parents, node.name]
+            places = [f"_p{j}" for j in range(len(node.parents))] + ["_value"]
+            step, picks = 1, {f"_p{j}": F.lit("") for j in range(self.degree)}
+            for c, place in zip(columns, places):
+                values = sorted(domains[c])
+                at = F.pmod(F.floor(F.col("id") / step), F.lit(len(values))).cast("int")
+                picks[place] = F.get(F.array(*[F.lit(v) for v in values]), at)
+                step *= len(values)
+            parts.append(spark.range(step).select(F.lit(i).alias("_node"), *[v.alias(k) for k, v in picks.items()]))
+        cells = parts[0]
+        for part in parts[1:]:
+            cells = cells.unionByName(part)
         scale = 2.0 * len(self.nodes) / (self.epsilon / 2)
-        noise = laplace(scale, _seed_of(self.seed, node.name), *[F.col(n) for n in names])
+        noise = laplace(scale, self.seed, *[F.col(c) for c in cells.columns])
         noisy = F.greatest(F.coalesce("_n", F.lit(0.0)) + noise, F.lit(0.0))
         # all cells at zero would leave nothing to draw from
-        return cells.select(*picks).join(exact, names, "left").select(*names, (noisy + F.lit(1e-9)).alias("_n"))
+        joined = cells.join(super()._cell_counts(coded), cells.columns, "left")
+        return joined.select(*cells.columns, (noisy + F.lit(1e-9)).alias("_n"))
 
 
 SAMPLERS = {

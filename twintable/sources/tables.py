@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from twintable.functions.text import NULL_TOKENS, NUMBER, WHOLE_NUMBER, missing_to_null, parse_double
-from twintable.spec import string_columns
+from twintable.spec import column, string_columns
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         return df
     tests = []
     for c in columns:
-        value = F.col(c)
+        value = column(c)
         tests += [
             (F.bool_and(value.rlike(WHOLE_NUMBER))).alias(f"w_{c}"),
             (F.bool_and(value.rlike(NUMBER))).alias(f"n_{c}"),
@@ -30,14 +30,14 @@ def infer_types(df: DataFrame) -> DataFrame:
     typed = {}
     for c in columns:
         if verdict[f"w_{c}"]:
-            typed[c] = F.trim(c).try_cast("bigint")
+            typed[c] = F.trim(column(c)).try_cast("bigint")
         elif verdict[f"n_{c}"]:
-            typed[c] = parse_double(F.col(c))
+            typed[c] = parse_double(column(c))
     return df.withColumns(typed)
 
 
 def null_tokens_to_null(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
-    return df.withColumns({c: missing_to_null(F.col(c), tokens) for c in string_columns(df)})
+    return df.withColumns({c: missing_to_null(column(c), tokens) for c in string_columns(df)})
 
 
 def read_table(

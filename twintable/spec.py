@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The columns of a product table that the default rules know.
 POSITIVE_COLUMNS = ("mass_g",)
@@ -35,6 +35,12 @@ class Roles:
     rules: Rules = field(default_factory=Rules)
 
 
+def column(name: str) -> Column:
+    """A column by its literal name, dots and all."""
+    quoted = name.replace("`", "``")
+    return F.col(f"`{quoted}`")
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
