@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from checks.registry import query
 from twintable.operators.documents import (
     carry_section,
     classify_lines,
-    document_cells,
     documents_to_table,
+    line_cells,
+    merge_cells,
+    sectioned_lines,
 )
 from twintable.operators.sheets import clean_sheet, promote_header
 from twintable.sources.tables import explode_lines
@@ -30,7 +32,7 @@ RENDERED = (
               'reset ' || o_orderstatus || ' || after' AS priority_terms_bullet_items, 'free text' AS priority_terms_notes FROM orders""",
 )
 def _(t):
-    return documents_to_table(explode_lines(t.sql(RENDERED), "o_orderkey", "text"))
+    return documents_to_table(t.sql(RENDERED), "o_orderkey")
 
 
 @query(
@@ -41,9 +43,12 @@ def _(t):
 )
 def _(t):
     lines = t.conversations.select(
-        F.col("conv_id").alias("file"), F.col("turn").alias("line_no"), F.concat_ws(": ", "role", "text").alias("line")
+        F.col("conv_id").alias("file"),
+        F.col("turn").alias("line_no"),
+        F.lit("document_header").alias("section"),
+        F.concat_ws(": ", "role", "text").alias("line"),
     )
-    return document_cells(lines)
+    return merge_cells(line_cells(classify_lines(lines)))
 
 
 KIND_SQL = r"""
@@ -74,6 +79,26 @@ def _(t):
     )
 
 
+JOINED_EVENTS = (
+    "SELECT user_id, array_join(transform(array_sort(collect_list(struct(event_id, line))), x -> x.line), '\\n') AS text FROM ("
+    "SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN '  ' || event_id || ')  Part ' || event_id"
+    " WHEN 'error' THEN 'IMPORTANT  NOTE' WHEN 'view' THEN '3) END OF DOCUMENT' ELSE event_type END AS line FROM {events}) GROUP BY user_id"
+)
+
+
+@query(
+    "sectioned_lines_events",
+    """WITH m AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place,
+                 CASE event_type WHEN 'signup' THEN 'part_' || event_id WHEN 'error' THEN 'important_note' END AS mark FROM events)
+       SELECT user_id AS file, place, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY place
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'document_header') AS section FROM m""",
+)
+def _(t):
+    lines = sectioned_lines(t.sql(JOINED_EVENTS), "user_id", "text").where(F.trim("line") != "")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+    return lines.select("file", place.alias("place"), "section")
+
+
 EVENT_LINES = (
     "SELECT user_id AS file, event_id AS line_no, CASE event_type WHEN 'signup' THEN '1) part ' || event_id"
     " WHEN 'error' THEN 'IMPORTANT NOTE' ELSE event_type END AS line FROM {events}"

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from twintable.functions.text import slug, squish, without_placeholder
+from twintable.session import materialize
 
 # How the lines of a document are told apart.
 END_MARK = "END OF DOCUMENT"
@@ -19,12 +20,19 @@ KEY_LINE = r"^([^:]+):\s*(.+)$"
 FIRST_SECTION = "document_header"
 JOINT = " || "
 
+# A line that opens a section, in a raw text.
+SECTION_START = (
+    r"(?U)(?<![^\r\n])(?![^\r\n]*END[^\S\r\n]+OF[^\S\r\n]+DOCUMENT)"
+    r"(?=[^\S\r\n]*(?:\d+\)[^\S\r\n]+\S|IMPORTANT[^\S\r\n]+NOTE))"
+)
+LINE_END = "\r\n|\r|\n"
+
 # Lines of one document that are carried in one window.
 CHUNK_LINES = 10_000
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
-    """``(file, line_no, kind, line, key, value)`` with white space tidied.
+    """Lines with white space tidied, and their ``kind``, ``key`` and ``value``.
 
     Kinds: blank, skip, section, note_section, title, bullet, pair, note.
     """
@@ -47,15 +55,39 @@ def classify_lines(lines: DataFrame) -> DataFrame:
         .when(F.col("kind") == "bullet", F.trim(F.regexp_replace(line, f"^{BULLET}+", "")))
         .when(F.col("kind").isin("title", "note"), line)
     )
+    kept = [c for c in lines.columns if c != "line"]
     return (
-        lines.select("file", "line_no", squish(line).alias("line"))
+        lines.select(*kept, squish(line).alias("line"))
         .withColumn("kind", kind)
         .withColumns({"key": key, "value": value})
     )
 
 
+def sectioned_lines(df: DataFrame, file: str, text: str) -> DataFrame:
+    """``(file, line_no, section, line)`` from one text per row, without a shuffle.
+
+    The text is cut in front of its section lines first, so every block knows
+    its section from its own first line.
+    """
+    blocks = df.select(
+        F.col(file).alias("file"), F.posexplode(F.split(F.col(text), SECTION_START)).alias("_block", "_text")
+    )
+    head = squish(F.element_at(F.split("_text", LINE_END, 2), 1))
+    title = (
+        F.when(head.contains(END_MARK), FIRST_SECTION)
+        .when(head.rlike(SECTION_LINE), F.regexp_extract(head, SECTION_LINE, 2))
+        .when(head.startswith(NOTE_SECTION), "important_note")
+        .otherwise(FIRST_SECTION)
+    )
+    return (
+        blocks.withColumn("section", slug(title))
+        .select("file", "_block", "section", F.posexplode(F.split("_text", LINE_END)).alias("_at", "line"))
+        .select("file", (F.col("_block").cast("bigint") * 2**31 + F.col("_at")).alias("line_no"), "section", "line")
+    )
+
+
 def carry_section(classified: DataFrame) -> DataFrame:
-    """Add the ``section`` (raw title) every line belongs to.
+    """Add the ``section`` (raw title) to lines that are already apart.
 
     A document may hold a third of all lines, so it is carried in chunks: the
     last title of each chunk is passed on over one row per chunk, and windows
@@ -79,11 +111,12 @@ def carry_section(classified: DataFrame) -> DataFrame:
 def line_cells(sectioned: DataFrame) -> DataFrame:
     """``(file, line_no, name, value, overwrite)``: what each line writes where.
 
-    Pairs and titles overwrite, bullets and notes append.
+    Pairs and titles overwrite, bullets and notes append. ``section`` holds
+    slugs already.
     """
     kept = sectioned.where(F.col("kind").isin("title", "bullet", "pair", "note"))
     tail = F.when(F.col("kind") == "bullet", "bullet_items").when(F.col("kind") == "note", "notes").otherwise(slug("key"))
-    name = F.when(F.col("kind") == "title", "document_title").otherwise(F.concat_ws("_", slug("section"), tail))
+    name = F.when(F.col("kind") == "title", "document_title").otherwise(F.concat_ws("_", "section", tail))
     return kept.select(
         "file", "line_no", name.alias("name"), "value", F.col("kind").isin("title", "pair").alias("overwrite")
     )
@@ -92,41 +125,50 @@ def line_cells(sectioned: DataFrame) -> DataFrame:
 def merge_cells(cells: DataFrame) -> DataFrame:
     """``(file, name, value)``: the last overwrite and what was appended after it.
 
-    Everything joined here belongs to one output cell.
+    One aggregate: overwrites fold to the last one, and the lists hold what one
+    output cell is made of.
     """
-    start = cells.groupBy("file", "name").agg(
-        F.max(F.when(F.col("overwrite"), F.col("line_no"))).alias("_start")
-    )
-    alive = cells.join(start, ["file", "name"]).where(
-        F.col("_start").isNull() | (F.col("line_no") >= F.col("_start"))
+    piece = F.struct("line_no", "value")
+    grouped = cells.groupBy("file", "name").agg(
+        F.max(F.when(F.col("overwrite"), piece)).alias("_last"),
+        F.collect_list(F.when(~F.col("overwrite") & F.col("value").isNotNull(), piece)).alias("_added"),
     )
-    pieces = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("line_no", "value"))))
-    texts = F.transform(pieces, lambda p: p.getField("value"))
-    return alive.groupBy("file", "name").agg(squish(F.array_join(texts, JOINT)).alias("value"))
+    start = F.coalesce(F.col("_last").getField("line_no"), F.lit(-1))
+    added = F.array_sort(F.filter("_added", lambda p: p.getField("line_no") > start))
+    base = F.array_compact(F.array(F.col("_last").getField("value")))
+    texts = F.concat(base, F.transform(added, lambda p: p.getField("value")))
+    return grouped.select("file", "name", squish(F.array_join(texts, JOINT)).alias("value"))
 
 
-def document_cells(lines: DataFrame) -> DataFrame:
-    """``(file, name, value)`` of all documents in long form."""
-    return merge_cells(line_cells(carry_section(classify_lines(lines))))
+def document_cells(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """``(file, name, value)`` of all documents in long form, with one shuffle."""
+    return merge_cells(line_cells(classify_lines(sectioned_lines(texts, file, text))))
 
 
 def documents_to_table(
-    lines: DataFrame, names: Sequence[str] | None = None, max_columns: int = 10_000, source_type: str = "text"
+    texts: DataFrame,
+    file: str = "file",
+    text: str = "text",
+    names: Sequence[str] | None = None,
+    max_columns: int = 10_000,
+    source_type: str = "text",
 ) -> DataFrame:
     """One row per document, one column per cell name that has a value anywhere.
 
     Without ``names`` they are looked up; more than ``max_columns`` is an error,
     as a table that wide is not what the documents mean.
     """
-    cells = document_cells(lines)
+    cells = document_cells(texts, file, text)
     if names is None:
+        cells = materialize(cells)
         found = cells.where(F.col("value").isNotNull()).select("name").distinct().limit(max_columns + 1).collect()
         if len(found) > max_columns:
             raise ValueError(f"more than {max_columns} cell names")
         names = sorted(r["name"] for r in found)
-    picks = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
-    files = lines.select("file").distinct()
-    table = cells.groupBy("file").agg(*picks) if picks else files
+    files = texts.select(F.col(file).alias("file"))
+    if not names:
+        return files.select(F.col("file").alias("source_file"), F.lit(source_type).alias("source_type"))
+    table = cells.groupBy("file").pivot("name", list(names)).agg(F.first("value"))
     return files.join(table, "file", "left").select(
         F.col("file").alias("source_file"), F.lit(source_type).alias("source_type"), *names
     )

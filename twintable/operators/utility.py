@@ -16,14 +16,14 @@ from twintable.operators.counts import paired_numeric_counts, paired_value_count
 EXACT_KS_ROWS = 10_000
 
 
-def ks_pvalue(d: float, n: int, m: int) -> float:
+def ks_pvalue(d: float, n: int, m: int, exact_rows: int = EXACT_KS_ROWS) -> float:
     """Two-sided p-value of a two-sample KS statistic.
 
     Exact: the chance that a random monotone lattice path from (0, 0) to (n, m)
     strays at least ``d`` from the diagonal, followed one anti-diagonal at a
-    time. Beyond ``EXACT_KS_ROWS``: the limiting Kolmogorov series.
+    time. Beyond ``exact_rows``: the limiting Kolmogorov series.
     """
-    if max(n, m) > EXACT_KS_ROWS:
+    if max(n, m) > exact_rows:
         x = d * math.sqrt(n * m / (n + m))
         if x < 0.2:
             return 1.0
@@ -44,14 +44,6 @@ def ks_pvalue(d: float, n: int, m: int) -> float:
     return float(stray[n])
 
 
-@F.pandas_udf(T.DoubleType())
-def _ks_pvalue(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if pd.isna(x) or not a or not b else ks_pvalue(x, int(a), int(b)) for x, a, b in zip(d, n, m)],
-        dtype=float,
-    )
-
-
 def ks_statistic(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, real_n, syn_n, ks_stat)``: largest gap of the two step functions."""
     totals = running_totals(paired_numeric_counts(real, syn, columns), ["real_n", "syn_n"])
@@ -79,13 +71,24 @@ def moments(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> DataFram
     return _moments(real, columns, "real").join(_moments(syn, columns, "syn"), "column")
 
 
-def numeric_distance(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> DataFrame:
+def numeric_distance(
+    real: DataFrame, syn: DataFrame, columns: Sequence[str], exact_rows: int = EXACT_KS_ROWS
+) -> DataFrame:
     """Moments, KS statistic and p-value per numeric column."""
+
+    @F.pandas_udf(T.DoubleType())
+    def pvalue(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        # one row per column
+        return pd.Series(
+            [None if pd.isna(x) else ks_pvalue(x, int(a), int(b), exact_rows) for x, a, b in zip(d, n, m)],
+            dtype=float,
+        )
+
     ks = ks_statistic(real, syn, columns)
     return (
         moments(real, syn, columns)
         .join(ks, "column", "left")
-        .withColumn("ks_pvalue", _ks_pvalue("ks_stat", "real_n", "syn_n"))
+        .withColumn("ks_pvalue", pvalue("ks_stat", "real_n", "syn_n"))
         .select("column", "real_mean", "syn_mean", "real_std", "syn_std", "ks_stat", "ks_pvalue")
     )
 

@@ -28,9 +28,9 @@ def prepare_flat(df: DataFrame, numeric: Sequence[str] = NUMERIC_CANDIDATES) ->
     return to_numeric(coerce_booleans(normalize_strings(slug_columns(df))), numeric)
 
 
-def prepare_documents(lines: DataFrame) -> DataFrame:
+def prepare_documents(texts: DataFrame) -> DataFrame:
     """Documents as one table; types are decided over all of them together."""
-    return coerce_booleans(documents_to_table(lines))
+    return coerce_booleans(documents_to_table(texts))
 
 
 def prepare_inputs(

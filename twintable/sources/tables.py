@@ -78,9 +78,8 @@ def explode_lines(df: DataFrame, file: str, text: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Text documents, one per file, as ``(file, line_no, line)``."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    return explode_lines(whole, "file", "value")
+    """Text documents, one per file, as ``(file, text)``."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
 def list_files(spark: SparkSession, patterns: dict[str, str]) -> DataFrame:
