@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from checks.registry import query
+from twintable.functions.text import squish
 from twintable.operators.documents import (
     carry_section,
     classify_lines,
     documents_to_table,
+    explode_lines,
     line_cells,
     merge_cells,
     sectioned_lines,
 )
 from twintable.operators.sheets import clean_sheet, promote_header
-from twintable.sources.tables import explode_lines
 
 RENDERED = (
     "SELECT o_orderkey, 'DIGITAL PRODUCT PASSPORT for ' || o_orderkey || '\\n====\\n\\nSome opening   remark\\n"
@@ -46,7 +47,7 @@ def _(t):
         F.col("conv_id").alias("file"),
         F.col("turn").alias("line_no"),
         F.lit("document_header").alias("section"),
-        F.concat_ws(": ", "role", "text").alias("line"),
+        squish(F.concat_ws(": ", "role", "text")).alias("line"),
     )
     return merge_cells(line_cells(classify_lines(lines)))
 
@@ -94,7 +95,7 @@ JOINED_EVENTS = (
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'document_header') AS section FROM m""",
 )
 def _(t):
-    lines = sectioned_lines(t.sql(JOINED_EVENTS), "user_id", "text").where(F.trim("line") != "")
+    lines = sectioned_lines(t.sql(JOINED_EVENTS), "user_id", "text").where(F.col("line").isNotNull())
     place = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
     return lines.select("file", place.alias("place"), "section")
 

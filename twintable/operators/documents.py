@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from twintable.functions.text import slug, squish, without_placeholder
+from twintable.functions.text import PLACEHOLDER, WHITE, slug, squish
 from twintable.session import materialize
 
 # How the lines of a document are told apart.
@@ -21,9 +21,10 @@ FIRST_SECTION = "document_header"
 JOINT = " || "
 
 # A line that opens a section, in a raw text.
+GAP = f"[{WHITE}&&[^\\r\\n]]"
 SECTION_START = (
-    r"(?U)(?<![^\r\n])(?![^\r\n]*END[^\S\r\n]+OF[^\S\r\n]+DOCUMENT)"
-    r"(?=[^\S\r\n]*(?:\d+\)[^\S\r\n]+\S|IMPORTANT[^\S\r\n]+NOTE))"
+    rf"(?<![^\r\n])(?=[{WHITE}]*(?:\d|IMPORTANT))(?![^\r\n]*END{GAP}+OF{GAP}+DOCUMENT)"
+    rf"(?={GAP}*(?:\d+\){GAP}+\S|IMPORTANT{GAP}+NOTE))"
 )
 LINE_END = "\r\n|\r|\n"
 
@@ -32,7 +33,7 @@ CHUNK_LINES = 10_000
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
-    """Lines with white space tidied, and their ``kind``, ``key`` and ``value``.
+    """Tidy lines with their ``kind``, ``key`` and ``value``.
 
     Kinds: blank, skip, section, note_section, title, bullet, pair, note.
     """
@@ -50,17 +51,28 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     key = F.when(F.col("kind") == "section", F.regexp_extract(line, SECTION_LINE, 2)).when(
         F.col("kind") == "pair", F.regexp_extract(line, KEY_LINE, 1)
     )
+    # a tidy line has no white space left around its parts
+    written = F.regexp_extract(line, KEY_LINE, 2)
     value = (
-        F.when(F.col("kind") == "pair", without_placeholder(F.regexp_extract(line, KEY_LINE, 2)))
+        F.when(F.col("kind") == "pair", F.when(~written.rlike(PLACEHOLDER), written))
         .when(F.col("kind") == "bullet", F.trim(F.regexp_replace(line, f"^{BULLET}+", "")))
         .when(F.col("kind").isin("title", "note"), line)
     )
-    kept = [c for c in lines.columns if c != "line"]
-    return (
-        lines.select(*kept, squish(line).alias("line"))
-        .withColumn("kind", kind)
-        .withColumns({"key": key, "value": value})
-    )
+    return lines.withColumn("kind", kind).withColumns({"key": key, "value": value})
+
+
+def tidy_lines(text: Column) -> Column:
+    """The lines of a text, each with its white space tidied.
+
+    Done before the lines are exploded, so that later conditions read a finished
+    column instead of repeating the clean-up.
+    """
+    return F.transform(F.split(text, LINE_END), squish)
+
+
+def explode_lines(df: DataFrame, file: str, text: str) -> DataFrame:
+    """``(file, line_no, line)``, lines tidied, from one text per row."""
+    return df.select(F.col(file).alias("file"), F.posexplode(tidy_lines(F.col(text))).alias("line_no", "line"))
 
 
 def sectioned_lines(df: DataFrame, file: str, text: str) -> DataFrame:
@@ -81,7 +93,7 @@ def sectioned_lines(df: DataFrame, file: str, text: str) -> DataFrame:
     )
     return (
         blocks.withColumn("section", slug(title))
-        .select("file", "_block", "section", F.posexplode(F.split("_text", LINE_END)).alias("_at", "line"))
+        .select("file", "_block", "section", F.posexplode(tidy_lines(F.col("_text"))).alias("_at", "line"))
         .select("file", (F.col("_block").cast("bigint") * 2**31 + F.col("_at")).alias("line_no"), "section", "line")
     )
 

@@ -71,12 +71,6 @@ def read_grid(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return named.select("file", row_no.alias("row_no"), *cells.columns)
 
 
-def explode_lines(df: DataFrame, file: str, text: str) -> DataFrame:
-    """``(file, line_no, line)`` from one text per row."""
-    lines = F.split(F.col(text), "\r\n|\r|\n")
-    return df.select(F.col(file).alias("file"), F.posexplode(lines).alias("line_no", "line"))
-
-
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text documents, one per file, as ``(file, text)``."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
