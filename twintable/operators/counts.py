@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from twintable.session import materialize
 
@@ -28,9 +28,30 @@ def _long_numbers(df: DataFrame, columns: Sequence[str], carry: Sequence[str] =
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, value, n)`` with values as text; null is a value of its own."""
+    """``(column, value, n)`` with values as text; null is a value of its own.
+
+    Numbers are grouped as numbers and only their distinct values turn to text.
+    """
     columns = list(columns or df.columns)
-    return _long_text(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    kinds = {f.name: f.dataType for f in df.schema}
+    whole = [c for c in columns if isinstance(kinds[c], T.IntegralType)]
+    real = [c for c in columns if isinstance(kinds[c], (T.DoubleType, T.FloatType))]
+    if not whole and not real:
+        return _long_text(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = []
+    for c in columns:
+        text = F.lit(None) if c in whole or c in real else F.col(c)
+        cells += [
+            F.lit(c),
+            text.cast("string"),
+            (F.col(c) if c in whole else F.lit(None)).cast("bigint"),
+            # + 0.0 folds negative zero into zero
+            (F.col(c).cast("double") + F.lit(0.0)) if c in real else F.lit(None).cast("double"),
+        ]
+    keys = ["column", "_text", "_whole", "_real"]
+    long = df.select(F.stack(F.lit(len(columns)), *cells).alias(*keys))
+    value = F.coalesce("_text", F.col("_whole").cast("string"), F.col("_real").cast("string")).alias("value")
+    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select("column", value, "n")
 
 
 def numeric_counts(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> DataFrame:

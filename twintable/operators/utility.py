@@ -131,10 +131,11 @@ def top_categories(shares: DataFrame, k: int = 5) -> DataFrame:
 
 def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], side: str) -> DataFrame:
     def one(a: str, b: str) -> Column:
-        r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-        if a == b:
-            # 1 where the column varies, as a full matrix has it
-            r = F.when(F.stddev_pop(F.col(a).cast("double")) > 0, F.lit(1.0))
+        # only rows with both values count; a constant side leaves it undefined
+        x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
+        y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        r = F.when(spread > 0, F.lit(1.0) if a == b else F.try_divide(F.covar_pop(x, y), spread))
         clean = F.when(r.isNull() | F.isnan(r), F.lit(0.0)).otherwise(r)
         return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), clean.alias(f"{side}_corr"))
 

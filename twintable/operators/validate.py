@@ -120,13 +120,13 @@ def row_overlap(real: DataFrame, syn: DataFrame) -> DataFrame:
     Both tables fold to distinct rows in one shuffle; nothing is joined.
     """
     pairs = paired_row_counts(real, align(syn, real))
-    n = F.sum("syn_n")
+    n = F.nullif(F.sum("syn_n"), F.lit(0).cast("bigint"))
     repeats = F.sum(F.when(F.col("syn_n") > 0, F.col("syn_n") - 1).otherwise(0))
     hits = F.sum(F.when(F.col("real_n") > 0, F.col("syn_n")).otherwise(0))
     return pairs.agg(
         F.coalesce(n, F.lit(0)).cast("bigint").alias("rows"),
         F.coalesce(repeats / n, F.lit(0.0)).alias("duplicate_row_rate"),
-        F.coalesce(F.when(n > 0, hits / n), F.lit(0.0)).alias("exact_overlap_rate"),
+        F.coalesce(hits / n, F.lit(0.0)).alias("exact_overlap_rate"),
     )
 
 
