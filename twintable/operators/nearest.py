@@ -32,7 +32,7 @@ from twintable.operators.validate import _with_known_flags
 from twintable.session import materialize
 from twintable.spec import feature_types
 
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 8192
 BLOCK_ROWS = 8192
 TILE_CELLS = 2_000_000
 
@@ -122,7 +122,7 @@ class _Points:
         self.weights = pdf[space.weights].to_numpy(float)
 
 
-def _square_distances(q: _Points, r: _Points, rows: slice, deviations: list[float]) -> np.ndarray:
+def _square_distances(q: _Points, r: _Points, rows: slice | np.ndarray, deviations: list[float]) -> np.ndarray:
     """Squares between some rows of ``q`` and all of ``r``; ``q`` must use the lexicon of ``r``."""
     total = np.zeros((len(q.x[rows]), len(r.x)))
     for j, deviation in enumerate(deviations):
@@ -262,13 +262,13 @@ def nearest_distances(points: DataFrame, queries: DataFrame, space: Space, skip_
 
     def roam(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivots = _Points(pivot_rows, space)
-        between = np.sqrt(np.vstack([s for _, s in to_pivots(pivot_rows, pivots)]))
         for pdf in batches:
             homes, bound = pdf["cell"].to_numpy(), np.sqrt(pdf["bound"].to_numpy())
             for tile, square in to_pivots(pdf, pivots):
                 reach, own = np.sqrt(square), homes[tile]
                 floor = np.maximum(reach - outer, inner - reach)
-                apart = between[own]
+                used, place = np.unique(own, return_inverse=True)
+                apart = np.sqrt(_square_distances(pivots, pivots, used, deviations))[place]
                 mine = np.take_along_axis(square, own[:, None], axis=1)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = np.where(apart > 0, (square - mine) / (2 * apart), 0.0)

@@ -32,12 +32,11 @@ def test_quotas(df: DataFrame, target: str | None, share: float = 0.2) -> DataFr
         )
     exact = F.col("rows") * F.lit(test_rows) / F.lit(total)
     whole = sizes.select("stratum", "rows", F.floor(exact).alias("floor"), (exact - F.floor(exact)).alias("rest"))
-    # here classes <= test rows; only the class sizes are ordered
     left_over = F.lit(test_rows) - whole.select(F.sum("floor")).scalar()
-    rank = F.row_number().over(Window.orderBy(F.desc("rest"), "stratum"))
-    return whole.select(
-        "stratum", "rows", (F.col("floor") + (rank <= left_over).cast("int")).cast("bigint").alias("quota")
-    )
+    ordered = whole.withColumns({"_all": F.lit(0), "_one": F.lit(1), "_down": -F.col("rest")})
+    ranked = running_totals(ordered, ["_one"], key="_all", order=("_down", "stratum"))
+    more = (F.col("upto__one") <= left_over).cast("int")
+    return ranked.select("stratum", "rows", (F.col("floor") + more).cast("bigint").alias("quota"))
 
 
 def _stratum(quotas: DataFrame, target: str | None):
@@ -58,10 +57,10 @@ def tag_split(
     quotas = materialize(test_quotas(df, target, share))
     digest = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))), 256)
     hashed = df.withColumns({"_stratum": _stratum(quotas, target), "_digest": digest}).withColumn(
-        "_prefix", F.substring("_digest", 1, 3)
+        "_prefix", F.substring("_digest", 1, 4)
     )
     prefixes = hashed.groupBy("_stratum", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 4096 prefixes per class
+    # at most 65536 prefixes per class
     upto = F.sum("_n").over(Window.partitionBy("_stratum").orderBy("_prefix"))
     cuts = materialize(
         prefixes.select("_stratum", "_prefix", "_n", upto.alias("_upto"))
