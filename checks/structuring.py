@@ -95,7 +95,7 @@ JOINED_EVENTS = (
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'document_header') AS section FROM m""",
 )
 def _(t):
-    lines = sectioned_lines(t.sql(JOINED_EVENTS), "user_id", "text").where(F.col("line").isNotNull())
+    lines = sectioned_lines(t.sql(JOINED_EVENTS), "user_id", "text").where(F.col("line") != "")
     place = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
     return lines.select("file", place.alias("place"), "section")
 

@@ -24,7 +24,8 @@ PLACEHOLDER = r"(?i)^\((enter|verify).*\)$"
 
 # Fixed value: white space, Unicode's included. Spelled out because the regex
 # flag for it makes every match several times slower.
-WHITE = r"\s\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = r" \t\f\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = BLANK + r"\r\n"
 
 NUMBER = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
 WHOLE_NUMBER = r"^\s*[+-]?\d{1,18}\s*$"

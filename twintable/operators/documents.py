@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from twintable.functions.text import PLACEHOLDER, WHITE, slug, squish
+from twintable.functions.text import BLANK, PLACEHOLDER, slug, squish
 from twintable.session import materialize
 
 # How the lines of a document are told apart.
@@ -20,13 +20,8 @@ KEY_LINE = r"^([^:]+):\s*(.+)$"
 FIRST_SECTION = "document_header"
 JOINT = " || "
 
-# A line that opens a section, in a raw text.
-GAP = f"[{WHITE}&&[^\\r\\n]]"
-SECTION_START = (
-    rf"(?<![^\r\n])(?=[{WHITE}]*(?:\d|IMPORTANT))(?![^\r\n]*END{GAP}+OF{GAP}+DOCUMENT)"
-    rf"(?={GAP}*(?:\d+\){GAP}+\S|IMPORTANT{GAP}+NOTE))"
-)
-LINE_END = "\r\n|\r|\n"
+# Where a section starts in a tidied text.
+SECTION_START = r"(?<![^\n])(?=\d+\) \S|IMPORTANT NOTE)(?![^\n]*END OF DOCUMENT)"
 
 # Lines of one document that are carried in one window.
 CHUNK_LINES = 10_000
@@ -39,7 +34,7 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     kind = (
-        F.when(line.isNull(), "blank")
+        F.when(line.isNull() | (line == ""), "blank")
         .when(line.contains(END_MARK) | line.rlike(RULE_LINE), "skip")
         .when(line.rlike(SECTION_LINE), "section")
         .when(line.startswith(NOTE_SECTION), "note_section")
@@ -61,18 +56,15 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("kind", kind).withColumns({"key": key, "value": value})
 
 
-def tidy_lines(text: Column) -> Column:
-    """The lines of a text, each with its white space tidied.
-
-    Done before the lines are exploded, so that later conditions read a finished
-    column instead of repeating the clean-up.
-    """
-    return F.transform(F.split(text, LINE_END), squish)
+def tidy_text(text: Column) -> Column:
+    """A text whose lines are trimmed, single spaced and end in a line feed."""
+    spaced = F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
+    return F.regexp_replace(spaced, " ?(?:\r\n|\r|\n) ?", "\n")
 
 
 def explode_lines(df: DataFrame, file: str, text: str) -> DataFrame:
     """``(file, line_no, line)``, lines tidied, from one text per row."""
-    return df.select(F.col(file).alias("file"), F.posexplode(tidy_lines(F.col(text))).alias("line_no", "line"))
+    return df.select(F.col(file).alias("file"), F.posexplode(F.split(tidy_text(F.col(text)), "\n")).alias("line_no", "line"))
 
 
 def sectioned_lines(df: DataFrame, file: str, text: str) -> DataFrame:
@@ -82,9 +74,9 @@ def sectioned_lines(df: DataFrame, file: str, text: str) -> DataFrame:
     its section from its own first line.
     """
     blocks = df.select(
-        F.col(file).alias("file"), F.posexplode(F.split(F.col(text), SECTION_START)).alias("_block", "_text")
+        F.col(file).alias("file"), F.posexplode(F.split(tidy_text(F.col(text)), SECTION_START)).alias("_block", "_text")
     )
-    head = squish(F.element_at(F.split("_text", LINE_END, 2), 1))
+    head = F.substring_index("_text", "\n", 1)
     title = (
         F.when(head.contains(END_MARK), FIRST_SECTION)
         .when(head.rlike(SECTION_LINE), F.regexp_extract(head, SECTION_LINE, 2))
@@ -93,7 +85,7 @@ def sectioned_lines(df: DataFrame, file: str, text: str) -> DataFrame:
     )
     return (
         blocks.withColumn("section", slug(title))
-        .select("file", "_block", "section", F.posexplode(tidy_lines(F.col("_text"))).alias("_at", "line"))
+        .select("file", "_block", "section", F.posexplode(F.split("_text", "\n")).alias("_at", "line"))
         .select("file", (F.col("_block").cast("bigint") * 2**31 + F.col("_at")).alias("line_no"), "section", "line")
     )
 
