@@ -26,13 +26,16 @@ def local_session(cores: str | int = "*", app: str = "twintable") -> SparkSessio
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where the session names none.
+    Where the session names none, a local master gets a temporary folder; on a cluster a
+    folder of the driver's machine would lose rows, so that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc.getCheckpointDir() is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="twintable-"))
     return sc.getCheckpointDir()
 
