@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twintable.session import shared_dir
@@ -36,7 +37,7 @@ def utf8(text: Column) -> Column:
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose ``column`` holds about ``limit`` bytes; a longer value comes alone."""
     values = batch.column(batch.schema.get_field_index(column))
-    sizes = np.frombuffer(pa.compute.fill_null(pa.compute.binary_length(values), 0).cast(pa.int64()).to_numpy(zero_copy_only=False), dtype=np.int64)
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
@@ -88,7 +89,7 @@ def _changes(batch, keys) -> np.ndarray:
         c = batch.column(k)
         if isinstance(c, pa.ChunkedArray):
             c = c.combine_chunks()
-        out |= np.asarray(pa.compute.fill_null(pa.compute.not_equal(c.slice(1), c.slice(0, n - 1)), True).to_numpy(zero_copy_only=False), dtype=bool)
+        out |= np.asarray(pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), True).to_numpy(zero_copy_only=False), dtype=bool)
     return np.flatnonzero(out) + 1
 
 
@@ -122,3 +123,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``n`` vertices the smallest one that the pairs connect it to."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        if (root == before).all():
+            break
+    return root

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twintable.llm import chat_template, decontaminate, hash_tree, secret_scan
+from twintable.llm import chat_template, decontaminate, hash_tree, metric_join, ngram_join, secret_scan, toxicity
 from twintable.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,18 @@ def op10_chat_template(spark, sf_dir):
     hard = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
     return chat_template.chat_digests(chat_template.format_conversations(rows.union(more)))
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+@query
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_metric_join(spark, sf_dir):
+    return metric_join.metric_join(table(spark, sf_dir, "embeddings"))
