@@ -1,9 +1,10 @@
 """Toxicity by two Kneser-Ney models of characters, one for each label.
 
-Each class has its own counts of five characters in a row; where it hasn't seen what follows
-four characters, both fall back on one smoothed distribution that they share. As the shared
-part cancels, the ratio of the two likelihoods of a character depends on five characters
-alone: it is worked out once for each in Spark and looked up while scoring.
+Each class has its own counts of characters after the beginning of their word, or after four
+characters further on; where it hasn't seen what follows, both fall back on one smoothed
+distribution that they share. As the shared part cancels, the ratio of the two likelihoods
+depends on a character and what it is seen after alone: it is worked out once for each in
+Spark and looked up while scoring.
 """
 
 from __future__ import annotations
@@ -16,25 +17,30 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from twintable.llm.common import keep, slices
 
-ORDER = 5
-BITS = 12
+#: A character is seen after its whole word up to ``PREFIX`` characters, further on after ``ORDER`` - 1.
+ORDER, PREFIX = 5, 8
+BITS = 7
 DISCOUNT = 0.75
-#: Sizes of the two lookup tables that go to the executors, whatever the corpus: primes, 4 bytes each.
-GRAM_SLOTS, CONTEXT_SLOTS = 4_194_301, 1_048_573
+#: Sizes of the two lookup tables that go to the executors, whatever the corpus: primes, 2 bytes each.
+GRAM_SLOTS, CONTEXT_SLOTS = 8_388_593, 2_097_143
 #: Labelled rows that weigh the features against each other; the models themselves count all the others.
 CALIBRATION_ROWS = 20_000
-FEATURES = 4
-_WIDE = 2048
+FEATURES = 5
+#: Mean ratio from which a word counts as one that speaks for toxicity.
+STRONG = 1.5
+_WIDE, _GAP, _DIGIT = 2048, 127, 27
 
 
 def _alphabet() -> np.ndarray:
-    """Letters stay, digits are one character, the rest is a gap."""
-    out = np.full(_WIDE, 32, dtype=np.int64)
+    """Numbers of characters: a to z, digits as one, Latin letters with marks, the other letters dealt to what is left; the rest are gaps."""
+    out = np.full(_WIDE, _GAP, dtype=np.int64)
     for c in range(_WIDE):
-        if chr(c).isalpha():
-            out[c] = c
+        if "a" <= chr(c) <= "z":
+            out[c] = c - 96
         elif chr(c).isdigit():
-            out[c] = 48
+            out[c] = _DIGIT
+        elif chr(c).isalpha():
+            out[c] = c - 0xDF + 28 if 0xDF <= c <= 0xFF else 61 + c % 66
     return out
 
 
@@ -42,33 +48,39 @@ _ALPHABET = _alphabet()
 
 
 def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Five characters in a row as numbers, the text each belongs to, and whether the last is a gap.
+    """Each character with what it is seen after as a number, the text it belongs to, and whether it is a gap.
 
-    A text is lower case between gaps, runs of gaps are one, and stands after four gaps.
+    A text is lower case between gaps, runs of gaps are one, and stands after a gap.
     """
     parts, sizes = [], []
     for text in texts:
         raw = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        c = np.where(raw < _WIDE, _ALPHABET[np.minimum(raw, _WIDE - 1)], _WIDE + (raw & (_WIDE - 1)))
+        c = np.where(raw < _WIDE, _ALPHABET[np.minimum(raw, _WIDE - 1)], 61 + raw % 66)
         if len(c):
-            c = np.append(c, 32)
-            gap = c == 32
+            c = np.append(c, _GAP)
+            gap = c == _GAP
             c = c[~gap | np.append(True, ~gap[:-1])]
-            if c[0] == 32:
+            if c[0] == _GAP:
                 c = c[1:]
         sizes.append(len(c))
-        parts += [np.full(ORDER - 1, 32, dtype=np.int64), c]
+        parts += [np.full(PREFIX, _GAP, dtype=np.int64), c]
     chars = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    if len(chars) < ORDER:
+    sizes = np.array(sizes, dtype=np.int64)
+    if not sizes.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    whole = np.zeros(len(chars) - ORDER + 1, dtype=np.int64)
-    for i in range(ORDER):
-        whole = (whole << BITS) | chars[i : len(chars) - ORDER + 1 + i]
-    sizes = np.array(sizes)
-    starts = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
+    whole = np.zeros(len(chars) - PREFIX, dtype=np.int64)
+    for i in range(PREFIX + 1):
+        whole = (whole << BITS) | chars[i : len(chars) - PREFIX + i]
+    place = np.arange(len(chars))
+    gap_at = np.maximum.accumulate(np.where(chars == _GAP, place, 0))
+    inside = place[1:] - gap_at[:-1]  # characters since the last gap, this one included
+    inside = inside[PREFIX - 1 :]
+    keep_ = np.where(inside <= PREFIX, inside + 1, ORDER)
+    whole &= (np.int64(1) << (BITS * keep_)) - 1
+    starts = np.cumsum(sizes + PREFIX) - (sizes + PREFIX)
     mine = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    return whole[at], mine, chars[at + ORDER - 1] == 32
+    return whole[at], mine, chars[at + PREFIX] == _GAP
 
 
 def _count(batches):
@@ -84,7 +96,7 @@ def _count(batches):
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """Counts of each five characters in texts with label 1 and 0: gram, toxic, plain, from text, toxic."""
+    """Counts of each character with what it is seen after, in texts with label 1 and 0: gram, toxic, plain, from text, toxic."""
     part = texts.select("text", F.col("toxic").cast("long")).mapInArrow(_count, "gram long, toxic long, plain long")
     return part.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
@@ -118,7 +130,7 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
 
 
 def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Logs of toxic over plain likelihood: of each five characters seen, and for others after four seen ones."""
+    """Logs of toxic over plain likelihood: of each gram seen, and for others after a context seen."""
     by = F.shiftright("gram", BITS).alias("context")
     context = grams.groupBy(by).agg(
         *[F.sum(c).alias(f"{c}_all") for c in ("toxic", "plain")], *[F.count_if(F.col(c) > 0).alias(f"{c}_kinds") for c in ("toxic", "plain")]
@@ -143,7 +155,7 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _slots(df: DataFrame, column: str, size: int) -> np.ndarray:
     """The mean ratio by slot, not a number where nothing is; at most ``size`` rows come to the driver."""
     rows = df.groupBy((F.col(column) % size).cast("int").alias("slot")).agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).cast("float").alias("ratio")).toArrow()
-    out = np.full(size, np.nan, dtype=np.float32)
+    out = np.full(size, np.nan, dtype=np.float16)
     out[rows.column("slot").to_numpy()] = rows.column("ratio").to_numpy()
     return out
 
@@ -158,7 +170,7 @@ class Model:
     share: float
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text: mean log ratio of a character, and that of the three most toxic words."""
+        """Of each text: mean log ratio of a character, that of the three most toxic words, how many words are as toxic."""
         found, mine, gap = codes(texts)
         out = np.zeros((len(texts), FEATURES))
         if not len(found):
@@ -166,7 +178,7 @@ class Model:
         each = self.grams[found % GRAM_SLOTS]
         new = np.flatnonzero(np.isnan(each))
         each[new] = self.contexts[(found[new] >> BITS) % CONTEXT_SLOTS]
-        each = np.nan_to_num(each).astype(np.float64)
+        each = np.nan_to_num(each.astype(np.float64))
         sizes = np.bincount(mine, minlength=len(texts))
         out[:, 0] = np.bincount(mine, weights=each, minlength=len(texts)) / np.maximum(sizes, 1)
         first = np.flatnonzero(np.append(True, gap[:-1] | (mine[1:] != mine[:-1])))
@@ -176,9 +188,10 @@ class Model:
         words, of = words[order], of[order]
         starts = np.searchsorted(of, np.arange(len(texts)))
         rank = np.arange(len(of)) - starts[of]
-        for k in range(FEATURES - 1):
+        for k in range(3):
             here = rank == k
             out[of[here], 1 + k] = words[here]
+        out[:, 4] = np.log1p(np.bincount(of, weights=words > STRONG, minlength=len(texts)))
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
