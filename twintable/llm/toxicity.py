@@ -25,9 +25,9 @@ DISCOUNT = 0.75
 GRAM_SLOTS, CONTEXT_SLOTS = 8_388_593, 2_097_143
 #: Labelled rows that weigh the features against each other; the models themselves count all the others.
 CALIBRATION_ROWS = 20_000
-FEATURES = 5
-#: Mean ratio from which a word counts as one that speaks for toxicity.
-STRONG = 1.5
+FEATURES = 6
+#: Log ratio from which a word speaks for toxicity.
+STRONG = 3.0
 _WIDE, _GAP, _DIGIT = 2048, 127, 27
 
 
@@ -182,7 +182,7 @@ class Model:
         sizes = np.bincount(mine, minlength=len(texts))
         out[:, 0] = np.bincount(mine, weights=each, minlength=len(texts)) / np.maximum(sizes, 1)
         first = np.flatnonzero(np.append(True, gap[:-1] | (mine[1:] != mine[:-1])))
-        words = np.add.reduceat(each, first) / np.sqrt(np.diff(np.append(first, len(each))))
+        words = np.add.reduceat(each, first)
         of = mine[first]
         order = np.lexsort((-words, of))
         words, of = words[order], of[order]
@@ -191,7 +191,9 @@ class Model:
         for k in range(3):
             here = rank == k
             out[of[here], 1 + k] = words[here]
-        out[:, 4] = np.log1p(np.bincount(of, weights=words > STRONG, minlength=len(texts)))
+        over = np.maximum(words - STRONG, 0)
+        out[:, 4] = np.log1p(np.bincount(of, weights=over > 0, minlength=len(texts)))
+        out[:, 5] = np.log1p(np.bincount(of, weights=over, minlength=len(texts)))
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
