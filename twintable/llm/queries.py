@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twintable.llm import chat_template, decontaminate, hash_tree, metric_join, ngram_join, secret_scan, toxicity
-from twintable.llm.common import table
+from twintable.llm import chat_template, decontaminate, hash_tree, metric_join, ngram_join, secret_scan, toxicity, warc
+from twintable.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,12 @@ def op1_ngram_jaccard_join(spark, sf_dir):
 @query
 def op7_metric_join(spark, sf_dir):
     return metric_join.metric_join(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_warc(spark, sf_dir):
+    folder = scratch(spark)
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    back = warc.read_warc(spark, folder)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
