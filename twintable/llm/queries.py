@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twintable.llm import chat_template, decontaminate, hash_tree, metric_join, ngram_join, secret_scan, toxicity, warc
+from twintable.llm import byte_bpe, chat_template, decontaminate, hash_tree, metric_join, ngram_join, secret_scan, toxicity, warc
 from twintable.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op4_warc(spark, sf_dir):
     back = warc.read_warc(spark, folder)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
+
+
+@query
+def op3_byte_bpe(spark, sf_dir):
+    return byte_bpe.token_digests(table(spark, sf_dir, "documents"), "doc_id", "text", byte_bpe.public_ranks())
