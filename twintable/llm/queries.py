@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twintable.llm import byte_bpe, chat_template, decontaminate, hash_tree, metric_join, ngram_join, secret_scan, toxicity, warc
+from twintable.llm import byte_bpe, chat_template, decontaminate, hash_tree, metric_join, ngram_join, secret_scan, suffix_dedup, toxicity, warc
 from twintable.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op4_warc(spark, sf_dir):
 @query
 def op3_byte_bpe(spark, sf_dir):
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), "doc_id", "text", byte_bpe.public_ranks())
+
+
+@query
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))

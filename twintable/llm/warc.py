@@ -27,6 +27,8 @@ from twintable.llm.common import keep, utf8
 RANGE_BYTES, FILE_BYTES = 32 << 20, 16 << 20
 #: Ids sampled for each border between ranges; the driver holds 8 bytes for each.
 SAMPLES = 32
+#: Tasks that read the files of an archive.
+MOST_TASKS = 100_000
 #: Dates of archives that are to be the same each time they are written.
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -270,4 +272,5 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         if rows:
             yield flush()
 
-    return names.repartition("name").mapInArrow(run, _RECORD)
+    files = names.count()  # a number of its own, so that names, small as they are, aren't put into one task
+    return names.repartition(max(1, min(files, MOST_TASKS)), "name").mapInArrow(run, _RECORD)
