@@ -103,7 +103,7 @@ def _pairs(least: float):
                     continue
                 x = unit(np.frombuffer(b"".join(raw.take(pa.array(at)).to_pylist()), dtype=np.float64).reshape(len(at), -1))
                 halves = (np.arange(len(at)), np.arange(len(at))) if same[s] else (np.flatnonzero(~side[at]), np.flatnonzero(side[at]))
-                rows, columns = [], []
+                rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for k in range(0, len(halves[0]), 256):
                     i, j = np.nonzero(x[halves[0][k : k + 256]] @ x[halves[1]].T >= least)
                     i, j = halves[0][i + k], halves[1][j]

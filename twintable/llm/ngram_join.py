@@ -117,6 +117,8 @@ def pruned(own: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray
     """Pairs of sketches that survive: of ``own`` with itself, each once, or with ``other``."""
     rows, columns = [], []
     right = own if other is None else other
+    if not len(own) or not len(right):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     for at in range(0, len(own), 128):
         left = own[at : at + 128]
         same = (left[:, None, :STEP] == right[None, :, :STEP]).sum(axis=2, dtype=np.uint8)
