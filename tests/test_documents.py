@@ -28,45 +28,24 @@ END OF DOCUMENT (really)
 """
 
 
-def parse_by_hand(text):
-    """The same rules, one line at a time."""
-    import re
-
-    from twintable.functions.text import slug_text
-
-    section, out = "document_header", {}
-
-    def add(key, value):
-        out[key] = f"{out[key]} || {value}" if out.get(key) else value
-
-    for raw in text.splitlines():
-        line = " ".join(raw.split())
-        if not line or "END OF DOCUMENT" in line or re.fullmatch("[-=]+", line):
-            continue
-        if m := re.match(r"\d+\)\s+(.+)$", line):
-            section = slug_text(m[1])
-        elif line.startswith("IMPORTANT NOTE"):
-            section = "important_note"
-        elif line.startswith("DIGITAL PRODUCT PASSPORT"):
-            out["document_title"] = line
-        elif line.startswith("•"):
-            add(f"{section}_bullet_items", line.lstrip("•").strip())
-        elif m := re.match(r"([^:]+):\s*(.+)$", line):
-            blank = re.match(r"\((enter|verify).*\)$", m[2], re.I)
-            out[f"{section}_{slug_text(m[1])}"] = None if blank else m[2]
-        else:
-            add(f"{section}_notes", line)
-    return {k: v for k, v in out.items() if v is not None}
+CELLS = {
+    "document_title": "DIGITAL PRODUCT PASSPORT (TXT) — Box",
+    "document_header_notes": "Loose remark",
+    "important_note_notes": "first line",
+    "important_note_key": "in note",
+    "size_weight_mass": "4 kg",
+    "size_weight_bullet_items": "one || two",
+    "size_weight_notes": "replaced || more words",
+    "size_weight_recycled": "yes",
+}
 
 
 def test_document_table(spark):
     other = TEXT.replace("4 kg", "5 kg").replace("\n", "\r\n") + "trailing: 1\r\n"
     df = spark.createDataFrame([("a.txt", TEXT), ("b.txt", other), ("empty.txt", "\n")], "file string, text string")
     rows = {r["source_file"]: r.asDict() for r in documents_to_table(df).collect()}
-    for name, text in (("a.txt", TEXT), ("b.txt", other)):
-        got = {k: v for k, v in rows[name].items() if v is not None and not k.startswith("source_")}
-        assert got == parse_by_hand(text)
-    assert rows["a.txt"]["size_weight_notes"] == "replaced || more words"
+    for name, cells in (("a.txt", CELLS), ("b.txt", CELLS | {"size_weight_mass": "5 kg", "size_weight_trailing": "1"})):
+        assert {k: v for k, v in rows[name].items() if v is not None and not k.startswith("source_")} == cells
     assert all(v is None for k, v in rows["empty.txt"].items() if not k.startswith("source_"))
 
 

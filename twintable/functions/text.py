@@ -28,7 +28,7 @@ BLANK = r" \t\f\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u2
 WHITE = BLANK + r"\r\n"
 
 NUMBER = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
-WHOLE_NUMBER = r"^\s*[+-]?\d{1,18}\s*$"
+WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
 
 def missing_to_null(c: Column, tokens=NULL_TOKENS) -> Column:

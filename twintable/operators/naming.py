@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -17,15 +19,13 @@ def standard_name(name: str) -> str:
 
 def number_repeats(names: Iterable[str]) -> list[str]:
     """Make names unique by appending ``_2``, ``_3``, ..."""
-    taken: set[str] = set()
-    unique = []
+    uses: Counter[str] = Counter()
+    unique: dict[str, None] = {}
     for name in names:
-        choice, n = name, 2
-        while choice in taken:
-            choice, n = f"{name}_{n}", n + 1
-        taken.add(choice)
-        unique.append(choice)
-    return unique
+        uses[name] += 1
+        numbers = itertools.count(uses[name])
+        unique[next(c for n in numbers if (c := f"{name}_{n}" if n > 1 else name) not in unique)] = None
+    return list(unique)
 
 
 def standardize_columns(df: DataFrame) -> DataFrame:

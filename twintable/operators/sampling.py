@@ -64,14 +64,16 @@ class Sampler:
     def generate(self, count: int = 0, seed: int = 42) -> DataFrame:
         """``count`` rows, or as many as were fitted when 0."""
         made = self._generate(count or self.rows, seed)
-        return made.select(*[self._shape(f) for f in self.schema])
+        types = {f.name: f.dataType for f in made.schema}
+        return made.select(*[self._shape(f, types[f.name]) for f in self.schema])
 
     @staticmethod
-    def _shape(f: T.StructField) -> Column:
+    def _shape(f: T.StructField, made: T.DataType) -> Column:
+        """The fitted type; only numbers that a sampler drew as doubles are cut down to whole ones."""
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.IntegralType):
-            c = F.round(c.cast("double"))
-        return c.cast(f.dataType).alias(f.name)
+        if isinstance(f.dataType, T.IntegralType) and isinstance(made, T.DoubleType):
+            c = F.floor(c)
+        return (c if made == f.dataType else c.cast(f.dataType)).alias(f.name)
 
     def _fit(self, real: DataFrame) -> None:
         raise NotImplementedError
@@ -98,8 +100,16 @@ class UniformDomain(Sampler):
 
     def _fit(self, real: DataFrame) -> None:
         self.numeric = numeric_columns(real)
-        rest = [c for c in real.columns if c not in self.numeric]
-        limits = [g(F.col(c).cast("double")).alias(f"{n}_{c}") for c in self.numeric for n, g in (("lo", F.min), ("hi", F.max))]
+        whole = {f.name for f in real.schema if isinstance(f.dataType, T.IntegralType)}
+        strings = {f.name for f in real.schema if isinstance(f.dataType, T.StringType)}
+        self.whole = [c for c in self.numeric if c in whole]
+        rest = [c for c in real.columns if c in strings and c not in self.numeric]
+        typed = [c for c in real.columns if c not in strings and c not in self.numeric]
+
+        def bound(g, c):
+            return g(F.col(c) if c in whole else F.col(c).cast("double"))
+
+        limits = [bound(g, c).alias(f"{n}_{c}") for c in self.numeric for n, g in (("lo", F.min), ("hi", F.max))]
         found = real.agg(F.count(F.lit(1)), *limits).first()
         self.limits = {c: (found[f"lo_{c}"], found[f"hi_{c}"]) for c in self.numeric}
         self.domains = {}
@@ -112,15 +122,23 @@ class UniformDomain(Sampler):
                     (F.col("upto_n") - 1).cast("bigint").alias(f"_at_{c}"), F.col("value").alias(c)
                 )
                 self.domains[c] = (sizes.get(c, 0), domain)
+        for c in typed:  # dates, flags and nested values keep their type
+            seen = materialize(number_rows(real.select(c).where(F.col(c).isNotNull()).distinct()))
+            self.domains[c] = (seen.count(), seen.select(F.col("_row").alias(f"_at_{c}"), c))
 
     def _generate(self, count: int, seed: int) -> DataFrame:
         rows = _draws(SparkSession.active(), count)
         for c, (lo, hi) in self.limits.items():
-            value = F.lit(None).cast("double") if lo is None else F.lit(lo) + uniform(_seed_of(seed, c), F.col("_id")) * (hi - lo)
+            if lo is None:
+                value = F.lit(None).cast("double")
+            elif c in self.whole:  # every whole number of the range alike
+                value = F.lit(lo).cast("bigint") + uniform_index(F.lit(hi - lo + 1), _seed_of(seed, c), F.col("_id"))
+            else:
+                value = F.lit(lo) + uniform(_seed_of(seed, c), F.col("_id")) * (hi - lo)
             rows = rows.withColumn(c, value)
         for c, (size, domain) in self.domains.items():
             if size == 0:
-                rows = rows.withColumn(c, F.lit(None).cast("string"))
+                rows = rows.withColumn(c, F.lit(None).cast(self.schema[c].dataType))
                 continue
             # few values would make hot join keys, so they are sent out instead
             domain = F.broadcast(domain) if size <= BROADCAST_ROWS else domain
@@ -334,6 +352,9 @@ class BayesNetwork(Sampler):
         at = code.cast("int")
         lo = F.get(edges, at)
         hi = F.coalesce(F.get(edges, at + 1), lo)
+        if isinstance(self.schema[name].dataType, T.IntegralType):
+            # Whole numbers of a bin alike: it ends below the next edge, the last one with it.
+            hi = F.when(at >= len(self.edges[name]) - 2, hi + 1).otherwise(F.greatest(hi, lo + 1))
         return (lo + uniform(_seed_of(seed + 1, name), F.col("_id")) * (hi - lo)).alias(name)
 
     def _generate(self, count: int, seed: int) -> DataFrame:

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twintable.functions.text import NULL_TOKENS, NUMBER, WHOLE_NUMBER, missing_to_null, parse_double
+from twintable.session import materialize
 from twintable.spec import column, string_columns
 
 
 def infer_types(df: DataFrame) -> DataFrame:
     """Whole numbers and numbers for string columns whose every value is one.
 
+    Whole numbers become bigint, beyond it decimals of 38 digits, beyond those they stay
+    text: no digit is lost.
+
     All columns are judged in one aggregate; nothing but its one row reaches
     the driver.
     """
@@ -22,15 +29,22 @@ def infer_types(df: DataFrame) -> DataFrame:
     tests = []
     for c in columns:
         value = column(c)
+        whole = F.when(value.rlike(WHOLE_NUMBER), F.trim(value))
         tests += [
             (F.bool_and(value.rlike(WHOLE_NUMBER))).alias(f"w_{c}"),
+            (F.bool_and(value.isNull() | whole.try_cast("bigint").isNotNull())).alias(f"b_{c}"),
+            (F.bool_and(value.isNull() | whole.try_cast("decimal(38,0)").isNotNull())).alias(f"d_{c}"),
             (F.bool_and(value.rlike(NUMBER))).alias(f"n_{c}"),
         ]
     verdict = df.agg(*tests).first()
     typed = {}
     for c in columns:
-        if verdict[f"w_{c}"]:
+        if verdict[f"w_{c}"] and verdict[f"b_{c}"]:
             typed[c] = F.trim(column(c)).try_cast("bigint")
+        elif verdict[f"w_{c}"] and verdict[f"d_{c}"]:
+            typed[c] = F.trim(column(c)).try_cast("decimal(38,0)")
+        elif verdict[f"w_{c}"]:
+            continue  # whole numbers of more digits stay text, a double would change them
         elif verdict[f"n_{c}"]:
             typed[c] = parse_double(column(c))
     return df.withColumns(typed)
@@ -50,25 +64,61 @@ def read_table(
 ) -> DataFrame:
     """A flat table. CSV cells equal to a null token become null, then types follow.
 
-    Formats with types of their own are read as they are. ``multi_line`` allows
-    line breaks inside quoted cells, at the price of files that cannot be split.
+    Files with different headers are put together by column name; a column that a file
+    lacks is null there. Formats with types of their own are read as they are.
+    ``multi_line`` allows line breaks inside quoted cells, at the price of files that
+    cannot be split.
     """
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
+    raw = None
+    for files in same_header(spark, path):
+        part = spark.read.csv(files, header=True, inferSchema=False, multiLine=multi_line, escape='"')
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
     table = null_tokens_to_null(raw, null_tokens)
     return infer_types(table) if infer else table
 
 
+def same_header(spark: SparkSession, path: str | list[str]) -> list[str | list[str]]:
+    """The files of ``path`` in groups of one header line each; one group is the path itself.
+
+    Only first lines leave the executors, one for each different header.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    kinds = materialize(first).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy(F.element_at("files", 1)).collect()
+    return [path] if len(kinds) < 2 else [r["files"] for r in kinds]
+
+
+_GRID = pa.schema([("file", pa.string()), ("row_no", pa.int64()), ("cells", pa.list_(pa.string()))])
+
+
+def _grid_rows(batches):
+    for batch in batches:
+        for file, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            rows = csv.reader(io.StringIO(text, newline=""))
+            found = [{"file": file, "row_no": i, "cells": [c if c else None for c in row]} for i, row in enumerate(rows, 1)]
+            for start in range(0, len(found), 10_000):
+                yield pa.RecordBatch.from_pylist(found[start : start + 10_000], schema=_GRID)
+
+
 def read_grid(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A headerless sheet exported as CSV: ``file, row_no`` and text cells ``c1..cN``."""
-    raw = spark.read.csv(path, header=False, inferSchema=False, multiLine=True, escape='"')
-    cells = raw.toDF(*[f"c{i + 1}" for i in range(len(raw.columns))])
-    order = F.monotonically_increasing_id()
-    named = cells.select(F.col("_metadata.file_name").alias("file"), order.alias("_order"), "*")
-    # multiLine keeps a file in one task, so the order within it is its row order
-    row_no = F.row_number().over(Window.partitionBy("file").orderBy("_order"))
-    return named.select("file", row_no.alias("row_no"), *cells.columns)
+    cells = read_cells(spark, path)
+    width = cells.agg(F.max(F.size("cells"))).first()[0] or 1
+    return cells.select("file", "row_no", *[F.get("cells", F.lit(i)).alias(f"c{i + 1}") for i in range(max(1, width))])
+
+
+def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Sheets exported as CSV: ``file, row_no, cells``, each row with the cells it has.
+
+    Blank lines are rows without cells, so ``row_no`` is the place in the file. A sheet is
+    one task's work, as a quoted cell may hold line breaks.
+    """
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return materialize(texts.mapInArrow(_grid_rows, "file string, row_no long, cells array<string>"))
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
