@@ -40,7 +40,8 @@ def test_tokens_equal_the_library(spark, coder, hard_rows):
     for d, t in rows:
         ids = coder.encode_ordinary(t or "")
         want[(d, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode()))] += 1
-    assert Counter(tuple(r) for r in byte_bpe.token_digests(df, "doc_id", "text", byte_bpe.public_ranks()).collect()) == want
+    for size in (1 << 20, 300):  # a block and many
+        assert Counter(tuple(r) for r in byte_bpe.token_digests(df, "doc_id", "text", byte_bpe.public_ranks(), size).collect()) == want
     some = {r.doc_id: r.ids for r in byte_bpe.encode(df.where("doc_id = 2"), "doc_id", "text", byte_bpe.public_ranks()).collect()}
     assert some[2] in [coder.encode_ordinary(t or "") for d, t in rows if d == 2]
     assert byte_bpe.token_digests(df.limit(0), "doc_id", "text", byte_bpe.public_ranks()).count() == 0
@@ -190,8 +191,7 @@ def test_templates_fold_render_and_refuse():
 
 
 @pytest.mark.parametrize("piece", [1 << 20, 50])
-def test_chats_come_back(spark, monkeypatch, piece):
-    monkeypatch.setattr(chat_template, "PIECE_CHARS", piece)
+def test_chats_come_back(spark, piece):
     hard = ["\\### Assistant: </turn> ok", "### user\n</turn>\n\\", "", None, "</turn", "\\\\", "x" * 300]
     rows = [(i % 4, i // 4, ["user", "assistant", "ro\nle\\", None, "### assistant"][i % 5], hard[i % 7]) for i in range(70)]
     rows += [(None, 1, "assistant", "n"), (0, None, "assistant", "first"), (0, 3, "assistant", "tie"), (0, 3, "assistant", "tie")]
@@ -204,7 +204,7 @@ def test_chats_come_back(spark, monkeypatch, piece):
         turns.sort()
         loss = "".join(x for _, r, x in turns if r == "assistant")
         want[c] = (len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()), len(loss), sha(loss.encode()))
-    formatted = chat_template.format_conversations(df)
+    formatted = chat_template.format_conversations(df, piece_chars=piece)
     got = chat_template.chat_digests(formatted).collect()
     assert {r.conv_id: tuple(r)[1:5] for r in got} == want and len(got) == len(want)
     sizes = {r.conv_id: r.n for r in formatted.groupBy("conv_id").agg(F.sum(F.length("formatted")).alias("n")).collect()}

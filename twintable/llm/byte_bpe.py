@@ -26,7 +26,7 @@ BLOCK_BYTES = 12 << 20
 #: Larger than any rank: the pair is no token.
 NONE = 1 << 30
 #: Slots of the literal rank map and of its displacements; primes whose product exceeds 2**32.
-SLOTS, SHIFTS = 262_139, 65_521
+SLOTS, SHIFTS = 131_071, 65_521
 
 
 def public_ranks() -> str:
@@ -99,8 +99,11 @@ def encode_bytes(data: Column, ranks: Ranks) -> Column:
     A fold over the word's pairs: each step merges the leftmost pair of least rank and looks
     up the two pairs that the new token forms with its neighbours.
     """
-    slots, shifts = _literal(ranks.slots, "bigint"), _literal(ranks.shifts, "int")
+    tables = F.struct(_literal(ranks.slots, "bigint").alias("slots"), _literal(ranks.shifts, "int").alias("shifts"))
+    return _let(tables, lambda t: _fold(data, t["slots"], t["shifts"], ranks))
 
+
+def _fold(data: Column, slots: Column, shifts: Column, ranks: Ranks) -> Column:
     def merged(pair: Column) -> Column:
         entry = F.get(slots, (pair % SLOTS + F.get(shifts, (pair % SHIFTS).cast("int"))) % SLOTS)
         return F.when(F.shiftright(entry, 16) == pair, entry.bitwiseAND(F.lit(0xFFFF).cast("bigint"))).otherwise(F.lit(NONE).cast("bigint")).cast("int")
@@ -152,36 +155,40 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
-def _blocks(batches):
+def _blocks(block_bytes: int):
     """Documents of a block as one row: keys, words of each, place of each word among the distinct ones, those as bytes."""
-    for batch in batches:
-        keys, lists = batch.column(0), batch.column(1)
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        text = np.frombuffer(lists.values.buffers()[1], dtype=np.int32)[lists.values.offset :] if len(lists.values) else np.zeros(1, np.int32)
-        at = text[ends]
-        start = 0
-        while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(at, at[start] + BLOCK_BYTES, side="right")) - 1)
-            own = lists.values.slice(ends[start], ends[stop] - ends[start])
-            coded = own.dictionary_encode()
-            found = coded.dictionary.cast(pa.binary())
-            edge = np.frombuffer(found.buffers()[1], dtype=np.int32)[: len(found) + 1] if len(found) else np.zeros(1, np.int32)
-            data = np.frombuffer(found.buffers()[2], dtype=np.uint8)[: edge[-1]].astype(np.int16) if len(found) and edge[-1] else np.zeros(0, np.int16)
-            row = {
-                "keys": pa.ListArray.from_arrays(pa.array([0, stop - start], pa.int32()), keys.slice(start, stop - start)),
-                "sizes": pa.array([np.diff(ends[start : stop + 1]).astype(np.int32)], pa.list_(pa.int32())),
-                "places": pa.array([coded.indices.to_numpy().astype(np.int32).tobytes()], pa.binary()),
-                "words": pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.ListArray.from_arrays(pa.array(edge), pa.array(data))),
-            }
-            yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
-            start = stop
-
-
-def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks) -> DataFrame:
+
+    def run(batches):
+        for batch in batches:
+            keys, lists = batch.column(0), batch.column(1)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            text = np.frombuffer(lists.values.buffers()[1], dtype=np.int32)[lists.values.offset :] if len(lists.values) else np.zeros(1, np.int32)
+            at = text[ends]
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(at, at[start] + block_bytes, side="right")) - 1)
+                own = lists.values.slice(ends[start], ends[stop] - ends[start])
+                coded = own.dictionary_encode()
+                found = coded.dictionary.cast(pa.binary())
+                edge = np.frombuffer(found.buffers()[1], dtype=np.int32)[: len(found) + 1] if len(found) else np.zeros(1, np.int32)
+                data = np.frombuffer(found.buffers()[2], dtype=np.uint8)[: edge[-1]].astype(np.int16) if len(found) and edge[-1] else np.zeros(0, np.int16)
+                row = {
+                    "keys": pa.ListArray.from_arrays(pa.array([0, stop - start], pa.int32()), keys.slice(start, stop - start)),
+                    "sizes": pa.array([np.diff(ends[start : stop + 1]).astype(np.int32)], pa.list_(pa.int32())),
+                    "places": pa.array([coded.indices.to_numpy().astype(np.int32).tobytes()], pa.binary()),
+                    "words": pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.ListArray.from_arrays(pa.array(edge), pa.array(data))),
+                }
+                yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
+                start = stop
+
+    return run
+
+
+def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of documents with ``ids`` and ``pieces``, tokens and decoded bytes of their distinct words."""
     kind = dict(df.dtypes)[key]
     cut = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
-    blocks = cut.mapInArrow(_blocks, f"keys array<{kind}>, sizes array<int>, places binary, words array<array<smallint>>")
+    blocks = cut.mapInArrow(_blocks(block_bytes), f"keys array<{kind}>, sizes array<int>, places binary, words array<array<smallint>>")
     blocks = blocks.select("keys", "sizes", "places", F.transform("words", lambda w: _let(encode_bytes(w, ranks), lambda ids: F.struct(ids.alias("ids"), decode_ids(ids, ranks).alias("piece")))).alias("coded"))
     return blocks.select("keys", "sizes", "places", F.col("coded.ids").alias("ids"), F.col("coded.piece").alias("pieces"))
 
@@ -205,7 +212,7 @@ def _digests(batches):
             parts = max(1, -(-len(places) // 500_000))
             each = max(1, -(-len(keys) // parts))
             lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-            said = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.flatten().cast(pa.string())), " ") if len(ids) else pa.array([], pa.string())
+            said = pc.binary_join(pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), ids.flatten().cast(pa.string())), " ") if len(ids) else pa.array([], pa.string())
             for start in range(0, len(keys), each):
                 stop = min(len(keys), start + each)
                 own, edge = places[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
@@ -226,7 +233,7 @@ def _digests(batches):
                 )
 
 
-def token_digests(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
+def token_digests(df: DataFrame, key: str, text: str, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 for each row of ``df``.
 
     ``ids_sha256`` is of the decimal ids joined by one space, ``decoded_sha256`` of the bytes
@@ -236,7 +243,7 @@ def token_digests(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     without a break are slow.
     """
     kind = dict(df.dtypes)[key]
-    blocks = encoded_blocks(df, key, text, load(path))
+    blocks = encoded_blocks(df, key, text, load(path), block_bytes)
     out = blocks.mapInArrow(_digests, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)
 

@@ -443,11 +443,11 @@ def _flush(out: dict, schema: pa.Schema):
 
 
 def format_conversations(
-    df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", template: str = CHAT
+    df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", template: str = CHAT, piece_chars: int = PIECE_CHARS
 ) -> DataFrame:
     """Conversations written by ``template`` with ``messages`` of ``role`` and ``text``.
 
-    A row per conversation, or several where it is longer than about ``PIECE_CHARS``:
+    A row per conversation, or several where it is longer than about ``piece_chars``:
     conversation, ``piece`` from 0, ``formatted`` and ``generated``, the spans of generated
     characters within the piece (code points, end exclusive). Turns go by ``turn``, ties by
     role and text, nulls first; null roles and texts are empty; a null conversation is one
@@ -475,12 +475,12 @@ def format_conversations(
             for c, turns in itertools.groupby(rows, key=lambda row: row[0]):
                 texts, spans, at, piece = [], [], 0, 0
                 for marked, part in itertools.chain(render({"messages": ({"role": r, "text": x} for _, r, x in turns)}), [(False, None)]):
-                    if at >= PIECE_CHARS or part is None and (at or not piece):
+                    if at >= piece_chars or part is None and (at or not piece):
                         for k, v in zip(out, (c, piece, "".join(texts), spans), strict=True):
                             out[k].append(v)
                         held += at + 64
                         texts, spans, at, piece = [], [], 0, piece + 1
-                        if held >= PIECE_CHARS:
+                        if held >= piece_chars:
                             yield _flush(out, schema)
                             held = 0
                     if part:
