@@ -1,9 +1,9 @@
 """Byte-level byte-pair encoding and decoding by higher-order functions.
 
-Texts are cut into words by Spark's own regular expressions. The distinct words of a block
-of documents are folded, pair by pair in order of rank, by an expression over their bytes with
-the ranks as literals; documents take the tokens of their words from the block. Nothing is
-shuffled, so the work of a block doesn't depend on how often a word occurs elsewhere.
+Texts are cut into words by Spark's own regular expressions. A block of documents keeps its
+distinct words and the place of each word among them. The distinct words of all blocks are
+folded once, pair by pair in order of rank, by an expression over their bytes with the ranks
+as literals; blocks get the tokens of their words back, and documents take them from there.
 """
 
 from __future__ import annotations
@@ -16,13 +16,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from twintable.llm.common import keep
+
 #: White space, and the pattern of words of the vocabulary, in Java's syntax.
 SPACE = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE}\\p{{L}}\\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Text bytes of a block of documents; a longer document is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 32 << 20
 #: Larger than any rank: the pair is no token.
 NONE = 1 << 30
 #: Slots of the literal rank map and of its displacements; primes whose product exceeds 2**32.
@@ -155,10 +158,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
 
 
+def byte_values(word: Column) -> Column:
+    """The bytes of a word in UTF-8 as numbers."""
+    as_chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    return F.transform(F.sequence(F.lit(1), F.length(as_chars)), lambda i: F.ascii(F.substring(as_chars, i, F.lit(1))))
+
+
 def _blocks(block_bytes: int):
-    """Documents of a block as one row: keys, words of each, place of each word among the distinct ones, those as bytes."""
+    """Documents of a block as one row: number, keys, words of each, place of each word among the distinct ones, those."""
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             keys, lists = batch.column(0), batch.column(1)
             ends = lists.offsets.to_numpy().astype(np.int64)
@@ -167,42 +177,62 @@ def _blocks(block_bytes: int):
             start = 0
             while start < batch.num_rows:
                 stop = max(start + 1, int(np.searchsorted(at, at[start] + block_bytes, side="right")) - 1)
-                own = lists.values.slice(ends[start], ends[stop] - ends[start])
-                coded = own.dictionary_encode()
-                found = coded.dictionary.cast(pa.binary())
-                edge = np.frombuffer(found.buffers()[1], dtype=np.int32)[: len(found) + 1] if len(found) else np.zeros(1, np.int32)
-                data = np.frombuffer(found.buffers()[2], dtype=np.uint8)[: edge[-1]].astype(np.int16) if len(found) and edge[-1] else np.zeros(0, np.int16)
+                coded = lists.values.slice(ends[start], ends[stop] - ends[start]).dictionary_encode()
+                places = coded.indices.to_numpy().astype(np.int32)
                 row = {
+                    "block": pa.array([number], pa.int64()),
                     "keys": pa.ListArray.from_arrays(pa.array([0, stop - start], pa.int32()), keys.slice(start, stop - start)),
                     "sizes": pa.array([np.diff(ends[start : stop + 1]).astype(np.int32)], pa.list_(pa.int32())),
-                    "places": pa.array([coded.indices.to_numpy().astype(np.int32).tobytes()], pa.binary()),
-                    "words": pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), pa.ListArray.from_arrays(pa.array(edge), pa.array(data))),
+                    # Byte by byte of all places, which packs better.
+                    "places": pa.array([places.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()),
+                    "words": pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary),
                 }
                 yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
-                start = stop
+                start, number = stop, number + 1
 
     return run
 
 
+def encoded_words(words_: DataFrame, ranks: Ranks) -> DataFrame:
+    """word, ids, piece of the distinct words of a table: tokens, and the bytes they decode to."""
+    return (
+        words_.select("word").distinct()
+        .withColumn("ids", encode_bytes(byte_values(F.col("word")), ranks))
+        .withColumn("piece", decode_ids(F.col("ids"), ranks))
+    )
+
+
 def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents with ``ids`` and ``pieces``, tokens and decoded bytes of their distinct words."""
+    """Blocks of documents with ``found``, the tokens and decoded bytes of their distinct words by place.
+
+    Blocks are bounded by ``block_bytes``, so the words that come back to one are too. A word
+    of every block meets one row of its tokens; both sides of that join are written tables,
+    whose skew Spark can split.
+    """
     kind = dict(df.dtypes)[key]
     cut = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
-    blocks = cut.mapInArrow(_blocks(block_bytes), f"keys array<{kind}>, sizes array<int>, places binary, words array<array<smallint>>")
-    blocks = blocks.select("keys", "sizes", "places", F.transform("words", lambda w: _let(encode_bytes(w, ranks), lambda ids: F.struct(ids.alias("ids"), decode_ids(ids, ranks).alias("piece")))).alias("coded"))
-    return blocks.select("keys", "sizes", "places", F.col("coded.ids").alias("ids"), F.col("coded.piece").alias("pieces"))
+    blocks = keep(cut.mapInArrow(_blocks(block_bytes), f"block long, keys array<{kind}>, sizes array<int>, places binary, words array<string>"), "zstd")
+    each = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    coded = keep(encoded_words(each, ranks), "zstd")
+    found = each.join(coded, "word").groupBy("block").agg(F.collect_list(F.struct("at", "ids", "piece")).alias("found"))
+    return blocks.drop("words").join(found, "block", "left").select("keys", "sizes", "places", "found")
 
 
 def _documents(blocks: pa.RecordBatch):
     """For each block: keys, ends of documents in words, places, ids and pieces of the distinct words."""
     for i in range(blocks.num_rows):
         sizes = blocks.column(1)[i].values.to_numpy()
+        raw = np.frombuffer(blocks.column(2)[i].as_py(), dtype=np.uint8)
+        found = blocks.column(3)[i].values
+        if found is None:  # a block without words
+            found = pa.array([], blocks.column(3).type.value_type)
+        order = pa.array(np.argsort(found.field(0).to_numpy(), kind="stable"))
         yield (
             blocks.column(0)[i].values,
             np.concatenate([[0], np.cumsum(sizes)]),
-            np.frombuffer(blocks.column(2)[i].as_py(), dtype=np.int32),
-            blocks.column(3)[i].values,
-            blocks.column(4)[i].values,
+            np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel(),
+            found.field(1).take(order),
+            found.field(2).take(order),
         )
 
 
