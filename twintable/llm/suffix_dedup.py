@@ -208,8 +208,8 @@ def _all(windows: Column) -> Column:
 def _resolved(reps: DataFrame, width: int) -> DataFrame:
     """Runs of repeated windows of different records: core, whole, n (places), windows, left, data."""
     reps = keep(reps)
-    kinds = reps.groupBy("core").agg(F.count("*").alias("kinds"))
-    known = keep(reps.join(kinds.where("kinds > 1"), "core"))
+    kinds = keep(reps.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    known = keep(reps.join(kinds, "core"))
     out = reps.where("n > 1").select("core", "whole", _all(F.col("windows")).alias("runs"))
     small = known.where(F.col("kinds") <= COLLECTION).select("core", "whole", "n", "windows", "left", "data")
     out = out.union(whole_groups(small, ["core"], _by_columns, _FOUND, 2048))
@@ -255,11 +255,12 @@ def removed_runs(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = dict(df.dtypes)[key]
     docs = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("sum"), utf8(F.col(text)).alias("bytes"))
     found = keep(docs.where(F.octet_length("bytes") >= LENGTH).mapInArrow(_read, f"key {kind}, sum long, first long, windows int, left int, core long, whole long"), "zstd")
-    cores = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # Written down, so that the join is one of two scans, whose hot cores Spark can split.
+    cores = keep(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     often = keep(found.join(cores, "core"), "zstd")
     place = F.struct("key", "sum", "first")
     each = keep(often.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(place).alias("place"), F.first("windows").alias("windows"), F.first("left").alias("left")))
-    mixed = each.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
+    mixed = keep(each.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"))
     r, d = keep(each.join(mixed, "core")).alias("r"), docs.alias("d")
     # Texts by key and hash; where rows repeat both, any of them will do.
     texts = d.join(r, F.col("d.key").eqNullSafe(F.col("r.place.key")) & (F.col("d.sum") == F.col("r.place.sum")))
