@@ -158,7 +158,7 @@ def metric_join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", l
         pivots[r["label"]] = [bytes(x[0]) for x in own.collect()]
     placed = sets.mapInArrow(_cells(pivots, sqrt(2 - 2 * cosine)), sets.withColumns({"cell": F.lit(0), "visit": F.lit(False)}).schema)
     placed = keep(placed)
-    counts = placed.groupBy("label", "cell").agg(F.count("*").alias("n"))
+    counts = keep(placed.groupBy("label", "cell").agg(F.count("*").alias("n")))
     dealt = placed.join(counts, ["label", "cell"]).withColumns(
         {"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1))}
     )

@@ -261,7 +261,8 @@ def _classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     )
     bands = sets.select("digest", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.substring("sketch", b * (2 * BAND) + 1, F.lit(2 * BAND)).alias("part")))).alias("x"))
     bands = bands.select("digest", F.xxhash64("x.band", "x.part").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # Written down, so that the join is one of two scans, whose hot buckets Spark can split.
+    shared = keep(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     met = bands.join(shared, "bucket").join(sets.select("digest", "sketch"), "digest")
     tiles = _tiles(met, "n", "digest", BLOCK).select("bucket", "tile_a", "tile_b", "side", "digest", "sketch")
     groups = components(keep(whole_groups(tiles, ["bucket", "tile_a", "tile_b"], _candidate_edges, "a binary, b binary").distinct()))

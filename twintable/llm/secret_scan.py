@@ -84,7 +84,8 @@ def ownership(found: DataFrame) -> DataFrame:
 def _judged(rows: DataFrame, example_owners: int) -> DataFrame:
     """Candidates of kept ``rows`` (id, owner, repo, found), one a row, with ``live``."""
     each = rows.where(F.size("found") > 0).select("id", "owner", "repo", F.explode("found").alias("f")).select("id", "owner", "repo", "f.*")
-    known = ownership(each).select("hash", (F.col("n_owners") < example_owners).alias("live"))
+    # Written down, so that the join is one of two scans, whose hot values Spark can split.
+    known = keep(ownership(each).select("hash", (F.col("n_owners") < example_owners).alias("live")))
     return each.join(known, "hash")
 
 

@@ -227,7 +227,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     out. A fifth of the labelled rows, and of them the ``CALIBRATION_ROWS`` first by hash, is
     held back from the counts to weigh the features.
     """
-    known = (
+    known = keep(
         labels.select(F.col(key).alias("key"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("key").isNotNull() & F.col("toxic").isin(0, 1))
         .where(_remainder(F.col("key")) % 3 != 1)

@@ -152,7 +152,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, range_bytes: i
     data = pages.select("page_id", "url", utf8(F.col("html")).alias("payload"))
     read = data.withColumn("sha1", F.unhex(F.sha1("payload")))
     facts = keep(read.select("page_id", "url", "sha1", F.octet_length("payload").cast("long").alias("size")))
-    heads = (
+    heads = keep(
         facts.where(F.col("size") >= min_bytes).groupBy("sha1")
         .agg(F.count("*").alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("head")).where("n > 1 and head is not null")
     )
