@@ -216,7 +216,7 @@ MOMENTS = " UNION ALL ".join(
 )
 def _(t):
     # the limit law at every size, as SQL has no exact one
-    return numeric_distance(*_pair(t), NUMBERS, exact_rows=0)
+    return numeric_distance(*_pair(t), NUMBERS, method="asymptotic")
 
 
 SHARES = f"""{CTE}, u AS (SELECT 'flag' AS c, coalesce(flag, 'nan') AS v, 1 AS r, 0 AS s FROM real UNION ALL SELECT 'flag', coalesce(flag, 'nan'), 0, 1 FROM syn

@@ -13,7 +13,7 @@ from twintable.operators.privacy import (
     privacy_summary,
     suspiciously_close_rate,
 )
-from twintable.operators.sampling import generate_table, timed_generation
+from twintable.operators.sampling import _seed_of, generate_table, timed_generation
 from twintable.plans.baseline import run_baseline
 from twintable.plans.evaluate import evaluate_generators, train_and_score
 from twintable.session import materialize
@@ -166,17 +166,60 @@ def _(t):
 
 @query("baseline_documents")
 def _(t):
-    return run_baseline(t.sql(LABELLED), "verdict", "lang", trees=50).scores
+    return run_baseline(t.sql(LABELLED), "verdict", "lang").scores
 
 
-@query("sample_bootstrap_orders")
+def _bits(seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}:' || id), 1, 15))::BIGINT"
+
+
+def _own(name: str) -> int:
+    return _seed_of(42, name)
+
+
+NUMBERED = "d AS (SELECT range AS id FROM range((SELECT count(*) FROM orders))), r AS (SELECT *, row_number() OVER () - 1 AS place, count(*) OVER () AS rows FROM orders)"
+ORDERS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
+
+
+@query(
+    "sample_bootstrap_orders",
+    f"WITH {NUMBERED} SELECT r.* EXCLUDE (place, rows) FROM d JOIN r ON r.place = {_bits(42)} % (SELECT count(*) FROM orders)",
+)
 def _(t):
-    return generate_table(t.orders.drop("o_orderdate"), "bootstrap", drop=["o_orderkey"])[0]
+    return generate_table(t.orders, "bootstrap")[0]
+
+
+def _uniform_values() -> str:
+    """Whole numbers and numbers over their range, other values by their rank among those seen."""
+    parts, joins = [], []
+    for c in ORDERS:
+        bits = _bits(_own(c))
+        if c in ("o_orderkey", "o_custkey"):
+            parts.append(f"(SELECT min({c}) FROM orders) + {bits} % (SELECT max({c}) - min({c}) + 1 FROM orders) AS {c}")
+        elif c == "o_totalprice":
+            parts.append(f"round((SELECT min({c}) FROM orders) + ({bits} >> 7)::DOUBLE / 9007199254740992.0 * (SELECT max({c}) - min({c}) FROM orders), 6) AS {c}")
+        else:
+            parts.append(f"v_{c}.v AS {c}")
+            joins.append(
+                f"JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM (SELECT DISTINCT {c} AS v FROM orders WHERE {c} IS NOT NULL)) v_{c}"
+                f" ON v_{c}.k = {bits} % (SELECT count(DISTINCT {c}) FROM orders)"
+            )
+    return f"WITH {NUMBERED} SELECT {', '.join(parts)} FROM d {' '.join(joins)}"
+
+
+@query("sample_uniform_domain_orders", _uniform_values())
+def _(t):
+    return generate_table(t.orders, "uniform_domain")[0]
+
+
+def _marginal_values() -> str:
+    joins = " ".join(f"JOIN r AS r_{c} ON r_{c}.place = {_bits(_own(c))} % (SELECT count(*) FROM orders)" for c in ORDERS)
+    return f"WITH {NUMBERED} SELECT {', '.join(f'r_{c}.{c}' for c in ORDERS)} FROM d {joins}"
 
 
-@query("sample_uniform_domain_orders")
+@query("sample_marginals_orders", _marginal_values())
 def _(t):
-    return generate_table(t.orders.drop("o_orderdate"), "uniform_domain", drop=["o_orderkey"])[0]
+    return generate_table(t.orders, "marginals")[0]
 
 
 @query("sample_marginals_lineitem")

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def _bits(seed: int, *keys: Column) -> Column:
+    """60 bits of a digest that other engines have too, so that draws can be told in SQL."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def uniform(seed: int, *keys: Column) -> Column:
     """A value in [0, 1) fixed by ``seed`` and the keys."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("bigint"), *keys), 11)
-    return bits.cast("double") / F.lit(float(2**53))
+    return F.shiftright(_bits(seed, *keys), 7).cast("double") / F.lit(float(2**53))
 
 
 def uniform_index(n: Column, seed: int, *keys: Column) -> Column:
     """A whole number in [0, n) fixed by ``seed`` and the keys."""
-    return F.pmod(F.xxhash64(F.lit(seed).cast("bigint"), *keys), n).cast("bigint")
+    return (_bits(seed, *keys) % n).cast("bigint")
 
 
 def laplace(scale: float, seed: int, *keys: Column) -> Column:

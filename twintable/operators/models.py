@@ -65,7 +65,8 @@ def logistic_regression(n_train: int) -> LogisticRegression:
     )
 
 
-def random_forest(seed: int = 42, trees: int = 300, depth: int = 15) -> RandomForestClassifier:
+def random_forest(seed: int = 42, trees: int = 300, depth: int = 30) -> RandomForestClassifier:
+    """A forest of trees as deep as the learner allows, unless ``depth`` says less."""
     return RandomForestClassifier(
         numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, weightCol="_weight"
     )

@@ -123,7 +123,7 @@ class UniformDomain(Sampler):
                 )
                 self.domains[c] = (sizes.get(c, 0), domain)
         for c in typed:  # dates, flags and nested values keep their type
-            seen = materialize(number_rows(real.select(c).where(F.col(c).isNotNull()).distinct()))
+            seen = materialize(number_rows(real.select(c).where(F.col(c).isNotNull()).distinct().sort(c)))
             self.domains[c] = (seen.count(), seen.select(F.col("_row").alias(f"_at_{c}"), c))
 
     def _generate(self, count: int, seed: int) -> DataFrame:

@@ -12,18 +12,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from twintable.operators.counts import paired_numeric_counts, paired_value_counts, running_totals
 
-# Above this many rows on either side the exact KS p-value gives way to the limit law.
+#: Up to this many rows on either side ``method="auto"`` is exact.
 EXACT_KS_ROWS = 10_000
 
 
-def ks_pvalue(d: float, n: int, m: int, exact_rows: int = EXACT_KS_ROWS) -> float:
-    """Two-sided p-value of a two-sample KS statistic.
+def ks_pvalue(d: float, n: int, m: int, method: str = "auto") -> float:
+    """Two-sided p-value of a two-sample KS statistic by ``method``.
 
-    Exact: the chance that a random monotone lattice path from (0, 0) to (n, m)
+    ``exact``: the chance that a random monotone lattice path from (0, 0) to (n, m)
     strays at least ``d`` from the diagonal, followed one anti-diagonal at a
-    time. Beyond ``exact_rows``: the limiting Kolmogorov series.
+    time; its cost grows with n (n + m). ``asymptotic``: the limiting Kolmogorov
+    series. ``auto``: exact up to ``EXACT_KS_ROWS`` rows a side, as common
+    statistics packages have it; callers that compare tables of different sizes
+    name one law.
     """
-    if max(n, m) > exact_rows:
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "asymptotic" or method == "auto" and max(n, m) > EXACT_KS_ROWS:
         x = d * math.sqrt(n * m / (n + m))
         if x < 0.2:
             return 1.0
@@ -72,7 +77,7 @@ def moments(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> DataFram
 
 
 def numeric_distance(
-    real: DataFrame, syn: DataFrame, columns: Sequence[str], exact_rows: int = EXACT_KS_ROWS
+    real: DataFrame, syn: DataFrame, columns: Sequence[str], method: str = "auto"
 ) -> DataFrame:
     """Moments, KS statistic and p-value per numeric column."""
 
@@ -80,7 +85,7 @@ def numeric_distance(
     def pvalue(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
         # one row per column
         return pd.Series(
-            [None if pd.isna(x) else ks_pvalue(x, int(a), int(b), exact_rows) for x, a, b in zip(d, n, m)],
+            [None if pd.isna(x) else ks_pvalue(x, int(a), int(b), method) for x, a, b in zip(d, n, m)],
             dtype=float,
         )
 
