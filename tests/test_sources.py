@@ -2,9 +2,10 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from twintable.operators.sampling import Bootstrap, Marginals, UniformDomain
+from twintable.operators.sampling import SAMPLERS, Bootstrap, Marginals, UniformDomain
 from twintable.operators.sheets import promote_header
 from twintable.sources.tables import infer_types, read_cells, read_grid, read_table
 
@@ -55,3 +56,15 @@ def test_samplers_keep_large_keys_and_nested_values(spark):
     counts = Counter(r.v for r in made.collect())
     assert set(counts) == {0, 1, 2} and all(2700 < n < 3300 for n in counts.values())
     assert {r.k for r in made.select("k").collect()} <= keys
+
+
+def test_private_network_shows_public_values_only(spark):
+    df = spark.range(400).select(F.concat(F.lit("name"), F.col("id")).alias("n"), (F.col("id") % 7).cast("string").alias("s"), (F.col("id") * 1.5).alias("x"))
+    sampler = SAMPLERS["private_bayes_network"]
+    with pytest.raises(ValueError, match="public domains"):
+        sampler(epsilon=0.01).fit(df)
+    public = [f"public{i}" for i in range(40)]
+    made = sampler(epsilon=0.5, degree=1, domains={"n": public}, bounds={"x": (0.0, 100.0)}).fit(df).generate(500).collect()
+    assert {r.n for r in made} <= {None, *public} and all(r.x is None or 0 <= r.x <= 100 for r in made)
+    first, second = (sampler(epsilon=0.5, degree=1).fit(df.select("s")).generate(300).groupBy("s").count().collect() for _ in range(2))
+    assert sorted(map(tuple, first)) != sorted(map(tuple, second))  # the noise has no known seed

@@ -11,6 +11,7 @@ from __future__ import annotations
 import inspect
 import itertools
 import math
+import secrets
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -265,6 +266,7 @@ class BayesNetwork(Sampler):
         }
         binned = [c for c in numeric if sizes.get(c, 0) > self.bins]
         loose = [c for c in rest if sizes.get(c, 0) > self.max_values]
+        loose = self._outside(loose)
         self.nodes = [c for c in real.columns if c not in loose]
         self.edges = self._bin_edges(real, binned)
         self.loose = Marginals().fit(real.select(*loose)) if loose else None
@@ -277,6 +279,10 @@ class BayesNetwork(Sampler):
         self.network = choose_network(h, self.nodes, self.degree, self.rows, structure, self.seed)
         self.tables = self._conditionals(coded)
 
+    def _outside(self, wide: list[str]) -> list[str]:
+        """Columns with many values that stay outside the network."""
+        return wide
+
     def _bin_edges(self, real: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
         if not columns:
             return {}
@@ -372,20 +378,60 @@ class PrivateBayesNetwork(BayesNetwork):
     """The network under differential privacy (Zhang et al., PrivBayes, TODS 2017).
 
     Half of ``epsilon`` goes to the choice of parents, half to Laplace noise on
-    the cell counts. Bin edges, value domains and columns outside the network
-    are read from the data and not covered by ``epsilon``.
+    the cell counts. The noise has a secret seed unless a test gives one.
+    ``domains`` (values by column) and ``bounds`` (least and largest number by
+    column) are public knowledge: values outside become null, numbers are cut to
+    the bounds, and only they appear in the result. Domains of columns with at
+    most ``max_values`` values and bin edges that are not given are read from
+    the data and not covered by ``epsilon``. No column is ever drawn from real
+    rows: one with more values needs a domain.
     """
 
-    def __init__(self, epsilon: float = 1.0, degree: int = 2, bins: int = 10, max_values: int = 32, seed: int = 42):
-        super().__init__(degree, bins, max_values, seed)
+    def __init__(
+        self,
+        epsilon: float = 1.0,
+        degree: int = 2,
+        bins: int = 10,
+        max_values: int = 32,
+        seed: int | None = None,
+        domains: dict[str, Sequence[str]] | None = None,
+        bounds: dict[str, tuple[float, float]] | None = None,
+    ):
+        super().__init__(degree, bins, max_values, secrets.randbits(62) if seed is None else seed)
         self.epsilon = epsilon
+        self.domains = {c: sorted(map(str, v)) for c, v in (domains or {}).items()}
+        self.bounds = dict(bounds or {})
+
+    def fit(self, real: DataFrame) -> Sampler:
+        known = {}
+        for c, values in self.domains.items():
+            known[c] = F.when(F.col(c).cast("string").isin(values), F.col(c))
+        for c, (lo, hi) in self.bounds.items():
+            known[c] = F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)).cast(real.schema[c].dataType)
+        return super().fit(real.withColumns(known))
+
+    def _outside(self, wide: list[str]) -> list[str]:
+        wide = [c for c in wide if c not in self.domains]
+        if wide:
+            raise ValueError(f"{', '.join(wide)}: more than {self.max_values} values; give public domains or drop these columns")
+        return wide
+
+    def _bin_edges(self, real: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
+        given = {c: [lo + (hi - lo) * i / self.bins for i in range(self.bins + 1)] for c, (lo, hi) in self.bounds.items()}
+        return super()._bin_edges(real, [c for c in columns if c not in given]) | given
 
     def _cell_counts(self, coded: DataFrame) -> DataFrame:
         """Noisy counts over every possible cell, empty ones included."""
         spark = coded.sparkSession
         # at most max_values (or bins) values per column
         domains: dict[str, list[str]] = {c: [] for c in self.nodes}
-        for r in value_counts(coded, self.nodes).select("column", "value").collect():
+        for c in self.nodes:
+            if c in self.domains:
+                domains[c] = ["\u0000", *self.domains[c]]
+            elif c in self.bounds:
+                domains[c] = ["\u0000", *map(str, range(self.bins))]
+        read = [c for c in self.nodes if not domains[c]]
+        for r in value_counts(coded, read).select("column", "value").collect() if read else []:
             domains[r["column"]].append(r["value"])
         parts = []
         for i, node in enumerate(self.network):
