@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from twintable.llm.common import keep
+from twintable.llm.common import keep, modest_batches, release
 
 #: White space, and the pattern of words of the vocabulary, in Java's syntax.
 SPACE = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -168,27 +168,45 @@ def _blocks(block_bytes: int):
     """Documents of a block as one row: number, keys, words of each, place of each word among the distinct ones, those."""
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            keys, lists = batch.column(0), batch.column(1)
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            text = np.frombuffer(lists.values.buffers()[1], dtype=np.int32)[lists.values.offset :] if len(lists.values) else np.zeros(1, np.int32)
-            at = text[ends]
-            start = 0
-            while start < batch.num_rows:
-                stop = max(start + 1, int(np.searchsorted(at, at[start] + block_bytes, side="right")) - 1)
-                coded = lists.values.slice(ends[start], ends[stop] - ends[start]).dictionary_encode()
-                places = coded.indices.to_numpy().astype(np.int32)
-                row = {
-                    "block": pa.array([number], pa.int64()),
-                    "keys": pa.ListArray.from_arrays(pa.array([0, stop - start], pa.int32()), keys.slice(start, stop - start)),
-                    "sizes": pa.array([np.diff(ends[start : stop + 1]).astype(np.int32)], pa.list_(pa.int32())),
-                    # Byte by byte of all places, which packs better.
-                    "places": pa.array([places.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()),
-                    "words": pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary),
-                }
-                yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
-                start, number = stop, number + 1
+            held.append(batch)
+            size += batch.column(1).values.nbytes
+            if size >= block_bytes * 2:  # as much again for where the words end
+                for row in rows(held, number):
+                    yield row
+                    number += 1
+                held, size = [], 0
+                release()
+        if held:
+            yield from rows(held, number)
+        release()
+
+    def rows(held, number):
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()
+        held.clear()
+        if not batch:
+            return
+        (batch,) = batch
+        keys, lists = batch.column(0), batch.column(1)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        text = np.frombuffer(lists.values.buffers()[1], dtype=np.int32)[lists.values.offset :] if len(lists.values) else np.zeros(1, np.int32)
+        at = text[ends]
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(at, at[start] + block_bytes, side="right")) - 1)
+            coded = lists.values.slice(ends[start], ends[stop] - ends[start]).dictionary_encode()
+            places = coded.indices.to_numpy().astype(np.int32)
+            row = {
+                "block": pa.array([number], pa.int64()),
+                "keys": pa.ListArray.from_arrays(pa.array([0, stop - start], pa.int32()), keys.slice(start, stop - start)),
+                "sizes": pa.array([np.diff(ends[start : stop + 1]).astype(np.int32)], pa.list_(pa.int32())),
+                # Byte by byte of all places, which packs better.
+                "places": pa.array([places.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()),
+                "words": pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary),
+            }
+            yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
+            start, number = stop, number + 1
 
     return run
 
@@ -209,6 +227,7 @@ def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks, block_bytes
     of every block meets one row of its tokens; both sides of that join are written tables,
     whose skew Spark can split.
     """
+    modest_batches(df.sparkSession)
     kind = dict(df.dtypes)[key]
     cut = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
     blocks = keep(cut.mapInArrow(_blocks(block_bytes), f"block long, keys array<{kind}>, sizes array<int>, places binary, words array<string>"), "zstd")
@@ -261,6 +280,7 @@ def _digests(batches):
                     ],
                     names=["key", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+            release()
 
 
 def token_digests(df: DataFrame, key: str, text: str, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,25 @@ def utf8(text: Column) -> Column:
     return F.coalesce(F.encode(text, "UTF-8"), F.lit(b""))
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows in a batch that goes to Python, as a row may hold a long text.
+
+    A setting of the session that changes no result; a smaller one stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
+def release() -> None:
+    """Gives freed memory back to the machine; a worker otherwise holds it while it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose ``column`` holds about ``limit`` bytes; a longer value comes alone."""
     values = batch.column(batch.schema.get_field_index(column))
@@ -46,6 +66,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         held += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    release()
 
 
 def whole_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, rows: int = 4096) -> DataFrame:

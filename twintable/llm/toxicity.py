@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from twintable.llm.common import keep, slices
+from twintable.llm.common import keep, modest_batches, slices
 
 #: A character is seen after its whole word up to ``PREFIX`` characters, further on after ``ORDER`` - 1.
 ORDER, PREFIX = 5, 8
@@ -85,7 +85,7 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches):
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
+        for part in slices(batch, "text", 1 << 19):
             toxic = np.asarray(part.column(1).to_numpy(zero_copy_only=False), dtype=np.int64)
             found, mine, _ = codes(part.column(0).to_pylist())
             grams, place = np.unique(found, return_inverse=True)
@@ -227,6 +227,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     out. A fifth of the labelled rows, and of them the ``CALIBRATION_ROWS`` first by hash, is
     held back from the counts to weigh the features.
     """
+    modest_batches(documents.sparkSession)
     known = keep(
         labels.select(F.col(key).alias("key"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("key").isNotNull() & F.col("toxic").isin(0, 1))
@@ -246,7 +247,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
 
     def weigh(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 found = sent.value.features(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(1), *[pa.array(found[:, i]) for i in range(FEATURES)]], names=["toxic", *[f"f{i}" for i in range(FEATURES)]])
 
@@ -269,7 +270,7 @@ def score(documents: DataFrame, model: Model, into: str = "score") -> DataFrame:
     def run(batches):
         for batch in batches:
             at = batch.schema.names.index("text")
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 found = sent.value.scores(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*part.schema.names, into])
 
