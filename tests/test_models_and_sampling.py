@@ -137,6 +137,9 @@ def test_evaluation_survives_a_failing_generator(spark, goods, monkeypatch):
     log = {(r["model"], r["entry"]): r["value"] for r in result.log.collect()}
     assert "no luck" in log[("broken", "error")] and "n_iter" in log[("bootstrap", "ignored_options")]
     assert result.synthetic["bootstrap_5x"].count() == 5 * 192
+    tables = result.details["bootstrap"]
+    assert {r["column"] for r in tables["numeric_distance"].collect()} == {r["column"] for r in tables["moments"].collect()}
+    assert all(t.count() > 0 for t in tables.values()) and "group_metrics" in tables
     context = result.context.first()
     assert (context["rows_train"], context["rows_test"]) == (192, 48)
     with pytest.raises(RuntimeError, match="not enough"):

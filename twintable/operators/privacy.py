@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,11 +42,32 @@ def distance_histograms(syn_real: DataFrame, real_real: DataFrame, bins: int = 3
     return parts[0].unionByName(parts[1])
 
 
-def privacy_summary(real: DataFrame, syn: DataFrame, target: str, rare_keys: Sequence[str] = ()) -> DataFrame:
-    """One row with both distance summaries and the three leakage rates."""
+@dataclass(frozen=True)
+class Distances:
+    """Neighbour distances of a real table, and of one synthetic table to it."""
+
+    space: object
+    real_real: DataFrame
+    syn_real: DataFrame | None = None
+
+
+def real_distances(real: DataFrame, target: str) -> Distances:
+    """The part that all synthetic tables share."""
     space = fit_space(real, target)
-    syn_real = materialize(synthetic_to_real(real, syn, target, space))
-    real_real = materialize(real_to_real(real, target, space))
+    return Distances(space, materialize(real_to_real(real, target, space)))
+
+
+def with_synthetic(known: Distances, real: DataFrame, syn: DataFrame, target: str) -> Distances:
+    return replace(known, syn_real=materialize(synthetic_to_real(real, syn, target, known.space)))
+
+
+def privacy_summary(
+    real: DataFrame, syn: DataFrame, target: str, rare_keys: Sequence[str] = (), distances: Distances | None = None
+) -> DataFrame:
+    """One row with both distance summaries and the three leakage rates."""
+    known = distances or real_distances(real, target)
+    known = known if known.syn_real is not None else with_synthetic(known, real, syn, target)
+    syn_real, real_real = known.syn_real, known.real_real
     keys = list(dict.fromkeys([*rare_keys, target]))
     row = syn.sparkSession.range(1).select(
         row_overlap(real, syn).select("exact_overlap_rate").scalar().alias("exact_overlap_with_real_train_rate"),

@@ -8,16 +8,24 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from twintable.operators.class_metrics import accuracy_and_f1, confusion_counts
+from twintable.operators.class_metrics import accuracy_and_f1, classification_report, confusion_counts, group_metrics
 from twintable.operators.clean import align, require_complete, union_tables
 from twintable.operators.compare import comparison_table, ranked_rows, winner
 from twintable.operators.fairness import fairness_summary
 from twintable.operators.models import fit_classifier
-from twintable.operators.privacy import privacy_summary
+from twintable.operators.privacy import Distances, distance_histograms, privacy_summary, real_distances, with_synthetic
 from twintable.operators.sampling import SAMPLERS, timed_generation
 from twintable.operators.split import run_context, split_rows
-from twintable.operators.utility import correlation_mae
-from twintable.operators.validate import validation_summary
+from twintable.operators.utility import (
+    category_shares,
+    correlation_mae,
+    histogram_overlay,
+    moments,
+    numeric_distance,
+    top_categories,
+    total_variation,
+)
+from twintable.operators.validate import invalid_category_rates, rule_matrix, validation_summary
 from twintable.session import materialize
 from twintable.spec import Roles, feature_types
 
@@ -36,6 +44,7 @@ class Evaluation:
     log: DataFrame
     context: DataFrame
     synthetic: dict[str, DataFrame]
+    details: dict[str, dict[str, DataFrame]]
 
 
 def train_and_score(train: DataFrame, test: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
@@ -45,14 +54,42 @@ def train_and_score(train: DataFrame, test: DataFrame, target: str) -> tuple[Dat
 
 
 def score_synthetic(
-    name: str, real: DataFrame, test: DataFrame, syn: DataFrame, roles: Roles, trtr_f1: float
-) -> DataFrame:
-    """All scores of one synthetic table as one row."""
+    name: str,
+    real: DataFrame,
+    test: DataFrame,
+    syn: DataFrame,
+    roles: Roles,
+    trtr_f1: float,
+    distances: Distances | None = None,
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """All scores of one synthetic table as one row, and the tables behind them by name.
+
+    ``distances`` of the real table may be given where several tables are scored. Reports of
+    one row are written down once; the tables of columns, bins and groups are computed
+    when they are read.
+    """
     syn = materialize(align(syn, real))
-    numeric, _ = feature_types(real, roles.target)
+    numeric, categorical = feature_types(real, roles.target)
     scores, predictions = train_and_score(syn, test, roles.target)
-    checks = validation_summary(real, syn, roles.rules)
-    privacy = privacy_summary(real, syn, roles.target, roles.rare_keys)
+    scores = materialize(scores)
+    matrix = rule_matrix(real, syn, roles.rules)
+    checks = materialize(validation_summary(real, syn, roles.rules, matrix))
+    distances = with_synthetic(distances or real_distances(real, roles.target), real, syn, roles.target)
+    privacy = materialize(privacy_summary(real, syn, roles.target, roles.rare_keys, distances))
+    shares = category_shares(real, syn, categorical)
+    details = {
+        "moments": moments(real, syn, numeric),
+        "numeric_distance": numeric_distance(real, syn, numeric),
+        "histograms": histogram_overlay(real, syn, numeric),
+        "total_variation": total_variation(shares),
+        "top_categories": top_categories(shares),
+        "validation": checks,
+        "invalid_category_rates": invalid_category_rates(matrix),
+        "tstr": scores,
+        "tstr_report": classification_report(confusion_counts(predictions)),
+        "privacy": privacy,
+        "distance_histograms": distance_histograms(distances.syn_real, distances.real_real),
+    }
 
     def one(table: DataFrame, column: str) -> Column:
         return table.select(column).scalar()
@@ -71,12 +108,14 @@ def score_synthetic(
     for c in ("group_macro_f1_gap_max_minus_min", "group_proportion_tvd"):
         row[c] = F.lit(None).cast("double")
     if roles.group:
-        fair = fairness_summary(real, syn, predictions, roles.group, roles.target)
+        fair = materialize(fairness_summary(real, syn, predictions, roles.group, roles.target))
+        details["fairness"] = fair
+        if roles.group in real.columns:
+            details["group_metrics"] = group_metrics(confusion_counts(predictions, group=roles.group))
         for c in ("group_macro_f1_gap_max_minus_min", "group_proportion_tvd"):
             row[c] = one(fair, c)
-    return materialize(
-        real.sparkSession.range(1).select(F.lit(name).alias("model"), *[v.alias(c) for c, v in row.items()])
-    )
+    row = real.sparkSession.range(1).select(F.lit(name).alias("model"), *[v.alias(c) for c, v in row.items()])
+    return materialize(row), details
 
 
 def evaluate_generators(
@@ -100,11 +139,12 @@ def evaluate_generators(
     trtr, _ = train_and_score(train, test, roles.target)
     trtr_f1 = trtr.first()["macro_f1"]
 
-    rows, log, tables = [], [("(real)", "trtr_macro_f1", repr(trtr_f1))], {}
+    rows, log, tables, details = [], [("(real)", "trtr_macro_f1", repr(trtr_f1))], {}, {}
+    distances = real_distances(train, roles.target)
     for name in known:
         try:
             run = timed_generation(train, name, models[name], seed)
-            scores = score_synthetic(name, train, test, run.once, roles, trtr_f1)
+            scores, details[name] = score_synthetic(name, train, test, run.once, roles, trtr_f1, distances)
             rows.append(
                 scores.withColumns(
                     {
@@ -136,4 +176,5 @@ def evaluate_generators(
         log=real.sparkSession.createDataFrame(log, "model string, entry string, value string"),
         context=run_context(real, train, test, roles.target, roles.group, seed),
         synthetic=tables,
+        details=details,
     )
