@@ -228,6 +228,8 @@ def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks, block_bytes
     whose skew Spark can split.
     """
     modest_batches(df.sparkSession)
+    # The literals are megabytes long as text; descriptions of plans on the driver end before that.
+    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", 100_000)
     kind = dict(df.dtypes)[key]
     cut = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
     blocks = keep(cut.mapInArrow(_blocks(block_bytes), f"block long, keys array<{kind}>, sizes array<int>, places binary, words array<string>"), "zstd")

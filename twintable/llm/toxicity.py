@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from twintable.llm.common import keep, modest_batches, slices
+from twintable.llm.common import keep, modest_batches, release, slices
 
 #: A character is seen after its whole word up to ``PREFIX`` characters, further on after ``ORDER`` - 1.
 ORDER, PREFIX = 5, 8
@@ -260,6 +260,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     else:  # too few labels to hold any back: a text is as toxic as its mean ratio says
         x, y = np.eye(FEATURES)[[0, 0]] * [[1.0], [-1.0]], np.array([1.0, 0.0])
     model.weights = _logistic(x, y)
+    release()
     return model
 
 
