@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -171,6 +172,27 @@ def test_toxic_stems_are_learnt(spark):
     assert toxicity.toxicity(docs.limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 200])
+def test_all_labelled_rows_are_counted_or_weigh(spark, monkeypatch, copies):
+    """Of the fifth set aside for weighing, what isn't needed for it is counted, and so are the copies of one key that would outnumber it."""
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
+    share = lambda i: zlib.crc32(str(i).encode())
+    learnable = [i for i in range(900) if share(i) % 3 != 1]
+    set_aside = [i for i in learnable if share(i) // 3 % 5 == 0]
+    rows = [(i, "plain words %d" % i) for i in learnable] + [(set_aside[0], "many copies")] * (copies - 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in learnable], "doc_id long, toxic int")
+    counted = []
+    real = toxicity.gram_counts
+    monkeypatch.setattr(toxicity, "gram_counts", lambda texts: counted.append(texts.count()) or real(texts))
+    weighed = []
+    logistic = toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y: weighed.append(len(y)) or logistic(x, y))
+    toxicity.fit(docs, labels)
+    assert len(set_aside) > 60 and 15 <= weighed[0] <= 40
+    assert counted[0] + weighed[0] == len(rows)
+
+
 # ---- chats
 
 def render(template, **variables):

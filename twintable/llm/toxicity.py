@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twintable.llm.common import keep, modest_batches, release, slices
 
@@ -220,12 +220,24 @@ def _remainder(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
 
 
+def _calibration(held: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``CALIBRATION_ROWS`` first keys by hash, as far as they have ``2 * CALIBRATION_ROWS`` texts together: key, toxic.
+
+    Keys with few texts come first, so that one with very many is left to the counts.
+    """
+    first = keep(held.orderBy(F.xxhash64("key"), "key").limit(CALIBRATION_ROWS))
+    sizes = texts.select("key").join(F.broadcast(first.select("key")), "key").groupBy("key").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("n", F.xxhash64("key"), "key"))  # at most CALIBRATION_ROWS keys
+    taken = sizes.withColumn("upto", upto).where(F.col("upto") <= 2 * CALIBRATION_ROWS)
+    return keep(first.join(F.broadcast(taken.select("key")), "key"))
+
+
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     """Models of the texts whose label may be learnt: crc32(key) mod 3 is not 1.
 
     A key with several labels counts as toxic if one says so; null keys and labels are left
-    out. A fifth of the labelled rows, and of them the ``CALIBRATION_ROWS`` first by hash, is
-    held back from the counts to weigh the features.
+    out. Of a fifth of the labelled keys, the ``CALIBRATION_ROWS`` first by hash are held back
+    to weigh the features; the rows of all other keys are counted.
     """
     modest_batches(documents.sparkSession)
     known = keep(
@@ -236,13 +248,14 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     )
     held = F.floor(_remainder(F.col("key")) / 3) % 5 == 0
     texts = documents.select(F.col(key).alias("key"), "text").where(F.col("key").isNotNull() & (_remainder(F.col("key")) % 3 != 1))
-    grams = keep(gram_counts(texts.join(known.where(~held), "key").select("text", "toxic")))
+    sample = _calibration(known.where(held), texts)
+    learnt = known.join(F.broadcast(sample.select("key")), "key", "left_anti")
+    grams = keep(gram_counts(texts.join(learnt, "key").select("text", "toxic")))
     sums = grams.agg(F.sum("toxic"), F.sum("plain")).first()
     if not sums[0] or not sums[1]:
         return Model(None, None, None, 1.0 if sums[0] else 0.0)
     seen, other = ratios(grams)
     model = Model(_slots(seen, "gram", GRAM_SLOTS), _slots(other, "context", CONTEXT_SLOTS), None, 0.0)
-    sample = known.where(held).orderBy(F.xxhash64("key"), "key").limit(CALIBRATION_ROWS)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches):
@@ -253,7 +266,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
 
     # At most CALIBRATION_ROWS keys of 12 bytes.
     rows = texts.join(F.broadcast(sample), "key").select("text", "toxic").mapInArrow(weigh, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES)))
-    rows = rows.orderBy(F.xxhash64(*rows.columns)).limit(2 * CALIBRATION_ROWS).toArrow()
+    rows = rows.toArrow()  # at most 2 * CALIBRATION_ROWS
     y = rows.column(0).to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
         x = np.column_stack([rows.column(1 + i).to_numpy() for i in range(FEATURES)])
