@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,59 @@ def test_all_labelled_rows_are_counted_or_weigh(spark, monkeypatch, copies):
     assert counted[0] + weighed[0] == len(rows)
 
 
+def test_joined_tables_give_the_same_scores(spark, monkeypatch):
+    """Joined tables give the scores of sent ones, whatever the blocks."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    rows = []
+    for i in range(600):
+        words = [word() for _ in range(60)]
+        if i % 4 == 0:
+            words[rng.randrange(60)] = "zgrx" + word()
+        rows.append((i, " ".join(words), "b%d" % i))
+    rows += [(None, None, "x"), (1000, "", "y"), (1001, None, "z"), (0, rows[0][1], "w"), (1002, "ab " * 5000, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    held = [r for r in got if r.held_out and r.doc_id < 600]
+    assert len(held) > 150 and sum(r.predicted == (r.doc_id % 4 == 0) for r in held) >= 0.97 * len(held)
+    for block in (1, 20_000, 8 << 20):
+        monkeypatch.setattr(toxicity, "LOOKUP_GRAMS", 0)
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", block)
+        monkeypatch.setattr(toxicity, "SLICE_BYTES", 5_000)
+        again = toxicity.toxicity(docs, labels).collect()
+        of = lambda found: sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in found)
+        assert [k for k, _ in of(again)] == [k for k, _ in of(got)]
+        assert [s for _, s in of(again)] == pytest.approx([s for _, s in of(got)], abs=1e-6)
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.score < 0.7 for r in got)
+
+
+def test_a_rare_gram_keeps_its_ratio_beside_a_frequent_one(spark):
+    """Two words whose grams are equal modulo 8,388,593, one of them frequent in plain texts, the other rare and toxic."""
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(20_000)})
+    grams = toxicity.codes([" ".join(words)])[0][6::8]
+    by_rest = defaultdict(list)
+    for word, gram in zip(words, grams.tolist(), strict=True):
+        by_rest[gram % 8_388_593].append(word)
+    often, rare = next(v for v in by_rest.values() if len(v) > 1)[:2]
+    share = lambda i: zlib.crc32(str(i).encode())
+    counted = [i for i in range(900) if share(i) % 3 != 1 and share(i) // 3 % 5]
+    toxic = {i: int(k % 40 == 0) for k, i in enumerate(counted)}
+    rows = [(i, rare if toxic[i] else f"{often} " * 50) for i in counted]
+    docs = spark.createDataFrame([*rows, (-1, rare), (-2, often)], "doc_id long, text string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    learnt = spark.createDataFrame([(t, toxic[i]) for i, t in rows], "text string, toxic int")
+    ratio = {r.gram: r.ratio for r in toxicity.ratios(toxicity.gram_counts(learnt))[0].collect()}
+    unit = [[1.0] + [0.0] * 5, [-1.0] + [0.0] * 5]
+    w = toxicity._logistic(np.array(unit), np.array([1.0, 0.0]))
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    for i, word in ((-1, rare), (-2, often)):
+        mean = np.mean([ratio[g] for g in toxicity.codes([word])[0].tolist()])
+        assert np.log(got[i] / (1 - got[i])) == pytest.approx(w[0] * mean + w[-1], abs=0.05)
+
+
 # ---- chats
 
 def render(template, **variables):

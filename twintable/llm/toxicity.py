@@ -4,7 +4,8 @@ Each class has its own counts of characters after the beginning of their word, o
 characters further on; where it hasn't seen what follows, both fall back on one smoothed
 distribution that they share. As the shared part cancels, the ratio of the two likelihoods
 depends on a character and what it is seen after alone: it is worked out once for each in
-Spark and looked up while scoring.
+Spark and looked up while scoring. The tables of these ratios are exact and grow with the
+corpus: small ones go to the executors, others are joined with what blocks of documents hold.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twintable.llm.common import keep, modest_batches, release, slices
@@ -21,8 +23,10 @@ from twintable.llm.common import keep, modest_batches, release, slices
 ORDER, PREFIX = 5, 8
 BITS = 7
 DISCOUNT = 0.75
-#: Sizes of the two lookup tables that go to the executors, whatever the corpus: primes, 2 bytes each.
-GRAM_SLOTS, CONTEXT_SLOTS = 8_388_593, 2_097_143
+#: With at most so many different grams the tables go to the executors, 12 bytes for each gram and context; both ways give the same scores.
+LOOKUP_GRAMS = 2_000_000
+#: Documents meet the ratios of their grams in blocks of so many bytes, a longer document alone; work goes by slices.
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 19
 #: Labelled rows that weigh the features against each other; the models themselves count all the others.
 CALIBRATION_ROWS = 20_000
 FEATURES = 6
@@ -85,7 +89,7 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches):
     for batch in batches:
-        for part in slices(batch, "text", 1 << 19):
+        for part in slices(batch, "text", SLICE_BYTES):
             toxic = np.asarray(part.column(1).to_numpy(zero_copy_only=False), dtype=np.int64)
             found, mine, _ = codes(part.column(0).to_pylist())
             grams, place = np.unique(found, return_inverse=True)
@@ -147,60 +151,151 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     back = shared_backoff(grams).withColumnRenamed("gram", "short")
     own = grams.withColumn("context", F.shiftright("gram", BITS)).withColumn("short", _tail(F.col("gram"), ORDER - 1))
     own = own.join(context, "context").join(back, "short")
-    seen = own.select("gram", (F.col("toxic") + F.col("plain")).alias("n"), F.log(likely("toxic") / likely("plain")).alias("ratio"))
-    other = context.select("context", (F.col("toxic_all") + F.col("plain_all")).alias("n"), F.log(rest("toxic") / rest("plain")).alias("ratio"))
+    seen = own.select("gram", F.log(likely("toxic") / likely("plain")).cast("float").alias("ratio"))
+    other = context.select("context", F.log(rest("toxic") / rest("plain")).cast("float").alias("ratio"))
     return seen, other
 
 
-def _slots(df: DataFrame, column: str, size: int) -> np.ndarray:
-    """The mean ratio by slot, not a number where nothing is; at most ``size`` rows come to the driver."""
-    rows = df.groupBy((F.col(column) % size).cast("int").alias("slot")).agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).cast("float").alias("ratio")).toArrow()
-    out = np.full(size, np.nan, dtype=np.float16)
-    out[rows.column("slot").to_numpy()] = rows.column("ratio").to_numpy()
-    return out
+def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in ascending order and their ratios; at most ``LOOKUP_GRAMS`` rows come to the driver."""
+    rows = df.toArrow()
+    keys = rows.column(0).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], rows.column(1).to_numpy()[order]
+
+
+def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of ``wanted``, not a number where ``keys`` has none."""
+    if not len(keys):
+        return np.full(len(wanted), np.nan, dtype=np.float32)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, values[place], np.float32(np.nan))
+
+
+@dataclass
+class Lookup:
+    """Ratios of grams and, for others, of contexts: all of a model, or those that a block of documents needs."""
+
+    grams: np.ndarray
+    ratios: np.ndarray
+    contexts: np.ndarray
+    rests: np.ndarray
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        out = _at(self.grams, self.ratios, grams)
+        new = np.flatnonzero(np.isnan(out))
+        out[new] = _at(self.contexts, self.rests, grams[new] >> BITS)
+        return np.nan_to_num(out.astype(np.float64))
 
 
 @dataclass
 class Model:
-    """Lookup tables and weights; ``share`` is the score of every text where a class has no texts."""
+    """Tables of ratios, with few grams as arrays, and weights; ``share`` is the score of every text where a class has no texts."""
 
-    grams: np.ndarray | None
-    contexts: np.ndarray | None
+    seen: DataFrame | None
+    other: DataFrame | None
+    lookup: Lookup | None
     weights: np.ndarray | None
     share: float
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text: mean log ratio of a character, that of the three most toxic words, how many words are as toxic."""
-        found, mine, gap = codes(texts)
-        out = np.zeros((len(texts), FEATURES))
-        if not len(found):
-            return out
-        each = self.grams[found % GRAM_SLOTS]
-        new = np.flatnonzero(np.isnan(each))
-        each[new] = self.contexts[(found[new] >> BITS) % CONTEXT_SLOTS]
-        each = np.nan_to_num(each.astype(np.float64))
-        sizes = np.bincount(mine, minlength=len(texts))
-        out[:, 0] = np.bincount(mine, weights=each, minlength=len(texts)) / np.maximum(sizes, 1)
-        first = np.flatnonzero(np.append(True, gap[:-1] | (mine[1:] != mine[:-1])))
-        words = np.add.reduceat(each, first)
-        of = mine[first]
-        order = np.lexsort((-words, of))
-        words, of = words[order], of[order]
-        starts = np.searchsorted(of, np.arange(len(texts)))
-        rank = np.arange(len(of)) - starts[of]
-        for k in range(3):
-            here = rank == k
-            out[of[here], 1 + k] = words[here]
-        over = np.maximum(words - STRONG, 0)
-        out[:, 4] = np.log1p(np.bincount(of, weights=over > 0, minlength=len(texts)))
-        out[:, 5] = np.log1p(np.bincount(of, weights=over, minlength=len(texts)))
+
+def features(texts: list[str | None], lookup: Lookup) -> np.ndarray:
+    """Of each text: mean log ratio of a character, that of the three most toxic words, how many words are as toxic."""
+    found, mine, gap = codes(texts)
+    out = np.zeros((len(texts), FEATURES))
+    if not len(found):
         return out
+    grams, place = np.unique(found, return_inverse=True)
+    each = lookup.find(grams)[place]
+    sizes = np.bincount(mine, minlength=len(texts))
+    out[:, 0] = np.bincount(mine, weights=each, minlength=len(texts)) / np.maximum(sizes, 1)
+    first = np.flatnonzero(np.append(True, gap[:-1] | (mine[1:] != mine[:-1])))
+    words = np.add.reduceat(each, first)
+    of = mine[first]
+    order = np.lexsort((-words, of))
+    words, of = words[order], of[order]
+    starts = np.searchsorted(of, np.arange(len(texts)))
+    rank = np.arange(len(of)) - starts[of]
+    for k in range(3):
+        here = rank == k
+        out[of[here], 1 + k] = words[here]
+    over = np.maximum(words - STRONG, 0)
+    out[:, 4] = np.log1p(np.bincount(of, weights=over > 0, minlength=len(texts)))
+    out[:, 5] = np.log1p(np.bincount(of, weights=over, minlength=len(texts)))
+    return out
+
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.weights is None:
-            return np.full(len(texts), self.share)
-        z = self.features(texts) @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+def _over(df: DataFrame, model: Model, fn, schema) -> DataFrame:
+    """``fn(rows, lookup)`` over slices of rows with a ``text``, with the ratios of all grams in them."""
+    if model.lookup is None:
+        return _over_blocks(df, model, fn, schema)
+    sent = df.sparkSession.sparkContext.broadcast(model.lookup)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                yield fn(part, sent.value)
+
+    return df.mapInArrow(run, schema)
+
+
+def _block_grams(batches):
+    """block, gram once for each run of rows of a block, from block, text."""
+
+    def rows(block, grams):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), block, dtype=np.int64)), pa.array(grams)], names=["block", "gram"])
+
+    now, held = None, np.zeros(0, np.int64)
+    for batch in batches:
+        for part in slices(batch, "text", SLICE_BYTES):
+            of = part.column(0).to_numpy(zero_copy_only=False)
+            for block in dict.fromkeys(of.tolist()):
+                grams = np.unique(codes(part.filter(pa.array(of == block)).column(1).to_pylist())[0])
+                if block != now:
+                    if len(held):
+                        yield rows(now, held)
+                    now, held = block, grams
+                else:
+                    held = np.union1d(held, grams)
+    if len(held):
+        yield rows(now, held)
+
+
+def _over_blocks(df: DataFrame, model: Model, fn, schema) -> DataFrame:
+    """As ``_over``, where the tables are too large to send: the different grams of a block are joined with them.
+
+    A gram is there at most once for each run of rows of a block, so a frequent one is no hot
+    key. A task holds a block and the ratios of its own grams.
+    """
+    block = "block"
+    while block in df.columns:
+        block += "_"
+
+    def deal(batches):
+        task, n, held = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                if held and held + part.nbytes > BLOCK_BYTES:
+                    n, held = n + 1, 0
+                held += part.nbytes
+                mine = pa.array(np.full(part.num_rows, task << 32 | n, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, mine], names=[*part.schema.names, block])
+
+    rows = keep(df.mapInArrow(deal, df.withColumn(block, F.lit(0).cast("long")).schema), "zstd")
+    grams = rows.select(F.col(block).alias("block"), "text").mapInArrow(_block_grams, "block long, gram long")
+    grams = grams.join(model.seen, "gram", "left").withColumn("context", F.shiftright("gram", BITS))
+    grams = grams.join(model.other.withColumnRenamed("ratio", "rest"), "context", "left")
+    grams = grams.select("block", "gram", F.coalesce("ratio", "rest", F.lit(0).cast("float")).alias("ratio"))
+
+    def run(left, right):
+        keys = right.column("gram").to_numpy()
+        order = np.argsort(keys)
+        none = np.zeros(0, np.int64)
+        lookup = Lookup(keys[order], right.column("ratio").to_numpy()[order], none, none.astype(np.float32))
+        batches = left.drop_columns([block]).combine_chunks().to_batches()
+        return pa.Table.from_batches([fn(part, lookup) for batch in batches for part in slices(batch, "text", SLICE_BYTES)])
+
+    return rows.groupBy(block).cogroup(grams.groupBy("block")).applyInArrow(run, schema)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -251,22 +346,23 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     sample = _calibration(known.where(held), texts)
     learnt = known.join(F.broadcast(sample.select("key")), "key", "left_anti")
     grams = keep(gram_counts(texts.join(learnt, "key").select("text", "toxic")))
-    sums = grams.agg(F.sum("toxic"), F.sum("plain")).first()
+    sums = grams.agg(F.sum("toxic"), F.sum("plain"), F.count("*")).first()
     if not sums[0] or not sums[1]:
-        return Model(None, None, None, 1.0 if sums[0] else 0.0)
+        return Model(None, None, None, None, 1.0 if sums[0] else 0.0)
     seen, other = ratios(grams)
-    model = Model(_slots(seen, "gram", GRAM_SLOTS), _slots(other, "context", CONTEXT_SLOTS), None, 0.0)
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    if sums[2] <= LOOKUP_GRAMS:
+        model = Model(None, None, Lookup(*_arrays(seen), *_arrays(other)), None, 0.0)
+    else:
+        model = Model(keep(seen), keep(other), None, None, 0.0)
 
-    def weigh(batches):
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
-                found = sent.value.features(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(1), *[pa.array(found[:, i]) for i in range(FEATURES)]], names=["toxic", *[f"f{i}" for i in range(FEATURES)]])
+    def weigh(part, lookup):
+        found = features(part.column(0).to_pylist(), lookup)
+        return pa.RecordBatch.from_arrays([part.column(1), *[pa.array(found[:, i]) for i in range(FEATURES)]], names=["toxic", *[f"f{i}" for i in range(FEATURES)]])
 
     # At most CALIBRATION_ROWS keys of 12 bytes.
-    rows = texts.join(F.broadcast(sample), "key").select("text", "toxic").mapInArrow(weigh, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES)))
-    rows = rows.toArrow()  # at most 2 * CALIBRATION_ROWS
+    rows = texts.join(F.broadcast(sample), "key").select("text", "toxic")
+    rows = _over(rows, model, weigh, "toxic int, " + ", ".join(f"f{i} double" for i in range(FEATURES)))
+    rows = rows.orderBy(F.xxhash64(*rows.columns)).toArrow()  # at most 2 * CALIBRATION_ROWS
     y = rows.column(0).to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
         x = np.column_stack([rows.column(1 + i).to_numpy() for i in range(FEATURES)])
@@ -279,16 +375,16 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
 
 def score(documents: DataFrame, model: Model, into: str = "score") -> DataFrame:
     """``documents`` with the score of each whole ``text``: 0 to 1, higher is more toxic; null is empty."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    if model.weights is None:
+        return documents.withColumn(into, F.lit(model.share))
+    modest_batches(documents.sparkSession)
+    weights = model.weights
 
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.names.index("text")
-            for part in slices(batch, "text", 1 << 19):
-                found = sent.value.scores(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*part.schema.names, into])
+    def run(part, lookup):
+        z = features(part.column(part.schema.names.index("text")).to_pylist(), lookup) @ weights[:-1] + weights[-1]
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], names=[*part.schema.names, into])
 
-    return documents.mapInArrow(run, documents.withColumn(into, F.lit(0.0)).schema)
+    return _over(documents, model, run, documents.withColumn(into, F.lit(0.0)).schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
