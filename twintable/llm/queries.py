@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twintable.llm import byte_bpe, chat_template, decontaminate, hash_tree, merkle, metric_join, ngram_join, secret_scan, suffix_dedup, toxicity, vector_codes, warc
+from twintable.llm import byte_bpe, chat_template, decontaminate, hash_tree, merkle, metric_join, ngram_join, posting_lists, secret_scan, suffix_dedup, toxicity, vector_codes, warc
 from twintable.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,11 @@ FROM ways JOIN folds ON folds.id = ways.id AND k = len(way) + 1
 """
 
 
+@query
+def op11_posting_lists(spark, sf_dir):
+    return posting_lists.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op12_vector_codes(spark, sf_dir):
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))

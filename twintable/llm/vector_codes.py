@@ -313,14 +313,17 @@ def vector_codes(
     read = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).alias("v"))
     rows = keep(read.mapInArrow(_whole(scale), f"key {kinds[key]}, label {kinds[label]}, v binary, size int"))
     first = rows.orderBy("key", "v").select("size").take(1)
-    size = first[0]["size"] if first else parts
+    if not first:
+        empty = rows.select(F.col("key").alias(key), F.lit("").alias("code"), *[F.lit(0).cast("bigint").alias(c) for c in ("error", "label_error")])
+        return empty.withColumn("codebooks_sha256", F.lit(hashlib.sha256(b"").hexdigest()))
+    size = first[0]["size"]
     if size % parts:
         raise ValueError(f"{parts} parts don't divide {size} components")
     rows = rows.where(F.col("size") == size)
     least = [bytes(r["v"]) for r in rows.orderBy("key", "v").select("v").take(entries)]
     blocks = keep(rows.drop("size").mapInArrow(_trees(parts), f"n int, keys array<{kinds[key]}>, labels array<{kinds[label]}>, vectors binary, orders binary"))
-    codebooks = np.ascontiguousarray(_vectors(least, len(least), parts).swapaxes(0, 1)).astype(np.int64) if least else np.zeros((parts, 0, size // parts), np.int64)
-    codebooks = lloyd(blocks, codebooks, rounds)
+    first_books = np.ascontiguousarray(_vectors(least, len(least), parts).swapaxes(0, 1)).astype(np.int64)
+    codebooks = lloyd(blocks, first_books, rounds)
     sha = hashlib.sha256(",".join(map(str, codebooks.ravel().tolist())).encode()).hexdigest()
     coded = keep(blocks.mapInArrow(_coded(codebooks), f"key {kinds[key]}, label {kinds[label]}, code string, error long"))
     by_label = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
