@@ -31,6 +31,8 @@ BOUNDARY, REPLICAS = 1.05, 2
 COVERED = 0.97
 #: Links of a centroid, and queries that walk the graph together.
 LINKS, TOGETHER = 16, 256
+#: Lists that a query meets in one place; the halving makes neighbours of them.
+GROUP = 8
 #: Vectors and queries of a tile.
 BLOCK = 4096
 
@@ -163,14 +165,26 @@ def fit(sample: np.ndarray, lists: int, unit: float, longest: float, neighbours:
     return own._replace(ratio=max(ratio, 1.0) + 1e-9, sample=sample[:few], sample_lists=first[:few])
 
 
+def _by_group(batch: pa.RecordBatch, held: np.ndarray) -> pa.RecordBatch:
+    """A row for each group of lists that a row of ``batch`` has, ``mask`` with a bit for each list of the group."""
+    n, lists = held.shape
+    bits = np.zeros((n, -(-lists // GROUP) * GROUP), np.int64)
+    bits[:, :lists] = held
+    masks = (bits.reshape(n, -1, GROUP) << np.arange(GROUP)).sum(axis=2)
+    row, at = np.nonzero(masks)
+    out = batch.take(pa.array(row))
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(masks[row, at].astype(np.int32)), *out.columns], names=["group", "mask", *out.schema.names])
+
+
 def _placed(lists: Lists):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             row, at = lists.places(_matrix(batch.column("raw").to_pylist()))
-            out = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *out.columns], names=["list", *out.schema.names])
+            held = np.zeros((batch.num_rows, len(lists.centroids)), bool)
+            held[row, at] = True
+            yield _by_group(batch, held)
 
     return run
 
@@ -189,7 +203,7 @@ def _filled(lists: Lists, x: np.ndarray, chosen: np.ndarray, sizes: np.ndarray,
 
 
 def _routed(lists: Lists, sizes: np.ndarray, k: int):
-    """A row for each list that a query searches, with a score that its ``k`` best reach there."""
+    """A row for each group of lists that a query searches, with a score that its ``k`` best reach there."""
 
     def run(batches):
         for batch in batches:
@@ -201,9 +215,8 @@ def _routed(lists: Lists, sizes: np.ndarray, k: int):
                 if len(lists.sample) >= k:
                     scores = np.where(chosen[:, lists.sample_lists], x @ lists.sample.T, -np.inf)
                     floor = np.partition(scores, -k, axis=1)[:, -k]
-                row, at = np.nonzero(chosen)
-                out = own.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *out.columns, pa.array(floor[row])], names=["list", *out.schema.names, "floor"])
+                names = [*own.schema.names, "floor"]
+                yield _by_group(pa.RecordBatch.from_arrays([*own.columns, pa.array(floor)], names=names), chosen)
 
     return run
 
@@ -221,7 +234,7 @@ def _tiles(k: int):
 
     def run(whole: pa.Table, starts: np.ndarray):
         raw, side = whole.column("raw").combine_chunks(), whole.column("side").to_numpy()
-        floor = whole.column("floor").to_numpy()
+        floor, mask = whole.column("floor").to_numpy(), whole.column("mask").to_numpy()
         for s, e in zip(starts[:-1], starts[1:], strict=True):
             q, v = s + np.flatnonzero(side[s:e]), s + np.flatnonzero(~side[s:e])
             if not len(q) or not len(v):
@@ -230,11 +243,12 @@ def _tiles(k: int):
             length = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1).max()
             for t in range(0, len(q), TOGETHER):
                 product = x[t : t + TOGETHER] @ y.T
+                product[(mask[q[t : t + TOGETHER]][:, None] & mask[v]) == 0] = -np.inf  # no list of both
                 least = floor[q[t : t + TOGETHER]]
                 if len(v) > k:
                     least = np.maximum(least, np.partition(product, -k, axis=1)[:, -k])
                 # Products differ in their last digits from scores, which are added up in order.
-                i, j = np.nonzero(product >= (least - 1e-9 * length[t : t + TOGETHER])[:, None])
+                i, j = np.nonzero((product >= (least - 1e-9 * length[t : t + TOGETHER])[:, None]) & np.isfinite(product))
                 score = scores_of(x[t + i], y[j])
                 yield pa.table(
                     {
@@ -249,7 +263,7 @@ def _tiles(k: int):
 
 
 class Index(NamedTuple):
-    """Lists, their postings ``list, digest, raw, ids`` and numbers, and the bytes of a vector."""
+    """Lists, their postings ``group, mask, digest, raw, ids`` and numbers, and the bytes of a vector."""
 
     lists: Lists | None
     postings: DataFrame | None
@@ -288,11 +302,12 @@ def build(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
     few = Window.partitionBy("digest").orderBy("key")
     distinct = rows.groupBy("digest", "key").agg(F.first("raw").alias("raw")).withColumn("turn", F.row_number().over(few)).where(F.col("turn") <= k + 1)
     folded = distinct.groupBy("digest").agg(F.first("raw").alias("raw"), F.sort_array(F.collect_list("key")).alias("ids"))
-    postings = keep(folded.mapInArrow(_placed(lists), "list int, digest binary, raw binary, ids array<bigint>"))
-    held = np.zeros(len(lists.centroids), np.int64)
-    for r in postings.groupBy("list").count().collect():  # a row per list, bounded by the sample
-        held[r["list"]] = r["count"]
-    return Index(lists, postings, held, size)
+    postings = keep(folded.mapInArrow(_placed(lists), "group int, mask int, digest binary, raw binary, ids array<bigint>"))
+    held = np.zeros(-(-len(lists.centroids) // GROUP) * GROUP, np.int64)
+    in_list = [F.sum(F.shiftright("mask", b).bitwiseAND(1)).alias(f"n{b}") for b in range(GROUP)]
+    for r in postings.groupBy("group").agg(*in_list).collect():  # a row per group, bounded by the sample
+        held[r["group"] * GROUP : (r["group"] + 1) * GROUP] = [r[f"n{b}"] for b in range(GROUP)]
+    return Index(lists, postings, held[: len(lists.centroids)], size)
 
 
 def _lengths(batches):
@@ -315,21 +330,21 @@ def search(index: Index, queries: DataFrame, key: str = "vec_id", vector: str =
         return queries.limit(0).select(F.col(key).cast("bigint").alias("query_id"), F.lit(1).alias("rank"), F.col(key).cast("bigint").alias("vec_id"), F.lit(0.0).alias("score"))
     asked = keep(_rows(queries, key, vector).where(F.octet_length("raw") == index.width))
     once = asked.groupBy("digest").agg(F.first("raw").alias("raw"))
-    routed = keep(once.mapInArrow(_routed(index.lists, index.sizes, k + 1), "list int, digest binary, raw binary, floor double"))
-    blocks = index.postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_blocks")).join(
-        routed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "list"
+    routed = keep(once.mapInArrow(_routed(index.lists, index.sizes, k + 1), "group int, mask int, digest binary, raw binary, floor double"))
+    blocks = index.postings.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_blocks")).join(
+        routed.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "group"
     )
 
     def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
         own = F.pmod(F.xxhash64("digest"), F.col(mine)).cast("int").alias(mine[0])
-        df = df.join(F.broadcast(blocks), "list")  # a row per list, bounded by the sample
+        df = df.join(F.broadcast(blocks), "group")  # a row per group, bounded by the sample
         return df.select("*", own, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0]))
 
-    columns = ["list", "v", "q", "digest", "raw"]
+    columns = ["group", "v", "q", "digest", "raw", "mask"]
     stored = dealt(index.postings, "v_blocks", "q_blocks").select(*columns, "ids", F.lit(0.0).alias("floor"), F.lit(False).alias("side"))
     wanted = dealt(routed, "q_blocks", "v_blocks").select(*columns, F.lit(None).cast("array<bigint>").alias("ids"), "floor", F.lit(True).alias("side"))
-    found = whole_groups(stored.unionByName(wanted), ["list", "v", "q"], _tiles(k + 1), "query binary, found binary, score double, ids array<bigint>")
-    # A vector of two lists comes twice; beyond its own vector a query needs no more than k others.
+    found = whole_groups(stored.unionByName(wanted), ["group", "v", "q"], _tiles(k + 1), "query binary, found binary, score double, ids array<bigint>")
+    # A vector of lists in two groups comes twice; beyond its own vector a query needs no more than k others.
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0], "found")
     best = found.repartition("query").dropDuplicates(["query", "found"]).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k + 1)
     ahead = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("under"), i.alias("id")))
