@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.registry import query
 from twintable.operators.models import fit_classifier
 from twintable.operators.nearest import real_to_real, synthetic_to_real
+from twintable.operators.network import BayesNetwork, PrivateBayesNetwork, pair_information
 from twintable.operators.privacy import (
     distance_histograms,
     distance_summary,
     privacy_summary,
     suspiciously_close_rate,
 )
-from twintable.operators.sampling import _seed_of, generate_table, timed_generation
+from twintable.operators.sampling import generate_table, seed_of, timed_generation
 from twintable.plans.baseline import run_baseline
 from twintable.plans.evaluate import evaluate_generators, train_and_score
 from twintable.session import materialize
@@ -174,7 +177,7 @@ def _bits(seed: int) -> str:
 
 
 def _own(name: str) -> int:
-    return _seed_of(42, name)
+    return seed_of(42, name)
 
 
 NUMBERED = "d AS (SELECT range AS id FROM range((SELECT count(*) FROM orders))), r AS (SELECT *, row_number() OVER () - 1 AS place, count(*) OVER () AS rows FROM orders)"
@@ -237,6 +240,104 @@ def _(t):
     return generate_table(t.sql(LINES), "private_bayes_network", options={"epsilon": 1.0, "n_iter": 5})[0]
 
 
+CLERKS = "SELECT o_orderstatus AS status, concat(o_orderstatus, '-', o_custkey) AS clerk, o_orderpriority AS priority FROM {orders}"
+CLERK_CODES = """seen AS (SELECT clerk, row_number() OVER (ORDER BY count(*) DESC, clerk) AS turn FROM o GROUP BY clerk),
+    coded AS (SELECT o.*, '=' || status AS s, '=' || priority AS p, CASE WHEN turn <= 256 THEN '=' || clerk
+        ELSE '#' || (('0x' || substr(md5(clerk), 1, 8))::BIGINT % 64) END AS c FROM o JOIN seen USING (clerk))"""
+CLERK_NODES = [("status", ()), ("clerk", ("status",)), ("priority", ("status", "clerk"))]
+
+
+@query(
+    "network_rare_values_orders",
+    f"""WITH o AS ({CLERKS}), {CLERK_CODES}
+        SELECT s AS status, c AS bucket, clerk AS value, count(*) AS n FROM coded WHERE c LIKE '#%' GROUP BY ALL""",
+)
+def _(t):
+    network = BayesNetwork(structure=CLERK_NODES).fit(t.sql(CLERKS))
+    rare = network.rare_values(network.code(t.sql(CLERKS)))
+    return rare.select(F.col("_cell._p0").alias("status"), F.col("_cell._value").alias("bucket"), "value", "n")
+
+
+def _steps(name: str, parents: str) -> str:
+    """Cumulative shares of a column's codes given its parents' codes."""
+    by = f"PARTITION BY {parents}" if parents else ""
+    group = ", ".join(x for x in (parents, name) if x)
+    share = f"sum(n) OVER ({by} ORDER BY {name})::DOUBLE / sum(n) OVER ({by})::DOUBLE"
+    return f"""{name}_steps AS (SELECT *, lag(upto) OVER ({by} ORDER BY {name}) AS before
+        FROM (SELECT *, {share} AS upto FROM (SELECT {group}, count(*) AS n FROM coded GROUP BY {group})))"""
+
+
+def _u(name: str) -> str:
+    return f"(({_bits(_own(name))} >> 7)::DOUBLE / 9007199254740992.0)"
+
+
+@query(
+    "sample_network_orders",
+    f"""WITH o AS ({CLERKS}), {CLERK_CODES}, {_steps('s', '')}, {_steps('c', 's')}, {_steps('p', 's, c')},
+        d AS (SELECT range AS id FROM range((SELECT count(*) FROM orders))),
+        d1 AS (SELECT id, s FROM d JOIN s_steps ON upto > {_u('status')} AND coalesce(before, -1) <= {_u('status')}),
+        d2 AS (SELECT id, d1.s, c, n FROM d1 JOIN c_steps k ON k.s = d1.s AND upto > {_u('clerk')} AND coalesce(before, -1) <= {_u('clerk')}),
+        d3 AS (SELECT id, d2.s, d2.c, d2.n, p FROM d2 JOIN p_steps k ON k.s = d2.s AND k.c = d2.c AND upto > {_u('priority')} AND coalesce(before, -1) <= {_u('priority')}),
+        rare AS (SELECT s, c, clerk, row_number() OVER (PARTITION BY s, c ORDER BY clerk) - 1 AS at FROM coded WHERE c LIKE '#%')
+        SELECT substr(d3.s, 2) AS status, coalesce(rare.clerk, substr(d3.c, 2)) AS clerk, substr(p, 2) AS priority FROM d3
+        LEFT JOIN rare ON rare.s = d3.s AND rare.c = d3.c AND rare.at = {_bits(seed_of(44, 'clerk'))} % d3.n""",
+)
+def _(t):
+    return generate_table(t.sql(CLERKS), "bayes_network", options={"structure": CLERK_NODES})[0]
+
+
+def _coded_lineitem() -> str:
+    """Codes of all columns of ``lineitem``: bins of 20 quantiles, or values and buckets."""
+    marks = ", ".join(str(i / 20) for i in range(21))
+    binned = "l_orderkey l_partkey l_suppkey l_quantity l_extendedprice".split()
+    edges = ", ".join(f"list_sort(list_distinct(quantile_cont({c}::DOUBLE, [{marks}]))) AS e_{c}" for c in binned)
+    codes = [f"len(list_filter(e_{c}[2:-2], lambda e: e <= {c}))::VARCHAR AS {c}" for c in binned]
+    codes += [f"{c}::VARCHAR AS {c}" for c in "l_linenumber l_discount l_tax l_returnflag l_linestatus".split()]
+    codes.append("CASE WHEN turn <= 256 THEN '=' || day ELSE '#' || (('0x' || substr(md5(day), 1, 8))::BIGINT % 64) END AS l_shipdate")
+    return f"""l AS (SELECT *, l_shipdate::VARCHAR AS day FROM lineitem), e AS (SELECT {edges} FROM lineitem),
+        days AS (SELECT day, row_number() OVER (ORDER BY count(*) DESC, day) AS turn FROM l GROUP BY day),
+        coded AS (SELECT {', '.join(codes)} FROM l JOIN days USING (day), e)"""
+
+
+LINE_COLUMNS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+def _pairs_sql() -> str:
+    pairs = [(a, b) for i, a in enumerate(LINE_COLUMNS) for b in LINE_COLUMNS[i + 1 :]]
+    one = " UNION ALL ".join(f"SELECT '{c}' AS c, entropy({c}) AS h FROM coded" for c in LINE_COLUMNS)
+    two = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, entropy({a} || '|' || {b}) AS h FROM coded" for a, b in pairs)
+    return f"""WITH {_coded_lineitem()}, one AS ({one}), two AS ({two})
+        SELECT a, b, round(x.h + y.h - two.h, 6) + 0.0 AS bits FROM two JOIN one x ON x.c = a JOIN one y ON y.c = b"""
+
+
+@query("pair_information_lineitem", _pairs_sql())
+def _(t):
+    return pair_information(t.lineitem)
+
+
+@query(
+    "private_network_properties_lineitem",
+    """SELECT 'rows' AS property, count(*)::DOUBLE AS value FROM lineitem UNION ALL SELECT 'columns', 11.0 UNION ALL SELECT 'epsilon spent', 1.0
+       UNION ALL SELECT 'delta spent', 0.000001 UNION ALL SELECT 'values never seen', 0.0 UNION ALL SELECT 'mechanisms', 4.0""",
+)
+def _(t):
+    network = PrivateBayesNetwork(epsilon=1.0, delta=1e-6, public=False).fit(t.lineitem)
+    made = network.generate()
+    flags = made.select(F.col("l_returnflag").alias("v")).union(made.select("l_linestatus")).where("v is not null").distinct()
+    real = t.lineitem.select(F.col("l_returnflag").alias("v")).union(t.lineitem.select("l_linestatus")).distinct()
+    strange = flags.join(real, "v", "left_anti").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    spent = network.ledger.table(t.spark)
+    facts = [
+        made.agg(F.lit("rows").alias("property"), F.count(F.lit(1)).cast("double").alias("value")),
+        strange.select(F.lit("values never seen").alias("property"), "value"),
+        spent.agg(F.lit("epsilon spent").alias("property"), F.sum("epsilon").alias("value")),
+        spent.agg(F.lit("delta spent").alias("property"), F.sum("delta").alias("value")),
+        spent.agg(F.lit("mechanisms").alias("property"), F.count_distinct(F.col("mechanism"), F.col("what").startswith("edges")).cast("double").alias("value")),
+        t.spark.range(1).select(F.lit("columns").alias("property"), F.lit(float(len(made.columns))).alias("value")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), facts)
+
+
 @query("generation_facts_lineitem")
 def _(t):
     return generate_table(t.sql(LINES), "bootstrap", options={"n_iter": 5})[1]

@@ -21,6 +21,17 @@ def uniform_index(n: Column, seed: int, *keys: Column) -> Column:
     return (_bits(seed, *keys) % n).cast("bigint")
 
 
+def wide_uniform_index(low: int, high: int, seed: int, *keys: Column) -> Column:
+    """A whole number from ``low`` to ``high``, both included, however far apart they are."""
+    size = high - low + 1
+    if size <= 1 << 60:
+        return F.lit(low).cast("bigint") + uniform_index(F.lit(size), seed, *keys)
+    # 120 bits, as one word of 60 doesn't reach them all
+    first, second = (_bits(s, *keys).cast("decimal(38,0)") for s in (seed, seed + 1))
+    word = first * F.lit(1 << 60).cast("decimal(19,0)") + second
+    return (F.lit(str(low)).cast("decimal(20,0)") + word % F.lit(str(size)).cast("decimal(20,0)")).cast("bigint")
+
+
 def laplace(scale: float, seed: int, *keys: Column) -> Column:
     """A Laplace deviate with the given scale."""
     centred = uniform(seed, *keys) - F.lit(0.5)

@@ -9,78 +9,18 @@ rows.
 from __future__ import annotations
 
 import inspect
-import itertools
-import math
-import secrets
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from twintable.functions.noise import laplace, uniform, uniform_index
-from twintable.operators.counts import quantiles, running_totals, value_counts
+from twintable.functions.noise import uniform, uniform_index, wide_uniform_index
+from twintable.operators.counts import running_totals, value_counts
+from twintable.operators.network import BROADCAST_ROWS, BayesNetwork, PrivateBayesNetwork
+from twintable.operators.sampler import Sampler, draws, number_rows, seed_of
 from twintable.session import materialize
-from twintable.spec import feature_types, numeric_columns
-
-# Columns with at most this many values enter a network or a cumulative table.
-NODE_VALUES = 256
-# Conditional tables up to this many rows go to every executor.
-BROADCAST_ROWS = 200_000
-SALTS = 32
-
-
-def number_rows(df: DataFrame) -> DataFrame:
-    """Add ``_row`` = 0, 1, 2, ... without gaps and without a single-task sort."""
-    placed = materialize(
-        df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    )
-    # one row per partition
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_first"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    return placed.join(F.broadcast(starts), "_part").select(
-        *df.columns, (F.col("_at") - F.col("_first") + F.col("_start")).alias("_row")
-    )
-
-
-def _draws(spark: SparkSession, count: int) -> DataFrame:
-    return spark.range(count).withColumnRenamed("id", "_id")
-
-
-def _seed_of(seed: int, name: str) -> int:
-    return (seed * 1_000_003 + sum((i + 1) * b for i, b in enumerate(name.encode()))) % (2**62)
-
-
-class Sampler:
-    """Fit to a table, then generate rows with the same columns and types."""
-
-    def fit(self, real: DataFrame) -> Sampler:
-        self.schema = real.schema
-        self.rows = real.count()
-        self._fit(real)
-        return self
-
-    def generate(self, count: int = 0, seed: int = 42) -> DataFrame:
-        """``count`` rows, or as many as were fitted when 0."""
-        made = self._generate(count or self.rows, seed)
-        types = {f.name: f.dataType for f in made.schema}
-        return made.select(*[self._shape(f, types[f.name]) for f in self.schema])
-
-    @staticmethod
-    def _shape(f: T.StructField, made: T.DataType) -> Column:
-        """The fitted type; only numbers that a sampler drew as doubles are cut down to whole ones."""
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.IntegralType) and isinstance(made, T.DoubleType):
-            c = F.floor(c)
-        return (c if made == f.dataType else c.cast(f.dataType)).alias(f.name)
-
-    def _fit(self, real: DataFrame) -> None:
-        raise NotImplementedError
-
-    def _generate(self, count: int, seed: int) -> DataFrame:
-        raise NotImplementedError
+from twintable.spec import numeric_columns
 
 
 class Bootstrap(Sampler):
@@ -90,10 +30,10 @@ class Bootstrap(Sampler):
         self.numbered = materialize(number_rows(real))
 
     def _generate(self, count: int, seed: int) -> DataFrame:
-        draws = _draws(self.numbered.sparkSession, count).withColumn(
+        picked = draws(self.numbered.sparkSession, count).withColumn(
             "_row", uniform_index(F.lit(self.rows), seed, F.col("_id"))
         )
-        return draws.join(self.numbered, "_row")
+        return picked.join(self.numbered, "_row")
 
 
 class UniformDomain(Sampler):
@@ -128,14 +68,14 @@ class UniformDomain(Sampler):
             self.domains[c] = (seen.count(), seen.select(F.col("_row").alias(f"_at_{c}"), c))
 
     def _generate(self, count: int, seed: int) -> DataFrame:
-        rows = _draws(SparkSession.active(), count)
+        rows = draws(SparkSession.active(), count)
         for c, (lo, hi) in self.limits.items():
             if lo is None:
                 value = F.lit(None).cast("double")
             elif c in self.whole:  # every whole number of the range alike
-                value = F.lit(lo).cast("bigint") + uniform_index(F.lit(hi - lo + 1), _seed_of(seed, c), F.col("_id"))
+                value = wide_uniform_index(lo, hi, seed_of(seed, c), F.col("_id"))
             else:
-                value = F.lit(lo) + uniform(_seed_of(seed, c), F.col("_id")) * (hi - lo)
+                value = F.lit(lo) + uniform(seed_of(seed, c), F.col("_id")) * (hi - lo)
             rows = rows.withColumn(c, value)
         for c, (size, domain) in self.domains.items():
             if size == 0:
@@ -143,7 +83,7 @@ class UniformDomain(Sampler):
                 continue
             # few values would make hot join keys, so they are sent out instead
             domain = F.broadcast(domain) if size <= BROADCAST_ROWS else domain
-            rows = rows.withColumn(f"_at_{c}", uniform_index(F.lit(size), _seed_of(seed, c), F.col("_id")))
+            rows = rows.withColumn(f"_at_{c}", uniform_index(F.lit(size), seed_of(seed, c), F.col("_id")))
             rows = rows.join(domain, f"_at_{c}").drop(f"_at_{c}")
         return rows
 
@@ -159,302 +99,13 @@ class Marginals(Sampler):
         self.numbered = materialize(number_rows(real))
 
     def _generate(self, count: int, seed: int) -> DataFrame:
-        rows = _draws(self.numbered.sparkSession, count)
+        rows = draws(self.numbered.sparkSession, count)
         for f in self.schema:
-            draw = uniform_index(F.lit(self.rows), _seed_of(seed, f.name), F.col("_id"))
+            draw = uniform_index(F.lit(self.rows), seed_of(seed, f.name), F.col("_id"))
             rows = rows.withColumn("_row", draw).join(self.numbered.select("_row", f.name), "_row").drop("_row")
         return rows
 
 
-@dataclass(frozen=True)
-class Node:
-    name: str
-    parents: tuple[str, ...]
-
-
-def discretise(df: DataFrame, edges: dict[str, list[float]], nodes: Sequence[str]) -> DataFrame:
-    """Node columns as text codes: bin numbers for binned numbers, else the value."""
-
-    def code(c: str) -> Column:
-        if c not in edges:
-            return F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
-        x = F.col(c).cast("double")
-        place = F.when(x.isNull(), F.lit("\u0000"))
-        for i, edge in enumerate(edges[c][1:-1]):
-            place = place.when(x < edge, F.lit(str(i)))
-        return place.otherwise(F.lit(str(max(0, len(edges[c]) - 2))))
-
-    return df.select(*[code(c).alias(c) for c in nodes])
-
-
-def subset_entropies(coded: DataFrame, nodes: Sequence[str], size: int) -> dict[frozenset, float]:
-    """Entropy (bits) of every set of up to ``size`` columns, all in one pass.
-
-    Rows fan out over the column sets in the map task and fold there at once;
-    one number per set reaches the driver.
-    """
-    sets = [s for k in range(1, size + 1) for s in itertools.combinations(nodes, k)]
-    blank = F.lit(None).cast("string")
-    cells = [
-        F.struct(
-            F.lit(i).alias("set"),
-            *[(F.col(s[j]) if j < len(s) else blank).alias(f"v{j}") for j in range(size)],
-        )
-        for i, s in enumerate(sets)
-    ]
-    values = [f"v{j}" for j in range(size)]
-    counts = coded.select(F.inline(F.array(*cells))).groupBy("set", *values).agg(F.count(F.lit(1)).alias("n"))
-    # H = log N - sum(n log n) / N
-    sums = counts.groupBy("set").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log2("n")).alias("s")).collect()
-    return {frozenset(sets[r["set"]]): math.log2(r["all"]) - r["s"] / r["all"] for r in sums}
-
-
-def _information(h: dict[frozenset, float], child: str, parents: tuple[str, ...]) -> float:
-    whole = frozenset(parents)
-    return h[frozenset([child])] + h[whole] - h[whole | {child}]
-
-
-def choose_network(
-    h: dict[frozenset, float], nodes: Sequence[str], degree: int, rows: int, epsilon: float | None, seed: int
-) -> list[Node]:
-    """Greedy parents by mutual information, or by the exponential mechanism.
-
-    Only entropies of column sets are looked at, so this is work on columns.
-    """
-    rng = np.random.default_rng(seed)
-    first = nodes[0] if epsilon is None else nodes[int(rng.integers(len(nodes)))]
-    network, placed, left = [Node(first, ())], [first], [c for c in nodes if c != first]
-    steps = max(1, len(left))
-    while left:
-        k = min(degree, len(placed))
-        options = [(c, p) for c in left for p in itertools.combinations(placed, k)]
-        scores = np.array([_information(h, c, p) for c, p in options])
-        if epsilon is None:
-            pick = int(scores.argmax())
-        else:
-            n = max(2, rows)
-            sensitivity = 2 / n * math.log2((n + 1) / 2) + (n - 1) / n * math.log2((n + 1) / (n - 1))
-            power = epsilon * scores / (2 * steps * sensitivity)
-            chance = np.exp(power - power.max())
-            pick = int(rng.choice(len(options), p=chance / chance.sum()))
-        child, parents = options[pick]
-        network.append(Node(child, parents))
-        placed.append(child)
-        left.remove(child)
-    return network
-
-
-class BayesNetwork(Sampler):
-    """Columns drawn one after the other, each given a few earlier ones.
-
-    Numbers with many values are binned at quantiles and drawn evenly within a
-    bin. Other columns with more than ``max_values`` values carry no usable
-    dependence and are drawn from their own distribution.
-    """
-
-    private = False
-
-    def __init__(self, degree: int = 2, bins: int = 20, max_values: int = NODE_VALUES, seed: int = 42):
-        self.degree, self.bins, self.max_values, self.seed = degree, bins, max_values, seed
-        self.epsilon: float | None = None
-
-    def _fit(self, real: DataFrame) -> None:
-        numeric, rest = feature_types(real, None)
-        sizes = {
-            r["column"]: r["k"]
-            for r in value_counts(real).groupBy("column").agg(F.count("value").alias("k")).collect()
-        }
-        binned = [c for c in numeric if sizes.get(c, 0) > self.bins]
-        loose = [c for c in rest if sizes.get(c, 0) > self.max_values]
-        loose = self._outside(loose)
-        self.nodes = [c for c in real.columns if c not in loose]
-        self.edges = self._bin_edges(real, binned)
-        self.loose = Marginals().fit(real.select(*loose)) if loose else None
-        coded = materialize(discretise(real, self.edges, self.nodes))
-        if not self.nodes:
-            self.network, self.tables = [], {}
-            return
-        h = subset_entropies(coded, self.nodes, min(self.degree + 1, len(self.nodes)))
-        structure = None if self.epsilon is None else self.epsilon / 2
-        self.network = choose_network(h, self.nodes, self.degree, self.rows, structure, self.seed)
-        self.tables = self._conditionals(coded)
-
-    def _outside(self, wide: list[str]) -> list[str]:
-        """Columns with many values that stay outside the network."""
-        return wide
-
-    def _bin_edges(self, real: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
-        if not columns:
-            return {}
-        marks = [i / self.bins for i in range(self.bins + 1)]
-        found = quantiles(real, columns, marks).collect()
-        return {r["column"]: sorted(set(r[2:])) for r in found}
-
-    def _cell_counts(self, coded: DataFrame) -> DataFrame:
-        """``(_node, _p0.., _value, _n)`` of every node, rows fanning out over nodes in one pass."""
-        cells = [
-            F.struct(
-                F.lit(i).alias("_node"),
-                *[
-                    (F.col(node.parents[j]) if j < len(node.parents) else F.lit("")).alias(f"_p{j}")
-                    for j in range(self.degree)
-                ],
-                F.col(node.name).alias("_value"),
-            )
-            for i, node in enumerate(self.network)
-        ]
-        fanned = coded.select(F.inline(F.array(*cells)))
-        return fanned.groupBy(*fanned.columns).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-
-    def _conditionals(self, coded: DataFrame) -> dict[str, tuple[DataFrame, int]]:
-        """Per node and parent values: child values with cumulative shares.
-
-        A window or list holds the values of one child, at most ``max_values``.
-        """
-        keys = ["_node", *[f"_p{j}" for j in range(self.degree)]]
-        whole = Window.partitionBy(*keys)
-        upto = whole.orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        shares = self._cell_counts(coded).select(
-            *keys, "_value", (F.sum("_n").over(upto) / F.sum("_n").over(whole)).alias("_upto")
-        )
-        steps = F.array_sort(F.collect_list(F.struct("_upto", "_value"))).alias("_steps")
-        packed = materialize(shares.groupBy(*keys).agg(steps))
-        sizes = {r["_node"]: r["k"] for r in packed.groupBy("_node").agg(F.count(F.lit(1)).alias("k")).collect()}
-        return {
-            node.name: (
-                packed.where(F.col("_node") == i).select(*[f"_p{j}" for j in range(len(node.parents))], "_steps"),
-                sizes.get(i, 0),
-            )
-            for i, node in enumerate(self.network)
-        }
-
-    def _draw(self, rows: DataFrame, node: Node, seed: int) -> DataFrame:
-        table, size = self.tables[node.name]
-        keys = [f"_p{i}" for i in range(len(node.parents))]
-        u = uniform(_seed_of(seed, node.name), F.col("_id"))
-        table = table.withColumnsRenamed({k: f"_code_{p}" for k, p in zip(keys, node.parents)})
-        on = [f"_code_{p}" for p in node.parents]
-        if not on:
-            # a single row without parents becomes a value of the plan
-            steps = table.select("_steps").scalar()
-            joined = rows.withColumn("_steps", steps)
-        elif size <= BROADCAST_ROWS:
-            joined = rows.join(F.broadcast(table), on, "left")
-        else:
-            # a parent value may hold a third of the rows
-            salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            joined = rows.withColumn("_salt", F.pmod("_id", F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], "left").drop("_salt")
-        joined = joined.withColumn("_u", u)
-        hit = F.filter("_steps", lambda s: s.getField("_upto") > F.col("_u"))
-        last = F.element_at("_steps", -1)
-        value = F.coalesce(F.get(hit, F.lit(0)), last).getField("_value")
-        return joined.withColumn(f"_code_{node.name}", value).drop("_steps", "_u")
-
-    def _decode(self, name: str, seed: int) -> Column:
-        code = F.nullif(F.col(f"_code_{name}"), F.lit("\u0000"))
-        if name not in self.edges:
-            return code.alias(name)
-        edges = F.array(*[F.lit(float(e)) for e in self.edges[name]])
-        at = code.cast("int")
-        lo = F.get(edges, at)
-        hi = F.coalesce(F.get(edges, at + 1), lo)
-        if isinstance(self.schema[name].dataType, T.IntegralType):
-            # Whole numbers of a bin alike: it ends below the next edge, the last one with it.
-            hi = F.when(at >= len(self.edges[name]) - 2, hi + 1).otherwise(F.greatest(hi, lo + 1))
-        return (lo + uniform(_seed_of(seed + 1, name), F.col("_id")) * (hi - lo)).alias(name)
-
-    def _generate(self, count: int, seed: int) -> DataFrame:
-        rows = _draws(SparkSession.active(), count)
-        for node in self.network:
-            rows = self._draw(rows, node, seed)
-        made = rows.select("_id", *[self._decode(n.name, seed) for n in self.network])
-        if self.loose:
-            extra = self.loose._generate(count, seed)
-            made = made.join(extra, "_id")
-        return made
-
-
-class PrivateBayesNetwork(BayesNetwork):
-    """The network under differential privacy (Zhang et al., PrivBayes, TODS 2017).
-
-    Half of ``epsilon`` goes to the choice of parents, half to Laplace noise on
-    the cell counts. The noise has a secret seed unless a test gives one.
-    ``domains`` (values by column) and ``bounds`` (least and largest number by
-    column) are public knowledge: values outside become null, numbers are cut to
-    the bounds, and only they appear in the result. Domains of columns with at
-    most ``max_values`` values and bin edges that are not given are read from
-    the data and not covered by ``epsilon``. No column is ever drawn from real
-    rows: one with more values needs a domain.
-    """
-
-    def __init__(
-        self,
-        epsilon: float = 1.0,
-        degree: int = 2,
-        bins: int = 10,
-        max_values: int = 32,
-        seed: int | None = None,
-        domains: dict[str, Sequence[str]] | None = None,
-        bounds: dict[str, tuple[float, float]] | None = None,
-    ):
-        super().__init__(degree, bins, max_values, secrets.randbits(62) if seed is None else seed)
-        self.epsilon = epsilon
-        self.domains = {c: sorted(map(str, v)) for c, v in (domains or {}).items()}
-        self.bounds = dict(bounds or {})
-
-    def fit(self, real: DataFrame) -> Sampler:
-        known = {}
-        for c, values in self.domains.items():
-            known[c] = F.when(F.col(c).cast("string").isin(values), F.col(c))
-        for c, (lo, hi) in self.bounds.items():
-            known[c] = F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)).cast(real.schema[c].dataType)
-        return super().fit(real.withColumns(known))
-
-    def _outside(self, wide: list[str]) -> list[str]:
-        wide = [c for c in wide if c not in self.domains]
-        if wide:
-            raise ValueError(f"{', '.join(wide)}: more than {self.max_values} values; give public domains or drop these columns")
-        return wide
-
-    def _bin_edges(self, real: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
-        given = {c: [lo + (hi - lo) * i / self.bins for i in range(self.bins + 1)] for c, (lo, hi) in self.bounds.items()}
-        return super()._bin_edges(real, [c for c in columns if c not in given]) | given
-
-    def _cell_counts(self, coded: DataFrame) -> DataFrame:
-        """Noisy counts over every possible cell, empty ones included."""
-        spark = coded.sparkSession
-        # at most max_values (or bins) values per column
-        domains: dict[str, list[str]] = {c: [] for c in self.nodes}
-        for c in self.nodes:
-            if c in self.domains:
-                domains[c] = ["\u0000", *self.domains[c]]
-            elif c in self.bounds:
-                domains[c] = ["\u0000", *map(str, range(self.bins))]
-        read = [c for c in self.nodes if not domains[c]]
-        for r in value_counts(coded, read).select("column", "value").collect() if read else []:
-            domains[r["column"]].append(r["value"])
-        parts = []
-        for i, node in enumerate(self.network):
-            columns = [*node.parents, node.name]
-            places = [f"_p{j}" for j in range(len(node.parents))] + ["_value"]
-            step, picks = 1, {f"_p{j}": F.lit("") for j in range(self.degree)}
-            for c, place in zip(columns, places):
-                values = sorted(domains[c])
-                at = F.pmod(F.floor(F.col("id") / step), F.lit(len(values))).cast("int")
-                picks[place] = F.get(F.array(*[F.lit(v) for v in values]), at)
-                step *= len(values)
-            parts.append(spark.range(step).select(F.lit(i).alias("_node"), *[v.alias(k) for k, v in picks.items()]))
-        cells = parts[0]
-        for part in parts[1:]:
-            cells = cells.unionByName(part)
-        scale = 2.0 * len(self.nodes) / (self.epsilon / 2)
-        noise = laplace(scale, self.seed, *[F.col(c) for c in cells.columns])
-        noisy = F.greatest(F.coalesce("_n", F.lit(0.0)) + noise, F.lit(0.0))
-        # all cells at zero would leave nothing to draw from
-        joined = cells.join(super()._cell_counts(coded), cells.columns, "left")
-        return joined.select(*cells.columns, (noisy + F.lit(1e-9)).alias("_n"))
-
-
 SAMPLERS = {
     "bootstrap": Bootstrap,
     "uniform_domain": UniformDomain,
