@@ -81,7 +81,8 @@ def op3_byte_bpe(spark, sf_dir):
 
 @query
 def op2_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.withColumn("repeated", F.col("n_removed") > 0)
 
 
 @query
