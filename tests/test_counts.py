@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from twintable.operators import selection
 from twintable.operators.counts import numeric_counts, quantile_name, quantiles, running_totals, value_counts
 from twintable.operators.profile import column_profile, iqr_outliers, numeric_summary, range_flags
 
@@ -26,6 +27,43 @@ def test_weighted_quantiles(spark):
     assert (row["p50"], row["p90"]) == pytest.approx((np.quantile(expanded, 0.5), np.quantile(expanded, 0.9)))
 
 
+@pytest.mark.parametrize("cells,listed", [(1024, 4096), (4, 3)])
+def test_selection_equals_sorting(spark, monkeypatch, cells, listed):
+    monkeypatch.setattr(selection, "CELLS", cells)
+    monkeypatch.setattr(selection, "LISTED", listed)
+    rng = np.random.default_rng(8)
+    inf = float("inf")
+    data = {
+        "skewed": list(10.0 ** rng.uniform(-300, 300, 900)) + [-1.5] * 100,
+        "hot": [7.25] * 700 + list(rng.normal(size=300)),
+        "wide": [1.7e308, -1.7e308] * 20 + [0.0, -0.0] * 20 + [None] * 920,
+        "tiny": [5e-324 * (i % 3) for i in range(1000)],
+        "endless": [inf, -inf] * 3 + list(range(94)) + [float("nan")] * 900,
+        "none": [None] * 1000,
+    }
+    rows = [tuple(None if v is None else float(v) for v in r) for r in zip(*data.values(), strict=True)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in data)).repartition(5)
+    probs = [0.0, 0.01, 0.2, 0.5, 0.77, 1.0]
+    got = {r["column"]: r for r in selection.exact_quantiles(df, list(data), probs).collect()}
+    assert set(got) == set(data) - {"none"}
+    for c in got:
+        values = np.sort([v for v in data[c] if v is not None and v == v])
+        assert got[c]["n"] == len(values)
+        for p in probs:
+            at = p * (len(values) - 1)
+            low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+            want = low if low == high else low + (high - low) * (at - np.floor(at))
+            assert got[c][quantile_name(p)] == want, (c, p)
+
+
+def test_selection_with_weights_and_without_rows(spark):
+    df = spark.createDataFrame([(1.0, 3), (2.0, 1), (9.0, 2), (None, 50)], "x double, w bigint")
+    row = selection.exact_quantiles(df, ["x"], [0.5, 0.9], weight="w").first()
+    expanded = [1.0, 1.0, 1.0, 2.0, 9.0, 9.0]
+    assert row["n"] == 6 and (row["p50"], row["p90"]) == pytest.approx((np.quantile(expanded, 0.5), np.quantile(expanded, 0.9)))
+    assert selection.exact_quantiles(df.limit(0), ["x"], [0.5]).count() == 0
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.integers(-5, 5), min_size=1, max_size=30), st.integers(1, 6))
 def test_running_totals_do_not_depend_on_partitions(spark, values, parts):

@@ -27,7 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from twintable.functions.noise import uniform
-from twintable.operators.counts import quantiles, value_counts
+from twintable.operators.counts import value_counts
+from twintable.operators.selection import exact_quantiles
 from twintable.operators.validate import _with_known_flags
 from twintable.session import materialize
 from twintable.spec import feature_types
@@ -63,7 +64,7 @@ def fit_space(real: DataFrame, target: str | None) -> Space:
     numeric, categorical = feature_types(real, target)
     medians, deviations, modes = {}, {}, {}
     if numeric:
-        found = {r["column"]: r["p50"] for r in quantiles(real, numeric, (0.5,)).collect()}
+        found = {r["column"]: r["p50"] for r in exact_quantiles(real, numeric, (0.5,)).collect()}
         medians = {c: float(found.get(c, 0.0)) for c in numeric}
         spread = real.agg(
             *[F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.lit(medians[c]))).alias(c) for c in numeric]

@@ -7,13 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from twintable.functions.text import BINARY_WORDS
-from twintable.operators.counts import (
-    numeric_counts,
-    quantile_name,
-    quantiles_of_totals,
-    running_totals,
-    value_counts,
-)
+from twintable.operators.counts import quantile_name, value_counts
+from twintable.operators.selection import exact_quantiles
 from twintable.session import materialize
 from twintable.spec import is_numeric, numeric_columns
 
@@ -23,6 +18,7 @@ PERCENT_WORDS = ("pct", "percent", "percentage")
 AMOUNT_WORDS = ("mass", "weight", "co2", "amount", "qty", "quantity")
 
 SUMMARY_PROBS = (0.01, 0.05, 0.5, 0.95, 0.99)
+QUARTILES = (0.25, 0.75)
 
 
 def _named(words: Sequence[str], column: str) -> bool:
@@ -149,45 +145,50 @@ def _describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*[stats(c) for c in columns]).alias("s")).select(F.inline("s"))
 
 
+def summary_quantiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All quantiles that ``numeric_summary`` and ``iqr_outliers`` need, in one go."""
+    return exact_quantiles(df, columns, sorted({*SUMMARY_PROBS, *QUARTILES}))
+
+
 def numeric_summary(
-    df: DataFrame, columns: Sequence[str] | None = None, totals: DataFrame | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, found: DataFrame | None = None
 ) -> DataFrame:
-    """Count, mean, sample deviation, range and quantiles of numeric columns."""
+    """Count, mean, sample deviation, range and quantiles of numeric columns.
+
+    ``found`` may hold the quantiles (``summary_quantiles``).
+    """
     columns = list(columns or numeric_columns(df))
-    totals = running_totals(numeric_counts(df, columns), ["n"]) if totals is None else totals
-    found = quantiles_of_totals(totals, SUMMARY_PROBS).drop("n")
+    found = exact_quantiles(df, columns, SUMMARY_PROBS) if found is None else found
     names = [quantile_name(p) for p in SUMMARY_PROBS]
+    # one row per column
     return (
         _describe(df, columns)
-        .join(found, "column", "left")
+        .join(F.broadcast(found.select("column", *names)), "column", "left")
         .select("column", "count", "mean", "std", "min", *names, "max")
     )
 
 
 def iqr_outliers(
-    df: DataFrame, columns: Sequence[str] | None = None, totals: DataFrame | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, found: DataFrame | None = None
 ) -> DataFrame:
     """Bounds 1.5 quartile ranges out, and how many values lie beyond them."""
     columns = list(columns or numeric_columns(df))
-    if totals is None:
-        totals = materialize(running_totals(numeric_counts(df, columns), ["n"]))
-    spread = F.col("p75") - F.col("p25")
-    bounds = (
-        quantiles_of_totals(totals, (0.25, 0.75))
-        .where((F.col("n") >= 10) & (spread != 0))
-        .select(
-            "column",
-            (F.col("p25") - 1.5 * spread).alias("iqr_low"),
-            (F.col("p75") + 1.5 * spread).alias("iqr_high"),
-        )
-    )
-    beyond = (F.col("value") < F.col("iqr_low")) | (F.col("value") > F.col("iqr_high"))
-    # one row per column on the broadcast side
-    return (
-        totals.join(F.broadcast(bounds), "column")
-        .groupBy("column", "iqr_low", "iqr_high")
-        .agg(F.sum(F.when(beyond, F.col("n")).otherwise(0)).cast("bigint").alias("outlier_count"))
-    )
+    found = exact_quantiles(df, columns, QUARTILES) if found is None else found
+    bounds = {}
+    for r in found.collect():  # one row per column
+        spread = r["p75"] - r["p25"]
+        if r["n"] >= 10 and spread != 0:
+            bounds[r["column"]] = (r["p25"] - 1.5 * spread, r["p75"] + 1.5 * spread)
+    if not bounds:
+        return df.sparkSession.createDataFrame([], "column string, iqr_low double, iqr_high double, outlier_count bigint")
+
+    def beyond(c: str) -> Column:
+        low, high = bounds[c]
+        x = F.col(c).cast("double")
+        out = ~F.isnan(x) & ((x < low) | (x > high))
+        return F.struct(F.lit(c).alias("column"), F.lit(low).alias("iqr_low"), F.lit(high).alias("iqr_high"), F.count_if(out).alias("outlier_count"))
+
+    return df.agg(F.array(*[beyond(c) for c in bounds]).alias("s")).select(F.inline("s"))
 
 
 def range_flags(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from twintable.operators.clean import (
     hash_columns,
     normalize_strings,
 )
-from twintable.operators.counts import numeric_counts, running_totals, value_counts
+from twintable.operators.counts import value_counts
 from twintable.operators.naming import resolve_columns, standard_name, standardize_columns
 from twintable.operators.profile import (
     class_distribution,
@@ -25,6 +25,7 @@ from twintable.operators.profile import (
     range_flags,
     sample_values,
     schema_catalogue,
+    summary_quantiles,
 )
 from twintable.session import materialize
 from twintable.spec import Roles, numeric_columns
@@ -65,7 +66,7 @@ def profile_and_clean(raw: DataFrame, roles: Roles, order: tuple[str, ...] = ())
     counts = materialize(value_counts(table))
     profile = materialize(column_profile(table, target, group, counts))
     numeric = numeric_columns(table)
-    totals = materialize(running_totals(numeric_counts(table, numeric), ["n"])) if numeric else None
+    found = summary_quantiles(table, numeric) if numeric else None
     flags = range_flags(table)
     unwanted = id_like_columns(table, [c for c in (target, group) if c], profile)
 
@@ -93,8 +94,8 @@ def profile_and_clean(raw: DataFrame, roles: Roles, order: tuple[str, ...] = ())
         profile=profile,
         classes=class_distribution(table, target) if target else None,
         samples=sample_values(table, counts=counts, profile=profile),
-        numbers=numeric_summary(table, numeric, totals) if numeric else None,
-        outliers=iqr_outliers(table, numeric, totals) if numeric else None,
+        numbers=numeric_summary(table, numeric, found) if numeric else None,
+        outliers=iqr_outliers(table, numeric, found) if numeric else None,
         flags=flags,
         catalogue=schema_catalogue(profile, flags),
         summary=summary,
