@@ -1,6 +1,8 @@
+import hashlib
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from twintable.operators.split import _repeat, split_rows, tag_split
 from twintable.operators.utility import (
     category_shares,
     correlation_mae,
+    correlation_pairs,
     histogram,
     ks_pvalue,
     ks_statistic,
@@ -158,6 +161,38 @@ def test_split_falls_back_to_one_stratum(spark):
     assert tagged.count() == 20 and tagged.where("is_test").count() == 4
 
 
+def test_split_takes_the_first_digests_of_each_class(spark):
+    rows = [(i, "abc"[min(i % 7, 2)]) for i in range(9000)] + [(10000 + i, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(7)
+    tagged = tag_split(df, "t", ["id"], share=0.3, seed=9).collect()
+    by_class = {}
+    for r in tagged:
+        by_class.setdefault(r["t"], []).append((hashlib.sha256(f"{r['id']}|9".encode()).hexdigest(), r["is_test"]))
+    sizes = {t: sum(b for _, b in v) for t, v in by_class.items()}
+    assert sum(sizes.values()) == 2709 and all(abs(n - 0.3 * len(by_class[t])) < 1 for t, n in sizes.items())
+    for t, v in by_class.items():
+        assert [b for _, b in sorted(v)] == [True] * sizes[t] + [False] * (len(v) - sizes[t])
+
+
+def test_correlations_of_every_two_columns(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(800, 40)) * 10.0 ** rng.integers(-3, 6, 40) + 10.0 ** rng.integers(0, 7, 40)
+    x[:, 1] = 3 * x[:, 0] - 1
+    x[:, 2] = 0.1  # constant, and constant where others are there
+    x[400:, 3], x[:400, 4] = np.nan, np.nan
+    x[400:, 5] = 7.7
+    x[::3, 6] = np.nan
+    df = spark.createDataFrame([tuple(None if v != v and i % 2 else float(v) for i, v in enumerate(r)) for r in x], ", ".join(f"c{i} double" for i in range(40)))
+    got = {(r["a"], r["b"]): r["real_corr"] for r in correlation_pairs(df.repartition(3), df, df.columns).collect()}
+    want = pd.DataFrame(x).corr().fillna(0.0).to_numpy()
+    assert len(got) == 40 * 41 // 2
+    for i in range(40):
+        for j in range(i, 40):
+            if {i, j} != {4, 5}:
+                assert got[f"c{i}", f"c{j}"] == pytest.approx(want[i, j], abs=1e-6), (i, j)
+    assert got["c4", "c5"] == 0.0 and got["c3", "c4"] == 0.0 and got["c2", "c2"] == 0.0
+
+
 def test_repeat_spreads_blocks(spark):
     df = spark.createDataFrame([("a", 10000), ("b", 0), ("c", 1)], "k string, n bigint")
     assert {r["k"]: r["count"] for r in _repeat(df, "n", 512).groupBy("k").count().collect()} == {"a": 10000, "c": 1}

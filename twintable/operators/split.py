@@ -44,40 +44,58 @@ def _stratum(quotas: DataFrame, target: str | None):
     return F.lit(_ANY) if single else F.coalesce(F.col(target).cast("string"), F.lit("<MISSING>"))
 
 
+def quota_edges(hashed: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``_stratum, _edge, _take``: the digest in which a class's quota ends, and how many rows of it.
+
+    ``hashed`` has ``_stratum, _digest, _n``. Each pass counts a class's rows by the next three hex
+    digits below the prefix that holds the edge, 4,096 numbers a class and task, and goes on with
+    the prefix that the quota ends in, until that holds one digest: no rows are sorted or shuffled,
+    and passes grow with the logarithm of the largest class. A class of quota 0 has no edge.
+    """
+    edges = quotas.where("quota > 0").select(F.col("stratum").alias("_stratum"), F.lit("").alias("_prefix"), F.col("quota").alias("_take"))
+    length = 0
+    while True:
+        inside = hashed.join(edges, "_stratum").where(F.substring("_digest", 1, length) == F.col("_prefix"))
+        length += 3
+        counts = inside.groupBy("_stratum", F.substring("_digest", 1, length).alias("_prefix")).agg(
+            F.sum("_n").alias("_rows"), F.first("_take").alias("_take"), F.min("_digest").alias("_edge"), F.max("_digest").alias("_last")
+        )
+        # at most 4096 rows a class
+        upto = F.sum("_rows").over(Window.partitionBy("_stratum").orderBy("_prefix"))
+        hit = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_rows") < F.col("_take")))
+        edges = materialize(hit.select("_stratum", "_prefix", (F.col("_take") - F.col("_upto") + F.col("_rows")).alias("_take"), "_edge", "_last"))
+        if edges.where("_edge <> _last").isEmpty():
+            return edges.select("_stratum", "_edge", "_take")
+        edges = edges.select("_stratum", "_prefix", "_take")
+
+
+def _taken(marked: DataFrame) -> DataFrame:
+    """``_test``: how many of a row's ``_n`` copies go to the test set.
+
+    Digests below the edge go there and those above it don't; a window numbers only the rows
+    of the one digest in which a quota ends.
+    """
+    below = F.coalesce(F.col("_digest") < F.col("_edge"), F.lit(False))
+    at_edge = F.coalesce(F.col("_digest") == F.col("_edge"), F.lit(False))
+    decided = marked.where(~at_edge).withColumn("_test", F.when(below, F.col("_n")).otherwise(F.lit(0).cast("bigint")))
+    earlier = Window.partitionBy("_stratum").orderBy("_digest").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("_take") - F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    return decided.unionByName(marked.where(at_edge).withColumn("_test", F.least(F.greatest(rest, F.lit(0)), F.col("_n"))))
+
+
 def tag_split(
     df: DataFrame, target: str | None, key: Sequence[str], share: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Add boolean ``is_test``; ``key`` must identify a row.
 
-    Rows are ordered within a class by SHA-256 of key and seed and the first
-    ``quota`` go to the test set. Counts per class and hash prefix show where
-    the quota ends, so only the rows of that one prefix are ranked; all others
-    are decided by a look at their prefix.
+    Rows are ordered within a class by SHA-256 of key and seed and the first ``quota`` go to the
+    test set; where that is follows from counts of digests (``quota_edges``).
     """
     quotas = materialize(test_quotas(df, target, share))
     digest = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))), 256)
-    hashed = df.withColumns({"_stratum": _stratum(quotas, target), "_digest": digest}).withColumn(
-        "_prefix", F.substring("_digest", 1, 4)
-    )
-    prefixes = hashed.groupBy("_stratum", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    # at most 65536 prefixes per class
-    upto = F.sum("_n").over(Window.partitionBy("_stratum").orderBy("_prefix"))
-    cuts = materialize(
-        prefixes.select("_stratum", "_prefix", "_n", upto.alias("_upto"))
-        .join(quotas.withColumnRenamed("stratum", "_stratum"), "_stratum")
-        .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-        .select(
-            "_stratum", F.col("_prefix").alias("_cut"), (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_take")
-        )
-    )
-    marked = hashed.join(cuts, "_stratum", "left")
-    edge = F.col("_prefix") == F.col("_cut")
-    decided = marked.where(~F.coalesce(edge, F.lit(False))).withColumn(
-        "is_test", F.coalesce(F.col("_prefix") < F.col("_cut"), F.lit(False))
-    )
-    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_digest"))
-    ranked = marked.where(edge).withColumn("is_test", rank <= F.col("_take"))
-    return decided.select(*df.columns, "is_test").unionByName(ranked.select(*df.columns, "is_test"))
+    hashed = df.withColumns({"_stratum": _stratum(quotas, target), "_digest": digest, "_n": F.lit(1).cast("bigint")})
+    edges = quota_edges(hashed.select("_stratum", "_digest", "_n"), quotas)
+    return _taken(hashed.join(edges, "_stratum", "left")).select(*df.columns, (F.col("_test") > 0).alias("is_test"))
 
 
 def _repeat(df: DataFrame, times: str, block: int = 4096) -> DataFrame:
@@ -93,25 +111,19 @@ def split_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """Train and test tables of a table without a key.
 
-    Equal rows cannot be told apart, so distinct rows carry a count; running
-    totals in hash order say how many copies of each go to the test set.
+    Equal rows cannot be told apart, so distinct rows carry a count; the digest
+    in which a class's quota ends says how many copies of each go to the test set.
     """
     quotas = materialize(test_quotas(df, target, share))
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in df.columns]
     digest = F.sha2(F.concat_ws("\u0001", *cells, F.lit(str(seed))), 256)
-    distinct = (
+    distinct = materialize(
         df.groupBy(*df.columns)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumns({"_stratum": _stratum(quotas, target), "_digest": digest})
     )
-    totals = running_totals(distinct, ["_n"], key="_stratum", order=("_digest",))
-    before = F.col("upto__n") - F.col("_n")
-    in_test = F.least(F.greatest(F.col("quota") - before, F.lit(0)), F.col("_n"))
-    tagged = materialize(
-        totals.join(quotas.withColumnRenamed("stratum", "_stratum"), "_stratum").select(
-            *df.columns, in_test.alias("_test"), (F.col("_n") - in_test).alias("_train")
-        )
-    )
+    edges = quota_edges(distinct.select("_stratum", "_digest", "_n"), quotas)
+    tagged = _taken(distinct.join(edges, "_stratum", "left")).withColumn("_train", F.col("_n") - F.col("_test"))
     return (
         _repeat(tagged, "_train").select(*df.columns),
         _repeat(tagged, "_test").select(*df.columns),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from twintable.operators.counts import paired_numeric_counts, paired_value_counts, running_totals
@@ -134,23 +134,52 @@ def top_categories(shares: DataFrame, k: int = 5) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], side: str) -> DataFrame:
-    def one(a: str, b: str) -> Column:
-        # only rows with both values count; a constant side leaves it undefined
-        x = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-        y = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
-        spread = F.stddev_pop(x) * F.stddev_pop(y)
-        r = F.when(spread > 0, F.lit(1.0) if a == b else F.try_divide(F.covar_pop(x, y), spread))
-        clean = F.when(r.isNull() | F.isnan(r), F.lit(0.0)).otherwise(r)
-        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), clean.alias(f"{side}_corr"))
+def cross_products(df: DataFrame, columns: Sequence[str], means: Sequence[float]) -> DataFrame:
+    """``i, j, n, sx, sy, sxx, syy, sxy`` for every two columns (i <= j): sums over rows that have both.
 
-    return df.agg(F.array(*[one(a, b) for a, b in pairs]).alias("s")).select(F.inline("s"))
+    A task multiplies blocks of rows as matrices, with ``means`` taken off, and adds its blocks
+    up; a row for each pair and task is all that is shuffled, however many rows there are.
+    """
+    k = len(columns)
+    upper = np.triu_indices(k)
+
+    def run(batches):
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], dtype=np.float64).T.reshape(-1, k) - means
+            has = ~np.isnan(x)
+            x, one = np.where(has, x, 0.0), has.astype(np.float64)
+            square = x * x
+            total += [one.T @ one, x.T @ one, one.T @ x, square.T @ one, one.T @ square, x.T @ x]
+        cells = [pa.array(upper[0].astype(np.int32)), pa.array(upper[1].astype(np.int32)), *[pa.array(t[upper]) for t in total]]
+        yield pa.RecordBatch.from_arrays(cells, names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    products = numbers.mapInArrow(run, "i int, j int, " + ", ".join(f"{s} double" for s in sums))
+    return products.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def _correlations(df: DataFrame, columns: Sequence[str], side: str) -> DataFrame:
+    seen = df.agg(*[F.avg(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    products = cross_products(df, columns, [m if m is not None else 0.0 for m in seen])
+    n = F.nullif("n", F.lit(0.0))
+
+    def spread(first: str, second: str) -> Column:
+        # What rounding leaves of a constant side is no spread; such a side leaves the value undefined.
+        value = F.col(second) / n - (F.col(first) / n) * (F.col(first) / n)
+        return F.when(value > F.col(second) / n * 1e-12, value)
+
+    both = F.sqrt(spread("sx", "sxx")) * F.sqrt(spread("sy", "syy"))
+    r = F.when(F.col("i") == F.col("j"), both / both).otherwise((F.col("sxy") / n - F.col("sx") / n * (F.col("sy") / n)) / both)
+    clean = F.when(r.isNull() | F.isnan(r), F.lit(0.0)).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    names = F.array(*[F.lit(c) for c in columns])
+    return products.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), clean.alias(f"{side}_corr"))
 
 
 def correlation_pairs(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(a, b, real_corr, syn_corr)`` for every unordered pair, undefined ones as 0."""
-    pairs = list(combinations_with_replacement(columns, 2))
-    return _correlations(real, pairs, "real").join(_correlations(syn, pairs, "syn"), ["a", "b"])
+    return _correlations(real, columns, "real").join(_correlations(syn, columns, "syn"), ["a", "b"])
 
 
 def correlation_mae(real: DataFrame, syn: DataFrame, columns: Sequence[str]) -> DataFrame:
