@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from twintable.operators.class_metrics import accuracy_and_f1, confusion_counts, confusion_matrix, group_metrics
 from twintable.operators.compare import winner
 from twintable.operators.fairness import fairness_summary, group_label_l1
+from twintable.operators import split
 from twintable.operators.split import _repeat, split_rows, tag_split
 from twintable.operators.utility import (
     category_shares,
@@ -161,7 +162,9 @@ def test_split_falls_back_to_one_stratum(spark):
     assert tagged.count() == 20 and tagged.where("is_test").count() == 4
 
 
-def test_split_takes_the_first_digests_of_each_class(spark):
+@pytest.mark.parametrize("few", [4096, 1])
+def test_split_takes_the_first_digests_of_each_class(spark, monkeypatch, few):
+    monkeypatch.setattr(split, "EDGE_ROWS", few)
     rows = [(i, "abc"[min(i % 7, 2)]) for i in range(9000)] + [(10000 + i, None) for i in range(30)]
     df = spark.createDataFrame(rows, "id long, t string").repartition(7)
     tagged = tag_split(df, "t", ["id"], share=0.3, seed=9).collect()

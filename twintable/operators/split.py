@@ -11,6 +11,8 @@ from twintable.operators.counts import running_totals
 from twintable.session import materialize
 
 _ANY = "(all)"
+#: Rows of a class that may share the beginning of the digest in which its quota ends.
+EDGE_ROWS = 4096
 
 
 def test_quotas(df: DataFrame, target: str | None, share: float = 0.2) -> DataFrame:
@@ -45,38 +47,42 @@ def _stratum(quotas: DataFrame, target: str | None):
 
 
 def quota_edges(hashed: DataFrame, quotas: DataFrame) -> DataFrame:
-    """``_stratum, _edge, _take``: the digest in which a class's quota ends, and how many rows of it.
+    """``_stratum, _edge, _take``: how the digest begins in which a class's quota ends, and how many rows of it.
 
     ``hashed`` has ``_stratum, _digest, _n``. Each pass counts a class's rows by the next three hex
     digits below the prefix that holds the edge, 4,096 numbers a class and task, and goes on with
-    the prefix that the quota ends in, until that holds one digest: no rows are sorted or shuffled,
-    and passes grow with the logarithm of the largest class. A class of quota 0 has no edge.
+    the prefix that the quota ends in, until few rows share it or all of them the next 15 digits:
+    no table is sorted, and passes grow with the logarithm of the largest class. A class of quota 0
+    has no edge.
     """
     edges = quotas.where("quota > 0").select(F.col("stratum").alias("_stratum"), F.lit("").alias("_prefix"), F.col("quota").alias("_take"))
     length = 0
     while True:
         inside = hashed.join(edges, "_stratum").where(F.substring("_digest", 1, length) == F.col("_prefix"))
         length += 3
-        counts = inside.groupBy("_stratum", F.substring("_digest", 1, length).alias("_prefix")).agg(
-            F.sum("_n").alias("_rows"), F.first("_take").alias("_take"), F.min("_digest").alias("_edge"), F.max("_digest").alias("_last")
+        # as a number, which hash aggregates can hold
+        rest = F.conv(F.substring("_digest", length + 1, 15), 16, 10).cast("bigint")
+        counts = inside.groupBy("_stratum", "_take", F.substring("_digest", 1, length).alias("_prefix")).agg(
+            F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_many"), F.min(rest).alias("_low"), F.max(rest).alias("_high")
         )
         # at most 4096 rows a class
         upto = F.sum("_rows").over(Window.partitionBy("_stratum").orderBy("_prefix"))
         hit = counts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_take")) & (F.col("_upto") - F.col("_rows") < F.col("_take")))
-        edges = materialize(hit.select("_stratum", "_prefix", (F.col("_take") - F.col("_upto") + F.col("_rows")).alias("_take"), "_edge", "_last"))
-        if edges.where("_edge <> _last").isEmpty():
-            return edges.select("_stratum", "_edge", "_take")
+        edges = materialize(hit.select("_stratum", "_prefix", (F.col("_take") - F.col("_upto") + F.col("_rows")).alias("_take"), "_many", "_low", "_high"))
+        if edges.where((F.col("_many") > EDGE_ROWS) & (F.col("_low") != F.col("_high"))).isEmpty():
+            begin = F.lpad(F.lower(F.hex("_low")), 15, "0")
+            return edges.select("_stratum", F.when(F.col("_low") == F.col("_high"), F.concat("_prefix", begin)).otherwise(F.col("_prefix")).alias("_edge"), "_take")
         edges = edges.select("_stratum", "_prefix", "_take")
 
 
 def _taken(marked: DataFrame) -> DataFrame:
     """``_test``: how many of a row's ``_n`` copies go to the test set.
 
-    Digests below the edge go there and those above it don't; a window numbers only the rows
-    of the one digest in which a quota ends.
+    Digests below the edge go there and those above it don't; a window numbers only the few rows
+    of the prefix in which a quota ends.
     """
     below = F.coalesce(F.col("_digest") < F.col("_edge"), F.lit(False))
-    at_edge = F.coalesce(F.col("_digest") == F.col("_edge"), F.lit(False))
+    at_edge = F.coalesce(F.startswith("_digest", "_edge"), F.lit(False))
     decided = marked.where(~at_edge).withColumn("_test", F.when(below, F.col("_n")).otherwise(F.lit(0).cast("bigint")))
     earlier = Window.partitionBy("_stratum").orderBy("_digest").rowsBetween(Window.unboundedPreceding, -1)
     rest = F.col("_take") - F.coalesce(F.sum("_n").over(earlier), F.lit(0))
