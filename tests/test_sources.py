@@ -1,5 +1,8 @@
 """Files as they come: ragged sheets, headers in another order, long numbers; samplers that keep values whole."""
 
+import csv
+import io
+import random
 from collections import Counter
 
 import pytest
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twintable.operators.sampling import SAMPLERS, Bootstrap, Marginals, UniformDomain
 from twintable.operators.sheets import promote_header
-from twintable.sources.tables import infer_types, read_cells, read_grid, read_table
+from twintable.sources.tables import infer_types, read_cells, read_documents, read_grid, read_table
 
 
 def test_ragged_sheets_keep_cells_and_places(spark, tmp_path):
@@ -25,6 +28,50 @@ def test_ragged_sheets_keep_cells_and_places(spark, tmp_path):
     assert grid.columns == ["file", "row_no", "c1", "c2", "c3"] and grid.where("c3 = 'last'").first().row_no == 4
 
 
+def test_sheets_in_many_splits_equal_the_whole_file(spark, tmp_path):
+    rng = random.Random(4)
+    cell = lambda: rng.choice(["", "x", '"', 'say "hi", \n\n"', "a,b", "line\r\nbreak", 'half " inch', "  ", "é" * 40, '",\n"', "\n" * 5])
+    for name, end in (("a b.csv", "\n"), ("c.csv", "\r\n")):
+        out = io.StringIO(newline="")
+        for i in range(900):
+            csv.writer(out, lineterminator=end, quoting=rng.choice([csv.QUOTE_MINIMAL, csv.QUOTE_ALL])).writerow([cell() for _ in range(rng.randint(0, 5))] if i % 7 else [f"row {i}"])
+            if i % 50 == 0:
+                out.write(f'7" pipe,"closed" and more,{i}{end}{end}')
+        (tmp_path / name).write_bytes(out.getvalue().encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = sorted((r.file, r.row_no, r.cells) for r in read_cells(spark, str(tmp_path)).collect())
+        assert spark.read.text(str(tmp_path), lineSep="\n").rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = []
+    for name in ("a b.csv", "c.csv"):
+        rows = csv.reader(io.StringIO((tmp_path / name).read_bytes().decode(), newline=""))
+        want += [(name, i, [c if c else None for c in row]) for i, row in enumerate(rows, 1)]
+    assert got == want
+
+
+def test_long_cells_and_empty_files(spark, tmp_path):
+    long = "x" * 200_000 + "\n" + '""' * 70_000
+    (tmp_path / "long.csv").write_text(f'a,"{long}",b\nc\n')
+    (tmp_path / "none.csv").write_text("")
+    rows = {r.row_no: r.cells for r in read_cells(spark, str(tmp_path)).collect()}
+    assert rows == {1: ["a", long.replace('""', '"'), "b"], 2: ["c"]}
+
+
+def test_names_that_need_escapes(spark, tmp_path):
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    (folder / "x 1.csv").write_text("a,b\r\n1,x\r\n")
+    (folder / "y+ %2[z] 2.csv").write_text("b,c\ny,2\n")
+    got = {(r.a, r.b, r.c) for r in read_table(spark, str(folder)).collect()}
+    assert got == {(1, "x", None), (None, "y", 2)}
+    assert {r.file for r in read_cells(spark, str(folder)).collect()} == {"x 1.csv", "y+ %2[z] 2.csv"}
+    assert {r.file for r in read_documents(spark, str(folder)).collect()} == {"x 1.csv", "y+ %2[z] 2.csv"}
+
+
 def test_header_below_a_short_title_is_found(spark, tmp_path):
     (tmp_path / "s.csv").write_text("Parts list\n\nPosition number,Component number,Name\n1,007,bolt\n")
     table = promote_header(read_grid(spark, str(tmp_path / "s.csv")).drop("file"))

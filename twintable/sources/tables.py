@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+import sys
 from collections.abc import Sequence
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twintable.functions.text import NULL_TOKENS, NUMBER, WHOLE_NUMBER, missing_to_null, parse_double
 from twintable.session import materialize
@@ -82,26 +86,97 @@ def read_table(
 def same_header(spark: SparkSession, path: str | list[str]) -> list[str | list[str]]:
     """The files of ``path`` in groups of one header line each; one group is the path itself.
 
-    Only first lines leave the executors, one for each different header.
+    Files are listed without their content, and a task opens each once for its first line.
+    One row a header, with its files, reaches the driver, as the reader takes names from there.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
-    )
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    kinds = materialize(first).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy(F.element_at("files", 1)).collect()
-    return [path] if len(kinds) < 2 else [r["files"] for r in kinds]
+    files = spark.read.format("binaryFile").load(path).select("path")
+    firsts = materialize(files.repartition(F.col("path")).mapInArrow(_first_lines, "path string, header binary"))
+    kinds = firsts.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files")).orderBy(F.element_at("files", 1)).collect()
+    return [path] if len(kinds) < 2 else [[_literal(f) for f in r["files"]] for r in kinds]
+
 
+def _literal(path: str) -> str:
+    """A path whose characters stand for themselves where patterns are allowed."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
-_GRID = pa.schema([("file", pa.string()), ("row_no", pa.int64()), ("cells", pa.list_(pa.string()))])
 
+def _open(path: str):
+    """A file named as Spark names it, without escapes, as a stream."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file" or path.startswith("/"):
+        return LocalFileSystem().open_input_stream("/" + (rest if scheme == "file" else path).lstrip("/"))
+    folder, name = FileSystem.from_uri(quote(path, safe=":/@"))
+    return folder.open_input_stream(name)
 
-def _grid_rows(batches):
+
+def _first_lines(batches):
     for batch in batches:
-        for file, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            rows = csv.reader(io.StringIO(text, newline=""))
-            found = [{"file": file, "row_no": i, "cells": [c if c else None for c in row]} for i, row in enumerate(rows, 1)]
-            for start in range(0, len(found), 10_000):
-                yield pa.RecordBatch.from_pylist(found[start : start + 10_000], schema=_GRID)
+        heads = []
+        for path in batch.column("path").to_pylist():
+            head = b""
+            with _open(path) as stream:
+                while b"\n" not in head and (more := stream.read(1 << 16)):
+                    head += more
+            heads.append(head.split(b"\n", 1)[0].rstrip(b"\r"))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(heads, pa.binary())], names=["path", "header"])
+
+
+def ends_inside(line: str, inside: bool) -> bool:
+    """Whether a quoted cell is still open after ``line``, given whether one is before it.
+
+    A quote opens a cell only where the cell begins, two quotes inside are one, and what
+    follows a closing quote belongs to the cell up to the next comma.
+    """
+    at = 0
+    while True:
+        if not inside and line.startswith('"', at):
+            inside, at = True, at + 1
+        if inside:
+            close = line.find('"', at)
+            while close >= 0 and line.startswith('"', close + 1):
+                close = line.find('"', close + 2)
+            if close < 0:
+                return True
+            inside, at = False, close + 1
+        comma = line.find(",", at)
+        if comma < 0:
+            return False
+        at = comma + 1
+
+
+_LINES = pa.schema([(n, pa.string() if n in ("file", "value") else pa.bool_() if n.startswith("open") else pa.int64()) for n in "file split line value record0 record1 open0 open1".split()])
+
+
+def _numbered_lines(batches):
+    """Lines with their place in their split, and their row there if the split begins outside a cell (0) or inside (1).
+
+    ``record`` counts the rows that end before a line, ``open`` tells whether a cell is open after it.
+    """
+    place, line, record, open_ = None, 0, [0, 0], [False, True]
+    for batch in batches:
+        out: dict[str, list] = {n: [] for n in _LINES.names}
+        for file, split, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (file, split) != place:
+                place, line, record, open_ = (file, split), 0, [0, 0], [False, True]
+            before = list(record)
+            if '"' in value:
+                open_ = [ends_inside(value, o) for o in open_]
+            for i in (0, 1):
+                record[i] += not open_[i]
+            for n, v in zip(_LINES.names, (file, split, line, value, *before, *open_), strict=True):
+                out[n].append(v)
+            line += 1
+        yield pa.RecordBatch.from_pydict(out, schema=_LINES)
+
+
+def _parsed(batches):
+    csv.field_size_limit(sys.maxsize)
+    for batch in batches:
+        cells = []
+        for text in batch.column("text").to_pylist():
+            row = next(csv.reader(io.StringIO(text, newline="")), [])
+            cells.append([c if c else None for c in row])
+        yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("row_no"), pa.array(cells, pa.list_(pa.string()))], names=["file", "row_no", "cells"])
 
 
 def read_grid(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -114,16 +189,44 @@ def read_grid(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Sheets exported as CSV: ``file, row_no, cells``, each row with the cells it has.
 
-    Blank lines are rows without cells, so ``row_no`` is the place in the file. A sheet is
-    one task's work, as a quoted cell may hold line breaks.
+    Rows end with a line feed, after a carriage return or without; a quoted cell may hold line
+    breaks. Blank lines are rows without cells, so ``row_no`` is the place in the file. A large
+    file is many tasks' work: each reads its split's lines for both cases, that it begins inside
+    a quoted cell and that it doesn't; the splits of a file, one after the other, tell which
+    holds; then the lines of a row meet.
     """
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
-    return materialize(texts.mapInArrow(_grid_rows, "file string, row_no long, cells array<string>"))
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+    ddl = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'boolean' if f.type == pa.bool_() else 'bigint'}" for f in _LINES)
+    lines = materialize(lines.mapInArrow(_numbered_lines, ddl))
+    last = F.max_by(F.struct(*[F.struct((F.col(f"record{i}") + (~F.col(f"open{i}")).cast("bigint")).alias("rows"), F.col(f"open{i}").alias("open")).alias(f"s{i}") for i in (0, 1)]), "line")
+    splits = lines.groupBy("file", "split").agg(last.alias("s"))
+    # one row a file, one entry for each split of it
+    in_order = splits.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("split", "s"))).alias("all"))
+    start = F.struct(F.array().cast("array<struct<split:bigint,row:bigint,inside:boolean>>").alias("found"), F.lit(0).cast("bigint").alias("row"), F.lit(False).alias("inside"))
+
+    def step(held, x):
+        own = F.when(held["inside"], x["s"]["s1"]).otherwise(x["s"]["s0"])
+        entry = F.struct(x["split"].alias("split"), held["row"].alias("row"), held["inside"].alias("inside"))
+        return F.struct(F.concat(held["found"], F.array(entry)).alias("found"), (held["row"] + own["rows"]).alias("row"), own["open"].alias("inside"))
+
+    starts = in_order.select("file", F.inline(F.aggregate("all", start, step, lambda held: held["found"])))
+    placed = lines.join(starts, ["file", "split"]).select(
+        "file", (F.col("row") + F.when(F.col("inside"), F.col("record1")).otherwise(F.col("record0")) + 1).alias("row_no"), F.struct("split", "line", "value").alias("piece")
+    )
+    pieces = F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["value"])
+    rows = placed.groupBy("file", "row_no").agg(F.array_join(pieces, "\n").alias("text"))
+    cells = rows.mapInArrow(_parsed, "file string, row_no bigint, cells array<string>")
+    return materialize(cells.withColumn("file", _plain_name(F.element_at(F.split("file", "/"), -1))))
+
+
+def _plain_name(name: Column) -> Column:
+    """A file's name without the escapes that paths have."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text documents, one per file, as ``(file, text)``."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(_plain_name(F.col("_metadata.file_name")).alias("file"), F.col("value").alias("text"))
 
 
 def list_files(spark: SparkSession, patterns: dict[str, str]) -> DataFrame:
