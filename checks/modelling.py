@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from checks.comparing import ks_sql
 from checks.registry import query
 from twintable.operators.models import fit_classifier
 from twintable.operators.nearest import real_to_real, synthetic_to_real
@@ -18,7 +19,7 @@ from twintable.operators.privacy import (
 )
 from twintable.operators.sampling import generate_table, seed_of, timed_generation
 from twintable.plans.baseline import run_baseline
-from twintable.plans.evaluate import evaluate_generators, train_and_score
+from twintable.plans.evaluate import evaluate_generators, score_synthetic, train_and_score
 from twintable.session import materialize
 from twintable.spec import Roles
 
@@ -349,8 +350,70 @@ def _(t):
     return run.five_times.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
+GOODS = "SELECT CAST(p_size AS BIGINT) AS size, p_retailprice AS price, p_type AS kind, p_brand AS brand, p_name AS title FROM {part}"
+MADE = (
+    "SELECT CAST(p_size + 2 AS BIGINT) AS size, p_retailprice * 1.01e0 AS price, CASE WHEN p_size < 5 THEN 'ODD' ELSE p_type END AS kind,"
+    " CASE WHEN p_size = 7 THEN 'Brand#99' ELSE p_brand END AS brand, p_name AS title FROM {part}"
+)
+
+
+def _details_sql() -> str:
+    """The tables behind a synthetic table's scores as ``report, item, value``."""
+    rows = []
+    for c in ("size", "price"):
+        for side in ("real", "syn"):
+            rows += [f"SELECT 'moments', '{c} {side}_mean', (SELECT avg({c}) FROM {side})", f"SELECT 'moments', '{c} {side}_std', (SELECT stddev_samp({c}) FROM {side})"]
+    rows += ["SELECT 'numeric_distance', c || ' ks_stat', d FROM ks"]
+    for c in ("brand", "title"):
+        rows.append(f"""SELECT 'total_variation', '{c}', (SELECT 0.5 * sum(abs(coalesce(a.n, 0) / (SELECT count(*) FROM real) - coalesce(b.n, 0) / (SELECT count(*) FROM syn)))
+            FROM (SELECT {c}, count(*) AS n FROM real GROUP BY 1) a FULL JOIN (SELECT {c}, count(*) AS n FROM syn GROUP BY 1) b USING ({c}))""")
+    for c in ("kind", "brand", "title"):
+        rows.append(f"SELECT 'invalid_category_rates', '{c}', (SELECT avg(CASE WHEN {c} IN (SELECT {c} FROM real) THEN 0.0 ELSE 1.0 END) FROM syn)")
+    rows += [
+        "SELECT 'validation', 'duplicate_row_rate', (SELECT 1 - (SELECT count(*) FROM (SELECT DISTINCT * FROM syn)) / (SELECT count(*) FROM syn))",
+        "SELECT 'validation', 'any_rule_violation_rate', (SELECT avg(CASE WHEN size BETWEEN (SELECT min(size) FROM real) AND (SELECT max(size) FROM real)"
+        " AND price BETWEEN (SELECT min(price) FROM real) AND (SELECT max(price) FROM real) AND kind IN (SELECT kind FROM real) AND brand IN (SELECT brand FROM real) THEN 0.0 ELSE 1.0 END) FROM syn)",
+        "SELECT 'privacy', 'rare_combo_leakage_rate', (SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM rare r WHERE r.kind = s.kind AND r.brand = s.brand AND r.title = s.title) THEN 1.0 ELSE 0.0 END) FROM syn s)",
+    ]
+    for c, f in {"min": "min(d)", "p01": "quantile_cont(d, 0.01)", "median": "quantile_cont(d, 0.5)", "mean": "avg(d)"}.items():
+        rows += [f"SELECT 'privacy', 'syn_to_real_{c}', (SELECT {f} FROM sr)", f"SELECT 'privacy', 'real_to_real_{c}', (SELECT {f} FROM rr)"]
+    rows.append("SELECT 'fairness', 'group_proportion_tvd', (SELECT value FROM parts WHERE item = 'brand' AND report = 'total_variation')")
+    near = "(({a}.size - r.size) / sd.a) ** 2 + (({a}.price - r.price) / sd.b) ** 2 + CASE WHEN {a}.title = r.title THEN 0 ELSE {k} END + CASE WHEN {a}.brand = r.brand THEN 0 ELSE {b} END"
+    known = "CASE WHEN s.{c} IN (SELECT {c} FROM real) THEN 2 ELSE 1 END"
+    to_real = near.format(a="s", k=known.format(c="title"), b=known.format(c="brand"))
+    return f"""WITH real AS ({GOODS}), syn AS ({MADE}), {ks_sql(["size", "price"])},
+        rare AS (SELECT kind, brand, title FROM real GROUP BY ALL HAVING count(*) <= 2), sd AS (SELECT stddev_pop(size) AS a, stddev_pop(price) AS b FROM real),
+        si AS (SELECT row_number() OVER () AS id, * FROM syn), ri AS (SELECT row_number() OVER () AS id, * FROM real),
+        sr AS (SELECT sqrt(min({to_real})) AS d FROM si s, real r, sd GROUP BY s.id),
+        rr AS (SELECT sqrt(min({near.format(a="x", k=2, b=2)})) AS d FROM ri x, ri r, sd WHERE x.id <> r.id GROUP BY x.id),
+        parts(report, item, value) AS ({" UNION ALL ".join(rows[:-1])}), whole(report, item, value) AS (SELECT * FROM parts UNION ALL {rows[-1]})
+        SELECT report, item, round(value, 6) + 0.0 AS value FROM whole"""
+
+
+@query("evaluation_details_part", _details_sql())
+def _(t):
+    real, syn = t.sql(GOODS), t.sql(MADE)
+    roles = Roles(target="kind", group="brand", rare_keys=("kind", "brand", "title"))
+    _, found = score_synthetic("made", real, real, syn, roles, 1.0)
+
+    def long(report: str, table, key, values):
+        item = [F.concat_ws(" ", *([F.col(key)] if key else []), F.lit(v)) if not key or len(values) > 1 or report == "numeric_distance" else F.col(key) for v in values]
+        cells = F.array(*[F.struct(F.lit(report).alias("report"), i.alias("item"), F.col(v).cast("double").alias("value")) for i, v in zip(item, values, strict=True)])
+        return table.select(F.inline(cells))
+
+    parts = [
+        long("moments", found["moments"], "column", ["real_mean", "real_std", "syn_mean", "syn_std"]),
+        long("numeric_distance", found["numeric_distance"], "column", ["ks_stat"]),
+        long("total_variation", found["total_variation"], "column", ["tvd"]),
+        long("invalid_category_rates", found["invalid_category_rates"], "column", ["invalid_rate"]),
+        long("validation", found["validation"], None, ["duplicate_row_rate", "any_rule_violation_rate"]),
+        long("privacy", found["privacy"], None, ["rare_combo_leakage_rate", *[f"{a}_{b}" for a in ("syn_to_real", "real_to_real") for b in ("min", "p01", "median", "mean")]]),
+        long("fairness", found["fairness"], None, ["group_proportion_tvd"]),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("evaluate_generators_documents")
 def _(t):
     roles = Roles(target="verdict", group="lang", rare_keys=("lang", "toxic"))
-    models = {"marginals": {}, "bayes_network": {}}
-    return evaluate_generators(t.sql(LABELLED), roles, models).ranking
+    return evaluate_generators(t.sql(LABELLED), roles).ranking

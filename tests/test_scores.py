@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,13 @@ def test_ks_pvalue_limits():
     assert ks_pvalue(0.05, 2000, 2000) == pytest.approx(ks_pvalue(0.05, 2000, 2000, method="asymptotic"), rel=0.1)
 
 
+def test_ks_pvalue_of_large_tables_and_far_gaps():
+    near = ks_pvalue(0.004, 60_000, 90_000, method="exact")
+    assert near == pytest.approx(ks_pvalue(0.004, 60_000, 90_000, method="asymptotic"), rel=0.03) and near < 1
+    assert ks_pvalue(0.5, 10**9, 10**9, method="exact") == 0.0
+    assert ks_pvalue(1.0, 3, 100, method="exact") == pytest.approx(2 / math.comb(103, 3))
+
+
 def test_self_comparison(spark, goods):
     numbers = ["mass_g", "recycled_content_pct", "compliance_rohs"]
     assert {r["ks_stat"] for r in ks_statistic(goods, goods, numbers).collect()} == {0.0}

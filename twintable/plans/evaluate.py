@@ -45,6 +45,8 @@ class Evaluation:
     context: DataFrame
     synthetic: dict[str, DataFrame]
     details: dict[str, dict[str, DataFrame]]
+    real_scores: DataFrame
+    real_report: DataFrame
 
 
 def train_and_score(train: DataFrame, test: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
@@ -61,6 +63,7 @@ def score_synthetic(
     roles: Roles,
     trtr_f1: float,
     distances: Distances | None = None,
+    ks_method: str = "asymptotic",
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """All scores of one synthetic table as one row, and the tables behind them by name.
 
@@ -79,7 +82,7 @@ def score_synthetic(
     shares = category_shares(real, syn, categorical)
     details = {
         "moments": moments(real, syn, numeric),
-        "numeric_distance": numeric_distance(real, syn, numeric),
+        "numeric_distance": numeric_distance(real, syn, numeric, method=ks_method),
         "histograms": histogram_overlay(real, syn, numeric),
         "total_variation": total_variation(shares),
         "top_categories": top_categories(shares),
@@ -124,10 +127,13 @@ def evaluate_generators(
     models: dict[str, dict] | None = None,
     seed: int = 42,
     test_share: float = 0.2,
+    ks_method: str = "asymptotic",
 ) -> Evaluation:
     """Split, generate with every model, score and rank.
 
-    A model that fails is logged and left out. At least two models must be
+    ``real_scores`` and ``real_report`` are those of the classifier trained on real rows. The p-values
+    of the KS statistics follow ``ks_method``, whatever the size of the tables. A model that fails is
+    logged and left out. At least two models must be
     known, and one must succeed.
     """
     models = DEFAULT_MODELS if models is None else models
@@ -136,7 +142,7 @@ def evaluate_generators(
         raise RuntimeError(f"not enough known generators: {known}")
     real = materialize(require_complete(real))
     train, test = (materialize(p) for p in split_rows(real, roles.target, test_share, seed))
-    trtr, _ = train_and_score(train, test, roles.target)
+    trtr, on_real = train_and_score(train, test, roles.target)
     trtr_f1 = trtr.first()["macro_f1"]
 
     rows, log, tables, details = [], [("(real)", "trtr_macro_f1", repr(trtr_f1))], {}, {}
@@ -144,7 +150,7 @@ def evaluate_generators(
     for name in known:
         try:
             run = timed_generation(train, name, models[name], seed)
-            scores, details[name] = score_synthetic(name, train, test, run.once, roles, trtr_f1, distances)
+            scores, details[name] = score_synthetic(name, train, test, run.once, roles, trtr_f1, distances, ks_method)
             rows.append(
                 scores.withColumns(
                     {
@@ -177,4 +183,6 @@ def evaluate_generators(
         context=run_context(real, train, test, roles.target, roles.group, seed),
         synthetic=tables,
         details=details,
+        real_scores=trtr,
+        real_report=classification_report(confusion_counts(on_real)),
     )
