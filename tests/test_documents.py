@@ -1,6 +1,6 @@
 import pytest
 
-from twintable.operators.documents import carry_section, classify_lines, documents_to_table, explode_lines
+from twintable.operators.documents import carry_section, classify_lines, documents_to_maps, documents_to_table, explode_lines
 from twintable.operators import documents
 from twintable.operators.sheets import clean_sheet, clean_sheets, promote_header
 from twintable.plans.prepare import prepare_documents, prepare_inputs
@@ -106,3 +106,11 @@ def test_prepare_inputs(spark, tmp_path):
     assert rows[("goods.csv", "converted")] == (2, 3)
     assert rows[("d2.txt", "converted")] == (1, 3)
     assert rows[("d*.txt", "combined")][0] == 2
+
+
+def test_maps_have_all_names_and_all_documents(spark):
+    wide = "\n".join(f"k{i}: {i}" for i in range(12_000))
+    df = spark.createDataFrame([("wide", wide), ("none", ""), ("null", None), ("few", "a: 1\nb: not specified")], "file string, text string")
+    cells = {r["file"]: r["cells"] for r in documents_to_maps(df).collect()}
+    assert cells["wide"] == {f"document_header_k{i}": str(i) for i in range(12_000)}
+    assert cells["none"] == cells["null"] == {} and cells["few"]["document_header_a"] == "1"

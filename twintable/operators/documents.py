@@ -149,30 +149,39 @@ def document_cells(texts: DataFrame, file: str = "file", text: str = "text") ->
     return merge_cells(line_cells(classify_lines(sectioned_lines(texts, file, text))))
 
 
+def documents_to_maps(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """``(file, cells)``: every document with its cells that have a value, by name, however many names there are."""
+    cells = document_cells(texts, file, text).where(F.col("value").isNotNull())
+    maps = cells.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("cells"))
+    files = texts.select(F.col(file).alias("file"))
+    return files.join(maps, "file", "left").select("file", F.coalesce("cells", F.create_map().cast("map<string,string>")).alias("cells"))
+
+
 def documents_to_table(
     texts: DataFrame,
     file: str = "file",
     text: str = "text",
     names: Sequence[str] | None = None,
-    max_columns: int = 10_000,
+    max_columns: int | None = None,
     source_type: str = "text",
 ) -> DataFrame:
     """One row per document, one column per cell name that has a value anywhere.
 
-    Without ``names`` they are looked up; more than ``max_columns`` is an error,
-    as a table that wide is not what the documents mean.
+    Without ``names`` they are looked up, as many as there are columns in the result; more than
+    ``max_columns`` is an error if that is given. Where names don't make columns,
+    ``documents_to_maps`` has them all.
     """
     cells = document_cells(texts, file, text)
     if names is None:
         cells = materialize(cells)
-        found = cells.where(F.col("value").isNotNull()).select("name").distinct().limit(max_columns + 1).collect()
-        if len(found) > max_columns:
+        found = cells.where(F.col("value").isNotNull()).select("name").distinct()
+        found = (found if max_columns is None else found.limit(max_columns + 1)).collect()
+        if max_columns is not None and len(found) > max_columns:
             raise ValueError(f"more than {max_columns} cell names")
         names = sorted(r["name"] for r in found)
     files = texts.select(F.col(file).alias("file"))
+    source = [F.col("file").alias("source_file"), F.lit(source_type).alias("source_type")]
     if not names:
-        return files.select(F.col("file").alias("source_file"), F.lit(source_type).alias("source_type"))
+        return files.select(*source)
     table = cells.groupBy("file").pivot("name", list(names)).agg(F.first("value"))
-    return files.join(table, "file", "left").select(
-        F.col("file").alias("source_file"), F.lit(source_type).alias("source_type"), *names
-    )
+    return files.join(table, "file", "left").select(*source, *names)
