@@ -20,8 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from twintable.functions.noise import laplace, uniform, uniform_index
-from twintable.operators.counts import numeric_counts, quantiles_of_totals, running_totals, value_counts
+from twintable.operators.counts import numeric_counts, running_totals, value_counts
 from twintable.operators.sampler import Sampler, draws, seed_of
+from twintable.operators.selection import exact_quantiles
 from twintable.session import materialize
 from twintable.spec import column, feature_types
 
@@ -246,11 +247,15 @@ class BayesNetwork(Sampler):
         out: dict[str, Coding] = {}
         few: list[str] = []
         if numeric:
-            totals = materialize(running_totals(numeric_counts(real, numeric), ["n"]))
-            sizes = {r["column"]: r["k"] for r in totals.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-            few = [c for c in numeric if sizes.get(c, 0) <= self.bins]
+            # An estimate far above the bins leaves no doubt; the others are counted.
+            near = real.agg(*[F.approx_count_distinct(column(c).cast("double")).alias(f"n{i}") for i, c in enumerate(numeric)]).first()
+            doubtful = [c for i, c in enumerate(numeric) if near[f"n{i}"] <= 2 * self.bins + 2]
+            sizes = {}
+            if doubtful:
+                sizes = {r["column"]: r["k"] for r in numeric_counts(real, doubtful).groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
+            few = [c for c in doubtful if sizes.get(c, 0) <= self.bins]
             marks = [i / self.bins for i in range(self.bins + 1)]
-            for r in quantiles_of_totals(totals.where(~F.col("column").isin(few)), marks).collect():
+            for r in exact_quantiles(real, [c for c in numeric if c not in few], marks).collect():
                 out[r["column"]] = Coding(edges=tuple(sorted(set(r[2:]))))
         return out | self._valued(real, [*rest, *few])
 
