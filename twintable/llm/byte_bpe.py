@@ -1,9 +1,10 @@
 """Byte-level byte-pair encoding and decoding by higher-order functions.
 
-Texts are cut into words by Spark's own regular expressions. A block of documents keeps its
-distinct words and the place of each word among them. The distinct words of all blocks are
-folded once, pair by pair in order of rank, by an expression over their bytes with the ranks
-as literals; blocks get the tokens of their words back, and documents take them from there.
+Texts are cut into words by Spark's own regular expressions. Words are folded pair by pair in
+order of rank, by an expression over their bytes with the ranks as literals. The words that
+most blocks of documents have are folded once and sent to the executors, a table of bounded
+size; what a block has besides is folded with the block, each word once. So neither texts nor
+words are shuffled, and documents take the tokens of their words as the block passes by.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from twintable.llm.common import keep, modest_batches, release
@@ -25,7 +26,13 @@ from twintable.llm.common import keep, modest_batches, release
 SPACE = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE}\\p{{L}}\\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Text bytes of a block of documents; a longer document is a block of its own.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Frequent words that are sent to the executors: how many at most, and the most bytes of one.
+FREQUENT_WORDS, FREQUENT_BYTES = 200_000, 32
+#: Words of more bytes aren't folded, as a fold copies the word at each step, but merged in ``merge_long``.
+LONG_BYTES = 256
+#: Words of a block that are folded as one row.
+CHUNK = 2_000
 #: Larger than any rank: the pair is no token.
 NONE = 1 << 30
 #: Slots of the literal rank map and of its displacements; primes whose product exceeds 2**32.
@@ -40,7 +47,7 @@ def public_ranks() -> str:
 
 @dataclass(frozen=True)
 class Ranks:
-    """A vocabulary as literals: tokens of single bytes, merges by pair of tokens, hex of each token."""
+    """A vocabulary: tokens of single bytes, merges by pair of tokens and hex of each token as literals."""
 
     bytes: str
     shifts: str
@@ -48,13 +55,18 @@ class Ranks:
     pieces: str
 
 
-@lru_cache(maxsize=2)
-def load(path: str) -> Ranks:
-    """The rank file as a perfect hash of pairs: slot = (pair mod SLOTS + shift[pair mod SHIFTS]) mod SLOTS."""
+def _tokens(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     if max(ranks.values()) >= 1 << 16 or len(ranks) != max(ranks.values()) + 1:
         raise ValueError("ranks must be 0 to n - 1 below 65536")
+    return ranks
+
+
+@lru_cache(maxsize=2)
+def load(path: str) -> Ranks:
+    """The rank file as a perfect hash of pairs: slot = (pair mod SLOTS + shift[pair mod SHIFTS]) mod SLOTS."""
+    ranks = _tokens(path)
     pairs = {}
     for token, rank in ranks.items():
         for i in range(1, len(token)):
@@ -102,8 +114,16 @@ def encode_bytes(data: Column, ranks: Ranks) -> Column:
     A fold over the word's pairs: each step merges the leftmost pair of least rank and looks
     up the two pairs that the new token forms with its neighbours.
     """
-    tables = F.struct(_literal(ranks.slots, "bigint").alias("slots"), _literal(ranks.shifts, "int").alias("shifts"))
-    return _let(tables, lambda t: _fold(data, t["slots"], t["shifts"], ranks))
+    return _let(_tables(ranks), lambda t: _fold(data, t["slots"], t["shifts"], ranks))
+
+
+def encode_words(words_: Column, ranks: Ranks) -> Column:
+    """Token ids of each word of an array, in its order."""
+    return _let(_tables(ranks), lambda t: F.transform(words_, lambda w: _fold(byte_values(w), t["slots"], t["shifts"], ranks)))
+
+
+def _tables(ranks: Ranks) -> Column:
+    return F.struct(_literal(ranks.slots, "bigint").alias("slots"), _literal(ranks.shifts, "int").alias("shifts"))
 
 
 def _fold(data: Column, slots: Column, shifts: Column, ranks: Ranks) -> Column:
@@ -161,28 +181,70 @@ def words(text: Column) -> Column:
 def byte_values(word: Column) -> Column:
     """The bytes of a word in UTF-8 as numbers."""
     as_chars = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    return F.transform(F.sequence(F.lit(1), F.length(as_chars)), lambda i: F.ascii(F.substring(as_chars, i, F.lit(1))))
-
-
-def _blocks(block_bytes: int):
-    """Documents of a block as one row: number, keys, words of each, place of each word among the distinct ones, those."""
+    return F.transform(F.split(as_chars, ""), F.ascii)
+
+
+class Merges:
+    """The same ranks for words too long to fold."""
+
+    def __init__(self, ranks: Ranks):
+        self.first = np.array(ranks.bytes.split(","), dtype=np.int64)
+        slots = np.array(ranks.slots.split(","), dtype=np.int64)
+        slots = np.sort(slots[slots >= 0])
+        self.pairs, self.ranks = slots >> 16, slots & 0xFFFF
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, NONE where it is no token."""
+        wanted = left << 16 | right
+        place = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == wanted, self.ranks[place], NONE)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Token ids of a word: each step merges all places of the pair of least rank, from the left.
+
+        That equals merging one place after another as long as no pair that comes about has a
+        lesser rank; where one has, the step is done again with the leftmost place alone.
+        Steps are at most as many as there are different merges, as a rule, each along the word.
+        """
+        ids = self.first[np.frombuffer(word, dtype=np.uint8)]
+        after = self.of(ids[:-1], ids[1:])
+        while len(after) and (best := after.min()) < NONE:
+            at = np.flatnonzero(after == best)
+            begins = np.append(True, np.diff(at) > 1)  # of places in a row, every second one overlaps
+            at = at[(at - at[begins][np.cumsum(begins) - 1]) % 2 == 0]
+            for places in (at, at[:1]):
+                new_ids = ids.copy()
+                new_ids[places] = best
+                new_ids = np.delete(new_ids, places + 1)
+                now = places - np.arange(len(places))
+                changed = np.union1d(now[now < len(new_ids) - 1], now[now > 0] - 1)
+                ranks = self.of(new_ids[changed], new_ids[changed + 1])
+                if len(places) == 1 or not (ranks < best).any():
+                    break
+            # The pair at a merged place goes on from its second token.
+            after = np.delete(after, places)
+            after[changed] = ranks
+            ids = new_ids
+        return ids
+
+
+def _batches_of(block_bytes: int, rows):
+    """Runs ``rows(keys, words, ends)`` over blocks of documents: their keys, all words, and where each document's end."""
 
     def run(batches):
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        held, size = [], 0
         for batch in batches:
             held.append(batch)
             size += batch.column(1).values.nbytes
             if size >= block_bytes * 2:  # as much again for where the words end
-                for row in rows(held, number):
-                    yield row
-                    number += 1
+                yield from blocks(held)
                 held, size = [], 0
                 release()
         if held:
-            yield from rows(held, number)
+            yield from blocks(held)
         release()
 
-    def rows(held, number):
+    def blocks(held):
         batch = pa.Table.from_batches(held).combine_chunks().to_batches()
         held.clear()
         if not batch:
@@ -195,84 +257,131 @@ def _blocks(block_bytes: int):
         start = 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(at, at[start] + block_bytes, side="right")) - 1)
-            coded = lists.values.slice(ends[start], ends[stop] - ends[start]).dictionary_encode()
-            places = coded.indices.to_numpy().astype(np.int32)
-            row = {
-                "block": pa.array([number], pa.int64()),
-                "keys": pa.ListArray.from_arrays(pa.array([0, stop - start], pa.int32()), keys.slice(start, stop - start)),
-                "sizes": pa.array([np.diff(ends[start : stop + 1]).astype(np.int32)], pa.list_(pa.int32())),
-                # Byte by byte of all places, which packs better.
-                "places": pa.array([places.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()),
-                "words": pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary),
-            }
-            yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
-            start, number = stop, number + 1
+            yield from rows(keys.slice(start, stop - start), lists.values.slice(ends[start], ends[stop] - ends[start]), ends[start : stop + 1] - ends[start])
+            start = stop
 
     return run
 
 
-def encoded_words(words_: DataFrame, ranks: Ranks) -> DataFrame:
-    """word, ids, piece of the distinct words of a table: tokens, and the bytes they decode to."""
-    return (
-        words_.select("word").distinct()
-        .withColumn("ids", encode_bytes(byte_values(F.col("word")), ranks))
-        .withColumn("piece", decode_ids(F.col("ids"), ranks))
-    )
+def _repeated(_, words_, __):
+    """Short words that a block has more than once."""
+    counts = pc.value_counts(words_)
+    word, n = counts.field(0), counts.field(1)
+    word = word.filter(pc.and_(pc.greater(n, 1), pc.less_equal(pc.binary_length(word), FREQUENT_BYTES)))
+    yield pa.RecordBatch.from_arrays([word], names=["word"])
+
+
+def frequent_words(cut: DataFrame, block_bytes: int = BLOCK_BYTES, most: int = FREQUENT_WORDS) -> DataFrame:
+    """word: the words that most blocks have repeatedly, at most ``most``; from key, words.
+
+    All texts are counted. The least number of blocks is found from a table of how many
+    words there are for each quarter of a power of two, so no sort is needed. Which words
+    these are changes nothing but the work.
+    """
+    counts = cut.mapInArrow(_batches_of(block_bytes, _repeated), "word string").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    counts = keep(counts.withColumn("step", F.floor(F.log2("n") * 4).cast("int")), "zstd")
+    from_step, total = 1 << 30, 0
+    for step, n in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # a row for each step, at most 256
+        if (total := total + n) > most:
+            break
+        from_step = step
+    return counts.where(F.col("step") >= from_step).select("word")
+
 
+def _told_apart(frequent: pa.Table, merges: Merges):
+    """Rows of a block: words to fold, then tokens of long words, then its documents with the place of each word.
 
-def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of documents with ``found``, the tokens and decoded bytes of their distinct words by place.
+    Places count the frequent words first, then those to fold, then the long ones.
+    """
 
-    Blocks are bounded by ``block_bytes``, so the words that come back to one are too. A word
-    of every block meets one row of its tokens; both sides of that join are written tables,
-    whose skew Spark can split.
+    known = frequent.column("word").combine_chunks()
+
+    def row(keys=None, sizes=None, places=None, words_=None, given=None):
+        columns = [
+            pa.array([sizes], pa.list_(pa.int32())),
+            pa.array([places], pa.binary()),
+            pa.array([[]], pa.list_(pa.string())) if words_ is None else pa.ListArray.from_arrays(pa.array([0, len(words_)], pa.int32()), words_),
+            pa.array([[] if given is None else [given]], pa.list_(pa.list_(pa.int32()))),
+        ]
+        keys = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+        return pa.RecordBatch.from_arrays([keys, *columns], names=["keys", "sizes", "places", "words", "given"])
+
+    def rows(keys, words_, ends):
+        coded = words_.dictionary_encode()
+        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), -1).to_numpy().astype(np.int32)
+        new = np.flatnonzero(place < 0)
+        fresh = coded.dictionary.take(pa.array(new))
+        long = pc.binary_length(fresh).to_numpy(zero_copy_only=False) > LONG_BYTES
+        order = np.argsort(long, kind="stable")
+        place[new[order]] = len(known) + np.arange(len(new), dtype=np.int32)
+        fold = fresh.filter(pa.array(~long))
+        for start in range(0, len(fold), CHUNK):
+            yield row(keys.slice(0, 0), words_=fold.slice(start, CHUNK))
+        for i in np.flatnonzero(long):
+            yield row(keys.slice(0, 0), given=merges.merge_long(fresh[i].as_py().encode()).astype(np.int32))
+        places = place[coded.indices.to_numpy()] if len(words_) else np.zeros(0, np.int32)
+        yield row(keys, np.diff(ends).astype(np.int32), places.tobytes())
+
+    return rows
+
+
+def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Broadcast]:
+    """Rows of blocks in their order, with ``ids``, and the tokens of frequent words.
+
+    A block is rows of ``ids``, the tokens of its own words, and then one with keys, sizes and
+    places of its documents; what follows in the same tasks reads them in this order. Blocks
+    are bounded by ``block_bytes``, so a task holds little; the frequent words are at most
+    ``FREQUENT_WORDS`` of ``FREQUENT_BYTES``.
     """
-    modest_batches(df.sparkSession)
+    spark = df.sparkSession
+    modest_batches(spark, 100)
     # The literals are megabytes long as text; descriptions of plans on the driver end before that.
-    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", 100_000)
+    spark.conf.set("spark.sql.maxPlanStringLength", 100_000)
     kind = dict(df.dtypes)[key]
     cut = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
-    blocks = keep(cut.mapInArrow(_blocks(block_bytes), f"block long, keys array<{kind}>, sizes array<int>, places binary, words array<string>"), "zstd")
-    each = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    coded = keep(encoded_words(each, ranks), "zstd")
-    found = each.join(coded, "word").groupBy("block").agg(F.collect_list(F.struct("at", "ids", "piece")).alias("found"))
-    return blocks.drop("words").join(found, "block", "left").select("keys", "sizes", "places", "found")
-
-
-def _documents(blocks: pa.RecordBatch):
-    """For each block: keys, ends of documents in words, places, ids and pieces of the distinct words."""
-    for i in range(blocks.num_rows):
-        sizes = blocks.column(1)[i].values.to_numpy()
-        raw = np.frombuffer(blocks.column(2)[i].as_py(), dtype=np.uint8)
-        found = blocks.column(3)[i].values
-        if found is None:  # a block without words
-            found = pa.array([], blocks.column(3).type.value_type)
-        order = pa.array(np.argsort(found.field(0).to_numpy(), kind="stable"))
-        yield (
-            blocks.column(0)[i].values,
-            np.concatenate([[0], np.cumsum(sizes)]),
-            np.ascontiguousarray(raw.reshape(4, -1).T).view(np.int32).ravel(),
-            found.field(1).take(order),
-            found.field(2).take(order),
-        )
-
-
-def _digests(batches):
+    frequent = frequent_words(cut, block_bytes).repartition(64).withColumn("ids", encode_bytes(byte_values(F.col("word")), ranks)).toArrow()
+    run = _batches_of(block_bytes, _told_apart(frequent.select(["word"]), Merges(ranks)))
+    rows = cut.mapInArrow(run, f"keys array<{kind}>, sizes array<int>, places binary, words array<string>, given array<array<int>>")
+    rows = rows.select("keys", "sizes", "places", F.concat(encode_words(F.col("words"), ranks), "given").alias("ids"))
+    return rows, spark.sparkContext.broadcast(frequent.column("ids").combine_chunks())
+
+
+def _documents(batches, frequent: pa.ListArray):
+    """For each block: keys, ends of documents in words, places, ids of the words that places count."""
+    frequent = frequent.cast(pa.list_(pa.int32()))
+    own = [frequent]
     for batch in batches:
-        for keys, ends, places, ids, pieces in _documents(batch):
+        for i in range(batch.num_rows):
+            if batch.column(1)[i].as_py() is None:
+                own.append(batch.column(3)[i].values.cast(pa.list_(pa.int32())))
+                continue
+            sizes = batch.column(1)[i].values.to_numpy()
+            places = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.int32)
+            yield batch.column(0)[i].values, np.concatenate([[0], np.cumsum(sizes)]), places, pa.concat_arrays(own)
+            own = [frequent]
+            release()
+
+
+def _digests(frequent: Broadcast, hex_pieces: str):
+    def run(batches):
+        pieces = pa.array([bytes.fromhex(p) for p in hex_pieces.split(",")], pa.large_binary())
+        for keys, ends, places, ids in _documents(batches, frequent.value):
             parts = max(1, -(-len(places) // 500_000))
             each = max(1, -(-len(keys) // parts))
-            lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
             said = pc.binary_join(pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), ids.flatten().cast(pa.string())), " ") if len(ids) else pa.array([], pa.string())
             for start in range(0, len(keys), each):
                 stop = min(len(keys), start + each)
-                own, edge = places[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), said.take(pa.array(own))), " ")
-                data = pieces.take(pa.array(own)).cast(pa.large_binary())
-                buffers = data.buffers()
-                at = np.frombuffer(buffers[1], dtype=np.int64)[edge] if len(own) else np.zeros(len(edge), np.int64)
-                raw = memoryview(buffers[2]) if len(own) and buffers[2] is not None else memoryview(b"")
-                tokens = np.concatenate([[0], np.cumsum(lengths[own])])[edge] if len(own) else np.zeros(len(edge), np.int64)
+                own, edge = pa.array(places[ends[start] : ends[stop]]), ends[start : stop + 1] - ends[start]
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), said.take(own)), " ")
+                tokens, flat = np.zeros(len(edge), np.int64), pa.array([], pa.int32())
+                if len(own):
+                    lists = ids.take(own)
+                    flat = lists.flatten()
+                    tokens = (lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py())[edge]
+                # The pieces of all tokens, one after another, are the decoded bytes.
+                data = pieces.take(flat)
+                at = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset :][tokens] if len(flat) else np.zeros(len(edge), np.int64)
+                raw = memoryview(data.buffers()[2]) if len(flat) else memoryview(b"")
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.slice(start, stop - start),
@@ -282,7 +391,8 @@ def _digests(batches):
                     ],
                     names=["key", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
-            release()
+
+    return run
 
 
 def token_digests(df: DataFrame, key: str, text: str, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -290,27 +400,28 @@ def token_digests(df: DataFrame, key: str, text: str, path: str, block_bytes: in
 
     ``ids_sha256`` is of the decimal ids joined by one space, ``decoded_sha256`` of the bytes
     that the ids decode to. Null and empty texts have no tokens; null and repeated keys are
-    rows like others; other columns are ignored; an empty table gives an empty result. A word
-    takes as many steps as it has pairs, each along the word: words of many thousand bytes
-    without a break are slow.
+    rows like others; other columns are ignored; an empty table gives an empty result. Words
+    of more than ``LONG_BYTES`` are merged all places of a pair at a time.
     """
-    kind = dict(df.dtypes)[key]
-    blocks = encoded_blocks(df, key, text, load(path), block_bytes)
-    out = blocks.mapInArrow(_digests, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind, ranks = dict(df.dtypes)[key], load(path)
+    blocks, frequent = encoded_blocks(df, key, text, ranks, block_bytes)
+    out = blocks.mapInArrow(_digests(frequent, ranks.pieces), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)
 
 
-def _ids(batches):
-    for batch in batches:
-        for keys, ends, places, ids, _ in _documents(batch):
+def _ids(frequent: Broadcast):
+    def run(batches):
+        for keys, ends, places, ids in _documents(batches, frequent.value):
             for start in range(len(keys)):
                 own = ids.take(pa.array(places[ends[start] : ends[start + 1]]))
                 flat = own.flatten() if len(own) else pa.array([], pa.int32())
                 yield pa.RecordBatch.from_arrays([keys.slice(start, 1), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], names=["key", "ids"])
 
+    return run
+
 
 def encode(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """key and ``ids``, the tokens of each text of ``df``, in the order of the text."""
     kind = dict(df.dtypes)[key]
-    out = encoded_blocks(df, key, text, load(path)).mapInArrow(_ids, f"key {kind}, ids array<int>")
-    return out.withColumnRenamed("key", key)
+    blocks, frequent = encoded_blocks(df, key, text, load(path))
+    return blocks.mapInArrow(_ids(frequent), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
