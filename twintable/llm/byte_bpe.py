@@ -28,7 +28,7 @@ PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE}\\p{{L}}\
 #: Text bytes of a block of documents; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Frequent words that are sent to the executors: how many at most, and the most bytes of one.
-FREQUENT_WORDS, FREQUENT_BYTES = 200_000, 32
+FREQUENT_WORDS, FREQUENT_BYTES = 500_000, 32
 #: Words of more bytes aren't folded, as a fold copies the word at each step, but merged in ``merge_long``.
 LONG_BYTES = 256
 #: Words of a block that are folded as one row.
@@ -263,29 +263,30 @@ def _batches_of(block_bytes: int, rows):
     return run
 
 
-def _repeated(_, words_, __):
-    """Short words that a block has more than once."""
-    counts = pc.value_counts(words_)
-    word, n = counts.field(0), counts.field(1)
-    word = word.filter(pc.and_(pc.greater(n, 1), pc.less_equal(pc.binary_length(word), FREQUENT_BYTES)))
-    yield pa.RecordBatch.from_arrays([word], names=["word"])
+def _short(_, words_, __):
+    """The different short words of a block."""
+    word = words_.unique()
+    yield pa.RecordBatch.from_arrays([word.filter(pc.less_equal(pc.binary_length(word), FREQUENT_BYTES))], names=["word"])
 
 
 def frequent_words(cut: DataFrame, block_bytes: int = BLOCK_BYTES, most: int = FREQUENT_WORDS) -> DataFrame:
-    """word: the words that most blocks have repeatedly, at most ``most``; from key, words.
+    """word: the words that most blocks have, two at least, at most ``most``; from key, words.
 
-    All texts are counted. The least number of blocks is found from a table of how many
-    words there are for each quarter of a power of two, so no sort is needed. Which words
-    these are changes nothing but the work.
+    All texts are counted. The least number of blocks is found from a table of how many words
+    there are for each quarter of a power of two, so no sort is needed; where not all words
+    of the last of these fit, those of least hash are taken. Which words these are changes
+    nothing but the work.
     """
-    counts = cut.mapInArrow(_batches_of(block_bytes, _repeated), "word string").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    counts = cut.mapInArrow(_batches_of(block_bytes, _short), "word string").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     counts = keep(counts.withColumn("step", F.floor(F.log2("n") * 4).cast("int")), "zstd")
-    from_step, total = 1 << 30, 0
+    left, taken = most, F.lit(False)
     for step, n in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # a row for each step, at most 256
-        if (total := total + n) > most:
+        # A little less than would fit, as shares by hash vary.
+        taken |= (F.col("step") == step) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.98 * left / n if n > left else 1.0)))
+        left -= n
+        if left <= 0:
             break
-        from_step = step
-    return counts.where(F.col("step") >= from_step).select("word")
+    return counts.where(taken).select("word")
 
 
 def _told_apart(frequent: pa.Table, merges: Merges):
@@ -346,29 +347,40 @@ def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks, block_bytes
     return rows, spark.sparkContext.broadcast(frequent.column("ids").combine_chunks())
 
 
-def _documents(batches, frequent: pa.ListArray):
-    """For each block: keys, ends of documents in words, places, ids of the words that places count."""
-    frequent = frequent.cast(pa.list_(pa.int32()))
-    own = [frequent]
+_IDS = pa.list_(pa.int32())
+
+
+def _said(ids: pa.ListArray) -> pa.Array:
+    """The ids of each word in decimal, joined by a space."""
+    if not len(ids):
+        return pa.array([], pa.string())
+    return pc.binary_join(pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), ids.flatten().cast(pa.string())), " ")
+
+
+def _documents(batches):
+    """For each block: keys, ends of documents in words, places, ids of its own words."""
+    own = [pa.array([], _IDS)]
     for batch in batches:
         for i in range(batch.num_rows):
             if batch.column(1)[i].as_py() is None:
-                own.append(batch.column(3)[i].values.cast(pa.list_(pa.int32())))
+                own.append(batch.column(3)[i].values.cast(_IDS))
                 continue
             sizes = batch.column(1)[i].values.to_numpy()
             places = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.int32)
             yield batch.column(0)[i].values, np.concatenate([[0], np.cumsum(sizes)]), places, pa.concat_arrays(own)
-            own = [frequent]
+            own = [pa.array([], _IDS)]
             release()
 
 
 def _digests(frequent: Broadcast, hex_pieces: str):
     def run(batches):
         pieces = pa.array([bytes.fromhex(p) for p in hex_pieces.split(",")], pa.large_binary())
-        for keys, ends, places, ids in _documents(batches, frequent.value):
+        often = frequent.value.cast(_IDS)
+        often_said = _said(often)
+        for keys, ends, places, rest in _documents(batches):
             parts = max(1, -(-len(places) // 500_000))
             each = max(1, -(-len(keys) // parts))
-            said = pc.binary_join(pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), ids.flatten().cast(pa.string())), " ") if len(ids) else pa.array([], pa.string())
+            ids, said = pa.concat_arrays([often, rest]), pa.concat_arrays([often_said, _said(rest)])
             for start in range(0, len(keys), each):
                 stop = min(len(keys), start + each)
                 own, edge = pa.array(places[ends[start] : ends[stop]]), ends[start : stop + 1] - ends[start]
@@ -411,7 +423,9 @@ def token_digests(df: DataFrame, key: str, text: str, path: str, block_bytes: in
 
 def _ids(frequent: Broadcast):
     def run(batches):
-        for keys, ends, places, ids in _documents(batches, frequent.value):
+        often = frequent.value.cast(_IDS)
+        for keys, ends, places, rest in _documents(batches):
+            ids = pa.concat_arrays([often, rest])
             for start in range(len(keys)):
                 own = ids.take(pa.array(places[ends[start] : ends[start + 1]]))
                 flat = own.flatten() if len(own) else pa.array([], pa.int32())
