@@ -263,21 +263,30 @@ def _batches_of(block_bytes: int, rows):
     return run
 
 
-def _short(_, words_, __):
-    """The different short words of a block."""
-    word = words_.unique()
-    yield pa.RecordBatch.from_arrays([word.filter(pc.less_equal(pc.binary_length(word), FREQUENT_BYTES))], names=["word"])
-
-
-def frequent_words(cut: DataFrame, block_bytes: int = BLOCK_BYTES, most: int = FREQUENT_WORDS) -> DataFrame:
-    """word: the words that most blocks have, two at least, at most ``most``; from key, words.
-
-    All texts are counted. The least number of blocks is found from a table of how many words
+def _block(keys, words_, ends):
+    """A block as one row: keys, words of each document, place of each word among the distinct ones, those."""
+    coded = words_.dictionary_encode()
+    places = coded.indices.to_numpy().astype(np.int32) if len(words_) else np.zeros(0, np.int32)
+    row = {
+        "keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+        "sizes": pa.array([np.diff(ends).astype(np.int32)], pa.list_(pa.int32())),
+        # Byte by byte of all places, which packs better.
+        "places": pa.array([places.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()),
+        "words": pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary),
+    }
+    yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
+
+
+def frequent_words(blocks: DataFrame, most: int = FREQUENT_WORDS) -> DataFrame:
+    """word: the words that most blocks have, two at least, at most ``most``; from ``words`` of each block.
+
+    All blocks are counted. The least number of blocks is found from a table of how many words
     there are for each quarter of a power of two, so no sort is needed; where not all words
     of the last of these fit, those of least hash are taken. Which words these are changes
     nothing but the work.
     """
-    counts = cut.mapInArrow(_batches_of(block_bytes, _short), "word string").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    each = blocks.select(F.explode("words").alias("word")).where(F.octet_length("word") <= FREQUENT_BYTES)
+    counts = each.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     counts = keep(counts.withColumn("step", F.floor(F.log2("n") * 4).cast("int")), "zstd")
     left, taken = most, F.lit(False)
     for step, n in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # a row for each step, at most 256
@@ -307,11 +316,16 @@ def _told_apart(frequent: pa.Table, merges: Merges):
         keys = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
         return pa.RecordBatch.from_arrays([keys, *columns], names=["keys", "sizes", "places", "words", "given"])
 
-    def rows(keys, words_, ends):
-        coded = words_.dictionary_encode()
-        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), -1).to_numpy().astype(np.int32)
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from rows(batch.column(0)[i].values, batch.column(1)[i].values, batch.column(2)[i].as_buffer(), batch.column(3)[i].values)
+            release()
+
+    def rows(keys, sizes, places, words_):
+        place = pc.fill_null(pc.index_in(words_, value_set=known), -1).to_numpy().astype(np.int32)
         new = np.flatnonzero(place < 0)
-        fresh = coded.dictionary.take(pa.array(new))
+        fresh = words_.take(pa.array(new))
         long = pc.binary_length(fresh).to_numpy(zero_copy_only=False) > LONG_BYTES
         order = np.argsort(long, kind="stable")
         place[new[order]] = len(known) + np.arange(len(new), dtype=np.int32)
@@ -320,29 +334,31 @@ def _told_apart(frequent: pa.Table, merges: Merges):
             yield row(keys.slice(0, 0), words_=fold.slice(start, CHUNK))
         for i in np.flatnonzero(long):
             yield row(keys.slice(0, 0), given=merges.merge_long(fresh[i].as_py().encode()).astype(np.int32))
-        places = place[coded.indices.to_numpy()] if len(words_) else np.zeros(0, np.int32)
-        yield row(keys, np.diff(ends).astype(np.int32), places.tobytes())
+        at = np.ascontiguousarray(np.frombuffer(places, dtype=np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+        yield row(keys, sizes, place[at].tobytes())
 
-    return rows
+    return run
 
 
 def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Broadcast]:
     """Rows of blocks in their order, with ``ids``, and the tokens of frequent words.
 
-    A block is rows of ``ids``, the tokens of its own words, and then one with keys, sizes and
-    places of its documents; what follows in the same tasks reads them in this order. Blocks
-    are bounded by ``block_bytes``, so a task holds little; the frequent words are at most
+    Blocks are written once with their distinct words. Then a block is rows of ``ids``, the
+    tokens of words that aren't frequent, and one with keys, sizes and places of its documents
+    after them; what follows in the same tasks reads them in this order. Blocks are bounded by ``block_bytes``, so a task holds little; the frequent words are at most
     ``FREQUENT_WORDS`` of ``FREQUENT_BYTES``.
     """
     spark = df.sparkSession
-    modest_batches(spark, 100)
+    modest_batches(spark)
     # The literals are megabytes long as text; descriptions of plans on the driver end before that.
     spark.conf.set("spark.sql.maxPlanStringLength", 100_000)
     kind = dict(df.dtypes)[key]
     cut = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
-    frequent = frequent_words(cut, block_bytes).repartition(64).withColumn("ids", encode_bytes(byte_values(F.col("word")), ranks)).toArrow()
-    run = _batches_of(block_bytes, _told_apart(frequent.select(["word"]), Merges(ranks)))
-    rows = cut.mapInArrow(run, f"keys array<{kind}>, sizes array<int>, places binary, words array<string>, given array<array<int>>")
+    blocks = keep(cut.mapInArrow(_batches_of(block_bytes, _block), f"keys array<{kind}>, sizes array<int>, places binary, words array<string>"), "zstd")
+    modest_batches(spark, 8)  # a row is a block
+    frequent = frequent_words(blocks).repartition(64).withColumn("ids", encode_bytes(byte_values(F.col("word")), ranks)).toArrow()
+    run = _told_apart(frequent.select(["word"]), Merges(ranks))
+    rows = blocks.mapInArrow(run, f"keys array<{kind}>, sizes array<int>, places binary, words array<string>, given array<array<int>>")
     rows = rows.select("keys", "sizes", "places", F.concat(encode_words(F.col("words"), ranks), "given").alias("ids"))
     return rows, spark.sparkContext.broadcast(frequent.column("ids").combine_chunks())
 
