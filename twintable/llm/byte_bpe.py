@@ -254,9 +254,11 @@ def _batches_of(block_bytes: int, rows):
         ends = lists.offsets.to_numpy().astype(np.int64)
         text = np.frombuffer(lists.values.buffers()[1], dtype=np.int32)[lists.values.offset :] if len(lists.values) else np.zeros(1, np.int32)
         at = text[ends]
+        total = int(at[-1] - at[0])
+        most = max(block_bytes, -(-total // max(1, total // block_bytes)))  # equal parts, no small rest
         start = 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(at, at[start] + block_bytes, side="right")) - 1)
+            stop = max(start + 1, int(np.searchsorted(at, at[start] + most, side="right")) - 1)
             yield from rows(keys.slice(start, stop - start), lists.values.slice(ends[start], ends[stop] - ends[start]), ends[start : stop + 1] - ends[start])
             start = stop
 
