@@ -30,6 +30,8 @@ BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 19
 #: Labelled rows that weigh the features against each other; the models themselves count all the others.
 CALIBRATION_ROWS = 20_000
 FEATURES = 6
+#: Different grams whose counts a task holds before it sends them, 24 bytes each.
+HELD_GRAMS = 1_000_000
 #: Log ratio from which a word speaks for toxicity.
 STRONG = 3.0
 _WIDE, _GAP, _DIGIT = 2048, 127, 27
@@ -88,15 +90,38 @@ def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count(batches):
+    """gram, toxic, plain of a task: counts of slices are added up in a sorted table that leaves once it has ``HELD_GRAMS``."""
+
+    def rows(held):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["gram", "toxic", "plain"])
+
+    held, fresh, size = _no_counts(), [], 0
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
             toxic = np.asarray(part.column(1).to_numpy(zero_copy_only=False), dtype=np.int64)
             found, mine, _ = codes(part.column(0).to_pylist())
-            grams, place = np.unique(found, return_inverse=True)
             of = toxic[mine] if len(mine) else np.zeros(0, np.int64)
-            one = np.bincount(place, weights=of, minlength=len(grams)).astype(np.int64)
-            all_ = np.bincount(place, minlength=len(grams)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(one), pa.array(all_ - one)], names=["gram", "toxic", "plain"])
+            fresh.append(_added([(found, of, 1 - of)]))
+            size += len(fresh[-1][0])
+            if size > HELD_GRAMS // 4:
+                held, fresh, size = _added([held, *fresh]), [], 0
+                if len(held[0]) > HELD_GRAMS:
+                    yield rows(held)
+                    held = _no_counts()
+    yield rows(_added([held, *fresh]))
+
+
+def _no_counts():
+    return tuple(np.zeros(0, np.int64) for _ in range(3))
+
+
+def _added(tables):
+    """Tables of gram, toxic, plain as one with each gram once, in ascending order."""
+    grams, *counts = (np.concatenate(x) for x in zip(*tables, strict=True))
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+    return grams[first], *[np.add.reduceat(c[order], first) if len(first) else c for c in counts]
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
@@ -345,7 +370,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     texts = documents.select(F.col(key).alias("key"), "text").where(F.col("key").isNotNull() & (_remainder(F.col("key")) % 3 != 1))
     sample = _calibration(known.where(held), texts)
     learnt = known.join(F.broadcast(sample.select("key")), "key", "left_anti")
-    grams = keep(gram_counts(texts.join(learnt, "key").select("text", "toxic")))
+    # Labels grow with the table, so they are never sent whole: the join is the same at every size.
+    grams = keep(gram_counts(texts.join(learnt.hint("merge"), "key").select("text", "toxic")))
     sums = grams.agg(F.sum("toxic"), F.sum("plain"), F.count("*")).first()
     if not sums[0] or not sums[1]:
         return Model(None, None, None, None, 1.0 if sums[0] else 0.0)
