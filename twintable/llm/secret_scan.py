@@ -31,8 +31,12 @@ def find(text: str) -> list[tuple[int, int, int, int, str]]:
         out += [(m.start(), 1, m.end(), m.start(), m[0]) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [(m.start(), 2, m.end(), m.start(), m[0]) for m in _HEX.finditer(text)]
     taken = sorted((x[0], x[2]) for x in out)
+    at, furthest = 0, 0  # of the spans that begin before the run ends, the furthest end; runs come in order
     for m in _OPAQUE.finditer(text):
-        if all(p.search(m[0]) for p in _MIXED) and not any(a < m.end() and m.start() < b for a, b in taken):
+        while at < len(taken) and taken[at][0] < m.end():
+            furthest = max(furthest, taken[at][1])
+            at += 1
+        if furthest <= m.start() and all(p.search(m[0]) for p in _MIXED):
             out.append((m.start(), 3, m.end(), m.start(), m[0]))
     return sorted(out)
 
