@@ -56,8 +56,63 @@ def test_decoding_joins_pieces(spark, coder):
     assert bytes(got) == "über 🙂 all".encode()
 
 
+def test_long_words_equal_the_library(spark, coder):
+    rng = random.Random(5)
+    merges = byte_bpe.Merges(byte_bpe.load(byte_bpe.public_ranks()))
+    for _ in range(300):
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[: rng.choice([1, 2, 5, 26])]) for _ in range(rng.choice([2, 30, 400])))
+        assert merges.merge_long(word.encode()).tolist() == coder.encode_ordinary(word)
+    words = ["a" * 3000, "".join(rng.choice("etaoin") for _ in range(byte_bpe.LONG_BYTES + 1)), "é" * 400, "e" * byte_bpe.LONG_BYTES]
+    rows = [(i, f"{w} and {w} {w[:9]}") for i, w in enumerate(words)] + [(9, "w" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(df, "doc_id", "text", byte_bpe.public_ranks()).collect()}
+    assert got == {i: coder.encode_ordinary(t) for i, t in rows}
+
+
+def test_frequent_words_are_bounded(spark):
+    blocks = spark.createDataFrame([([f"w{i}" for i in range(2000)] + [f"only{b}"],) for b in range(3)] + [(["w1", "x" * 99],)] * 2, "words array<string>")
+    every = {r.word for r in byte_bpe.frequent_words(blocks).collect()}
+    assert every == {f"w{i}" for i in range(2000)}
+    some = {r.word for r in byte_bpe.frequent_words(blocks, 1000).collect()}
+    assert "w1" in some and some < every and 800 < len(some) <= 1000
+    assert byte_bpe.frequent_words(blocks.limit(0)).count() == 0
+
+
 # ---- secrets
 
+def test_opaque_runs_keep_clear_of_base_spans():
+    rng = random.Random(3)
+    parts = ["token=", "aB3", "f0" * 8, "AKIA" + "A1" * 8, " ", "Zq9" * 7, "=", "x", "."]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))
+        found = secret_scan.find(text)
+        base = [(a, b) for a, k, b, *_ in found if k < secret_scan.BASE]
+        runs = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text) if all(re.search(p, m[0]) for p in ("[a-z]", "[A-Z]", "[0-9]"))]
+        want = [(a, b) for a, b in runs if not any(c < b and a < d for c, d in base)]
+        assert [(a, b) for a, k, b, *_ in found if k == 3] == want
+    assert len(secret_scan.find(("token=" + "aB3" * 5 + " " + "Zq9" * 7 + " ") * 20_000)) == 40_000
+
+
+# ---- toxicity counts
+
+def test_gram_counts_equal_plain_counting(monkeypatch):
+    rng = random.Random(7)
+    rows = [("".join(rng.choice("abc d") for _ in range(200)), rng.randrange(2)) for _ in range(200)] + [(None, 1), ("", 0)]
+    want = [Counter(), Counter()]
+    for text, toxic in rows:
+        want[toxic].update(toxicity.codes([text])[0].tolist())
+    for held in (1_000_000, 50):
+        monkeypatch.setattr(toxicity, "HELD_GRAMS", held)
+        got = [Counter(), Counter()]
+        parts = [rows[i : i + 60] for i in range(0, len(rows), 60)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in p], pa.string()), pa.array([x for _, x in p])], names=["text", "toxic"]) for p in parts]
+        for batch in toxicity._count(batches):
+            for gram, toxic, plain in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                got[1][gram] += toxic
+                got[0][gram] += plain
+        assert [+c for c in got] == want
+
+
 def by_pattern(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
