@@ -151,3 +151,11 @@ def test_evaluation_survives_a_failing_generator(spark, goods, monkeypatch):
 def _all_fail(goods, roles, monkeypatch):
     monkeypatch.setitem(SAMPLERS, "broken_too", SAMPLERS["broken"])
     return evaluate_generators(goods, roles, {"broken": {}, "broken_too": {}})
+
+
+@pytest.mark.parametrize("name", ["bootstrap", "marginals"])
+def test_rows_are_not_sent_whole_to_tasks(spark, name):
+    real = spark.range(300).select(F.col("id").alias("a"), (F.col("id") % 7).cast("string").alias("b"))
+    made, _ = generate_table(real, name)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and made.count() == 300

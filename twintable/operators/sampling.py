@@ -20,7 +20,7 @@ from twintable.operators.counts import running_totals, value_counts
 from twintable.operators.network import BROADCAST_ROWS, BayesNetwork, PrivateBayesNetwork
 from twintable.operators.sampler import Sampler, draws, number_rows, seed_of
 from twintable.session import materialize
-from twintable.spec import numeric_columns
+from twintable.spec import column, numeric_columns
 
 
 class Bootstrap(Sampler):
@@ -33,7 +33,8 @@ class Bootstrap(Sampler):
         picked = draws(self.numbered.sparkSession, count).withColumn(
             "_row", uniform_index(F.lit(self.rows), seed, F.col("_id"))
         )
-        return picked.join(self.numbered, "_row")
+        # as Parquet the rows look small enough to be sent to every task
+        return picked.join(self.numbered.hint("merge"), "_row")
 
 
 class UniformDomain(Sampler):
@@ -102,7 +103,8 @@ class Marginals(Sampler):
         rows = draws(self.numbered.sparkSession, count)
         for f in self.schema:
             draw = uniform_index(F.lit(self.rows), seed_of(seed, f.name), F.col("_id"))
-            rows = rows.withColumn("_row", draw).join(self.numbered.select("_row", f.name), "_row").drop("_row")
+            # a column of the rows looks small enough as Parquet to be sent to every task, all of them at once
+            rows = rows.withColumn("_row", draw).join(self.numbered.select("_row", column(f.name)).hint("merge"), "_row").drop("_row")
         return rows
 
 
