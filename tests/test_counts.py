@@ -1,3 +1,6 @@
+import bisect
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -113,3 +116,24 @@ def test_summary_and_outliers(spark):
     assert found == {"v": 1, "net_weight": 1}
     assert [tuple(r) for r in range_flags(df).collect()] == [("net_weight", "negative_values_in_quantity_like_column")]
     assert iqr_outliers(df.limit(9)).count() == 0
+
+
+def test_upto_by_halving(spark):
+    marks = [-math.inf, -2.5, 0.0, 0.5, 7.0, 1e300]
+    values = [*marks, -3.0, 0.25, 8.0, math.inf, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for n in range(len(marks) + 1):
+        got = selection.count_upto(df, {"k": (selection.numbers_of(marks[:n]), F.col("x"), n)}).collect()
+        assert {r["x"]: r["k"] for r in got} == {v: 0 if v is None else bisect.bisect_right(marks[:n], v) for v in values}
+
+
+def test_quantiles_of_many_ranges(spark):
+    rows = [(i * i % 9973 / 7, float(i), -math.inf if i % 50 == 0 else i * 1e-300) for i in range(30000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(3)
+    probs = [i / 20 for i in range(21)]
+    for r in selection.exact_quantiles(df, ["a", "b", "c"], probs).collect():
+        own = sorted(row["abc".index(r["column"])] for row in rows)
+        for p, got in zip(probs, r[2:], strict=True):
+            at = p * (len(own) - 1)
+            low, high = own[math.floor(at)], own[math.ceil(at)]
+            assert got == (low if low == high else pytest.approx(low + (high - low) * (at - math.floor(at))))

@@ -164,3 +164,25 @@ def test_whole_numbers_over_the_whole_range(spark):
     df = spark.createDataFrame([(lo,), (hi,)], "x bigint")
     made = SAMPLERS["uniform_domain"]().fit(df).generate(50)
     assert made.dtypes == [("x", "bigint")] and made.distinct().count() > 40
+
+
+@pytest.mark.parametrize("dense, sparse", [(1 << 22, 1 << 20), (100, 1 << 20), (0, 40)])
+def test_entropies_with_cells_in_arrays_and_without(spark, monkeypatch, dense, sparse):
+    monkeypatch.setattr(network, "COUNTED_ROWS", 50)
+    monkeypatch.setattr(network, "DENSE_CELLS", dense)
+    monkeypatch.setattr(network, "SPARSE_CELLS", sparse)
+    rows = [("abcdefgh"[i % 8], "abcde"[i * i % 5], "abc"[i // 7 % 3]) for i in range(600)]
+    sets = [("x",), ("x", "y"), ("x", "y", "z")]
+    got = set_entropies(spark.createDataFrame(rows, "x string, y string, z string").coalesce(1), {c: list("abcdefgh") for c in "xyz"}, sets)
+    for s in sets:
+        assert got[s] == pytest.approx(entropy([tuple(r["xyz".index(c)] for c in s) for r in rows]))
+
+
+def test_draws_halve_the_codes(spark):
+    """Codes follow their shares, and no row looks at all codes of its column."""
+    rows = [(f"v{i % 300 if i % 2 else 0:03}", "ab"[i % 2]) for i in range(3000)]
+    fitted = BayesNetwork(structure=[("v", ()), ("k", ("v",))]).fit(spark.createDataFrame(rows, "v string, k string"))
+    made = fitted.generate(4000)
+    assert "lambdafunction" not in made._jdf.queryExecution().analyzed().toString()
+    counts = Counter(r["v"] for r in made.collect())
+    assert counts["v000"] == pytest.approx(2000, rel=0.1) and set(counts) <= {r[0] for r in rows}

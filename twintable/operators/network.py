@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from twintable.functions.noise import laplace, uniform, uniform_index
 from twintable.operators.counts import numeric_counts, running_totals, value_counts
 from twintable.operators.sampler import Sampler, draws, seed_of
-from twintable.operators.selection import exact_quantiles
+from twintable.operators.selection import count_upto, exact_quantiles, numbers_of
 from twintable.session import materialize
 from twintable.spec import column, feature_types
 
@@ -31,8 +31,12 @@ FREQUENT, BUCKETS = 256, 64
 #: Conditional tables up to this many rows go to every executor.
 BROADCAST_ROWS = 200_000
 SALTS = 32
+#: More partitions than there are: where a plan's compiled code ends and nothing moves.
+MANY = 1 << 20
 #: Rows whose column sets are counted together.
 COUNTED_ROWS = 1 << 16
+#: Cells whose counts a task keeps in arrays, and counts of other cells that it keeps.
+DENSE_CELLS, SPARSE_CELLS = 1 << 22, 1 << 20
 #: Code of a null.
 NULL = "\u0000"
 
@@ -58,12 +62,10 @@ class Coding:
             return [*null, *map(str, range(max(1, len(self.edges) - 1)))]
         return [*null, *[f"={v}" for v in self.values], *[f"#{b}" for b in range(self.buckets)]]
 
-    def code(self, text: Column, number: Column) -> Column:
+    def code(self, text: Column, number: Column, place: Column) -> Column:
+        """A value's code; of numbers ``place`` says how many inner edges they reach."""
         if self.edges:
-            place = F.when(number.isNull() | F.isnan(number), F.lit(NULL))
-            for i, edge in enumerate(self.edges[1:-1]):
-                place = place.when(number < edge, F.lit(str(i)))
-            return place.otherwise(F.lit(str(max(0, len(self.edges) - 2))))
+            return F.when(number.isNull() | F.isnan(number), F.lit(NULL)).otherwise(place.cast("string"))
         rare = F.concat(F.lit("#"), bucket(text, self.buckets).cast("string")) if self.buckets else F.lit(NULL)
         own = F.when(text.isin(list(self.values)), F.concat(F.lit("="), text)) if self.values else F.when(F.lit(False), text)
         return F.when(text.isNull(), F.lit(NULL)).otherwise(F.coalesce(own, rare))
@@ -98,50 +100,79 @@ def set_entropies(coded: DataFrame, codes: dict[str, list[str]], sets: Iterable[
     """Entropy (bits) of each of the given sets of columns, in one pass over ``coded``.
 
     ``codes`` lists each column's codes. A task counts the cells of all sets over a run of rows
-    at once, so a set costs a row no row of its own; one number for each set reaches the driver.
+    at once and adds up the runs, so a set costs a row no row of its own and a task sends a cell
+    once; of sets with too many cells for that it sends counts whenever it holds
+    ``SPARSE_CELLS`` of them. One number for each set reaches the driver.
     """
     sets = list(sets)
     if not sets:
         return {}
     used = sorted({c for s in sets for c in s})
 
+    sizes = [math.prod(len(codes[c]) for c in s) for s in sets]
+    dense, total = set(), 0
+    for i in sorted(range(len(sets)), key=sizes.__getitem__):
+        total += sizes[i]
+        if total > DENSE_CELLS:
+            break
+        dense.add(i)
+
     def counted(rows: pa.Table):
+        """``(set, cells, counts)`` of a run of rows."""
         index = {c: pc.index_in(rows.column(c), pa.array(codes[c])).to_numpy().astype(np.int64) for c in used}
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
-        held = 0
         for i, s in enumerate(sets):
-            cell, size = index[s[0]], len(codes[s[0]])
+            cell = index[s[0]]
             for c in s[1:]:
-                cell, size = cell * len(codes[c]) + index[c], size * len(codes[c])
-            if size <= 4 * len(cell):
-                n = np.bincount(cell, minlength=size)
+                cell = cell * len(codes[c]) + index[c]
+            if sizes[i] <= 4 * len(cell):
+                n = np.bincount(cell, minlength=sizes[i])
                 at = np.flatnonzero(n)
-                n = n[at]
+                yield i, at, n[at]
             else:
-                at, n = np.unique(cell, return_counts=True)
-            found.append((i, at, n))
-            held += len(at)
-            if held > COUNTED_ROWS or i == len(sets) - 1:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int32)),
-                        pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)),
-                        pa.array(np.concatenate([f[2] for f in found]).astype(np.int64)),
-                    ],
-                    names=["set", "cell", "n"],
-                )
-                found, held = [], 0
+                yield (i, *np.unique(cell, return_counts=True))
 
-    def run(batches):
+    def sent(i: int, at: np.ndarray, n: np.ndarray):
+        for start in range(0, len(at), COUNTED_ROWS):
+            part = slice(start, start + COUNTED_ROWS)
+            columns = [np.full(len(at[part]), i, np.int32), at[part].astype(np.int64), n[part].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["set", "cell", "n"])
+
+    def runs(batches):
         held, rows = [], 0
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
             if rows >= COUNTED_ROWS:
-                yield from counted(pa.Table.from_batches(held).combine_chunks())
+                yield pa.Table.from_batches(held).combine_chunks()
                 held, rows = [], 0
         if rows:
-            yield from counted(pa.Table.from_batches(held).combine_chunks())
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def run(batches):
+        whole = {i: np.zeros(sizes[i], np.int64) for i in dense}
+        sparse: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held = 0
+        for rows in runs(batches):
+            for i, at, n in counted(rows):
+                if i in dense:
+                    whole[i][at] += n
+                else:
+                    sparse.setdefault(i, []).append((at, n))
+                    held += len(at)
+                if held > SPARSE_CELLS:
+                    yield from added(sparse)
+                    sparse, held = {}, 0
+        yield from added(sparse)
+        for i, n in whole.items():
+            at = np.flatnonzero(n)
+            yield from sent(i, at, n[at])
+
+    def added(sparse):
+        for i, parts in sparse.items():
+            at, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            n = np.zeros(len(at), np.int64)
+            np.add.at(n, place, np.concatenate([p[1] for p in parts]))
+            yield from sent(i, at, n)
 
     cells = coded.select(*[column(c) for c in used]).mapInArrow(run, "set int, cell bigint, n bigint").groupBy("set", "cell").agg(F.sum("n").alias("n"))
     # H = log N - sum(n log n) / N
@@ -233,14 +264,17 @@ class BayesNetwork(Sampler):
         self.nodes = list(real.columns)
         self.codings = self._codings(real)
         self.wide = [c for c in self.nodes if self.codings[c].buckets]
+        binned = {c: self.codings[c].edges[1:-1] for c in self.nodes if self.codings[c].edges}
+        places = {f"_place_{c}": (numbers_of(edges), column(f"_number_{c}"), len(edges)) for c, edges in binned.items()}
+        placed = count_upto(real.withColumns({f"_number_{c}": column(c).cast("double") for c in binned}), places) if binned else real
         cells = []
         for c in self.nodes:
             text = as_text(real, c)
-            number = column(c).cast("double") if self.codings[c].edges else F.lit(None).cast("double")
-            cells.append(self.codings[c].code(text, number).alias(c))
+            number, place = (column(f"_number_{c}"), column(f"_place_{c}")) if c in binned else (F.lit(None), F.lit(None))
+            cells.append(self.codings[c].code(text, number, place).alias(c))
             if c in self.wide:
                 cells.append(text.alias(f"_text_{c}"))
-        return real.select(*cells)
+        return placed.select(*cells)
 
     def _codings(self, real: DataFrame) -> dict[str, Coding]:
         numeric, rest = feature_types(real, None)
@@ -292,9 +326,11 @@ class BayesNetwork(Sampler):
         fanned = coded.select(self._cells(enumerate(self.network)))
         return fanned.groupBy(*fanned.columns).agg(F.count(F.lit(1)).cast("double").alias("_n"))
 
-    def _conditionals(self, coded: DataFrame) -> dict[str, tuple[DataFrame, int]]:
+    def _conditionals(self, coded: DataFrame) -> dict[str, tuple[DataFrame, int, int]]:
         """Per node and parent codes: child codes with cumulative shares and counts.
 
+        With each node come the number of its rows and the most codes one of them has.
+
         A window or list holds the codes of one child, a bounded number.
         """
         keys = ["_node", *[f"_p{j}" for j in range(self.width)]]
@@ -304,12 +340,12 @@ class BayesNetwork(Sampler):
             *keys, "_value", (F.sum("_n").over(upto) / F.sum("_n").over(whole)).alias("_upto"), F.col("_n").cast("bigint").alias("_n")
         )
         steps = F.array_sort(F.collect_list(F.struct("_upto", "_value", "_n"))).alias("_steps")
-        packed = materialize(shares.groupBy(*keys).agg(steps))
-        sizes = {r["_node"]: r["k"] for r in packed.groupBy("_node").agg(F.count(F.lit(1)).alias("k")).collect()}
+        packed = materialize(shares.groupBy(*keys).agg(steps).withColumn("_uptos", F.col("_steps._upto")))
+        sizes = {r["_node"]: (r["k"], r["most"]) for r in packed.groupBy("_node").agg(F.count(F.lit(1)).alias("k"), F.max(F.size("_steps")).alias("most")).collect()}
         return {
             node.name: (
-                packed.where(F.col("_node") == i).select(*[f"_p{j}" for j in range(len(node.parents))], "_steps"),
-                sizes.get(i, 0),
+                packed.where(F.col("_node") == i).select(*[f"_p{j}" for j in range(len(node.parents))], F.struct("_steps", "_uptos").alias("_table")),
+                *sizes.get(i, (0, 0)),
             )
             for i, node in enumerate(self.network)
         }
@@ -328,24 +364,23 @@ class BayesNetwork(Sampler):
         return materialize(totals.select("_cell", places, F.col("value").alias("_text")))
 
     def _draw(self, rows: DataFrame, i: int, node: Node, seed: int) -> DataFrame:
-        table, size = self.tables[node.name]
+        table, size, most = self.tables[node.name]
         keys = [f"_p{j}" for j in range(len(node.parents))]
         u = uniform(seed_of(seed, node.name), F.col("_id"))
         table = table.withColumnsRenamed({k: f"_code_{p}" for k, p in zip(keys, node.parents, strict=True)})
         on = [f"_code_{p}" for p in node.parents]
         if not on:
             # a single row without parents becomes a value of the plan
-            steps = table.select("_steps").scalar()
-            joined = rows.withColumn("_steps", steps)
+            joined = rows.withColumn("_table", table.select("_table").scalar())
         elif size <= BROADCAST_ROWS:
             joined = rows.join(F.broadcast(table), on, "left")
         else:
             # a parent value may hold a third of the rows
             salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             joined = rows.withColumn("_salt", F.pmod("_id", F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], "left").drop("_salt")
-        hit = F.filter("_steps", lambda s: s.getField("_upto") > F.col("_u"))
-        step = F.coalesce(F.get(hit, F.lit(0)), F.element_at("_steps", -1))
-        drawn = joined.withColumn("_u", u).withColumn("_step", step)
+        # the first code whose share goes beyond u, the last one where rounding leaves none
+        placed = count_upto(joined.withColumn("_u", u), {"_place": (F.col("_table._uptos"), F.col("_u"), most)})
+        drawn = placed.withColumn("_step", F.get("_table._steps", F.least("_place", F.size("_table._steps") - 1)))
         more = [F.col("_step._value").alias(f"_code_{node.name}")]
         if node.name in self.wide:
             parents = [(F.col(f"_code_{node.parents[j]}") if j < len(node.parents) else F.lit("")).alias(f"_p{j}") for j in range(self.width)]
@@ -353,11 +388,12 @@ class BayesNetwork(Sampler):
             # Rows whose code is a value find nothing; their numbers spread them over tasks.
             at = F.when(F.col("_step._value").startswith("#"), uniform_index(F.col("_step._n"), seed_of(seed + 2, node.name), F.col("_id"))).otherwise(-1 - F.col("_id"))
             more += [cell.alias("_cell"), at.alias("_at")]
-        drawn = drawn.select(*rows.columns, *more)
+        # Without a stop after each node, all of them become one method, too long for the JVM to compile.
+        drawn = drawn.select(*rows.columns, *more).coalesce(MANY)
         if node.name not in self.wide:
             return drawn
         found = self.within.where(F.col("_cell._node") == i)
-        return drawn.join(found, ["_cell", "_at"], "left").withColumnRenamed("_text", f"_text_{node.name}").drop("_cell", "_at")
+        return drawn.join(found.hint("merge"), ["_cell", "_at"], "left").withColumnRenamed("_text", f"_text_{node.name}").drop("_cell", "_at")
 
     def _decode(self, name: str, seed: int) -> Column:
         edges, kind = self.codings[name].edges, self.schema[name].dataType

@@ -39,14 +39,37 @@ def _number(name: str) -> Column:
     return F.when(~F.isnan(x), x + F.lit(0.0))
 
 
-def _cell(x: Column, r: _Range, even: bool) -> Column:
+def count_upto(df: DataFrame, wanted: dict[str, tuple[Column, Column, int]]) -> DataFrame:
+    """Add a column for each name: how many numbers of a sorted array are at most a given one.
+
+    ``wanted`` has the array, the number, and how many numbers an array has at most. Each step
+    halves what is left in a projection of its own, so that expressions stay short whatever the
+    array's length; a long ``CASE`` is not compiled.
+    """
+    out = df.withColumns({name: F.lit(0) for name in wanted})
+    for level in reversed(range(max((most.bit_length() for _, _, most in wanted.values()), default=0))):
+        step = 1 << level
+        moved = {}
+        for name, (numbers, x, most) in wanted.items():
+            if most >= step:
+                at = F.col(f"`{name}`")
+                moved[name] = at + F.when(F.get(numbers, at + (step - 1)) <= x, F.lit(step)).otherwise(F.lit(0))
+        out = out.withColumns(moved)
+    return out
+
+
+def numbers_of(values: Sequence[float]) -> Column:
+    """Doubles as a constant array."""
+    return F.array(*[F.lit(float(v)) for v in values]) if values else F.array().cast("array<double>")
+
+
+def _cell(x: Column, low: Column, width: Column, even: bool) -> Column:
     """Cells 1 to ``CELLS`` over the finite part of a range, by distance or by its logarithm; infinite values around.
 
-    Half of each value is taken, so that the width of any range is finite. Both scales rise
-    with x and put the ends of a range into different cells.
+    Half of each value is taken, so that the width of any range is finite; ``low`` and ``width`` are
+    halves too. Both scales rise with x and put the ends of a range into different cells.
     """
-    low, high = max(r.low, -1.7976931348623157e308), min(r.high, 1.7976931348623157e308)
-    share = (x / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2) if high / 2 > low / 2 else F.lit(0.0)
+    share = F.when(width > 0, (x / 2 - low) / width).otherwise(F.lit(0.0))
     if not even:  # octaves above the lower end
         share = F.log2(share * float(2**60) + 1) / math.log2(2**60 + 1)
     place = F.least(F.floor(share * CELLS), F.lit(CELLS - 1)) + 1
@@ -57,18 +80,24 @@ def _cell(x: Column, r: _Range, even: bool) -> Column:
 def _counted(df: DataFrame, ranges: list[_Range], place, weight: str | None) -> DataFrame:
     """Values in any of ``ranges`` by range and ``place`` of them."""
     by_name: dict[str, list[tuple[int, _Range]]] = {}
-    for i, r in enumerate(ranges):
+    for i, r in sorted(enumerate(ranges), key=lambda r: r[1].low):  # ranges of a column don't overlap
         by_name.setdefault(r.name, []).append((i, r))
-    cells = []
-    for name, own in by_name.items():
-        x = _number(name)
-        found = F.when(F.lit(False), F.struct(F.lit(0).alias("range"), place(x, own[0][1]).alias("place"), x.alias("x")))
-        for i, r in own:  # ranges of a column don't overlap
-            found = found.when((x >= F.lit(r.low)) & (x <= F.lit(r.high)), F.struct(F.lit(i).alias("range"), place(x, r).alias("place"), x.alias("x")))
-        cells.append(found)
+    tables: dict[str, list[Column]] = {k: [] for k in ("ids", "lows", "highs", "starts", "widths")}
+    for own in by_name.values():
+        ends = [(max(r.low, -1.7976931348623157e308) / 2, min(r.high, 1.7976931348623157e308) / 2) for _, r in own]
+        tables["ids"].append(F.array(*[F.lit(i) for i, _ in own]))
+        tables["lows"].append(numbers_of([r.low for _, r in own]))
+        tables["highs"].append(numbers_of([r.high for _, r in own]))
+        tables["starts"].append(numbers_of([low for low, _ in ends]))
+        tables["widths"].append(numbers_of([high - low for low, high in ends]))
+    own = {k: F.get(F.array(*v), F.col("at")) for k, v in tables.items()}
+    more = [F.col(weight).alias("w")] if weight else []
+    long = df.select(F.posexplode(F.array(*[_number(c) for c in by_name])).alias("at", "x"), *more).where("x is not null")
+    found = count_upto(long, {"upto": (own["lows"], F.col("x"), max(len(r) for r in by_name.values()))})
+    held = found.select("x", *(["w"] if weight else []), *[F.get(v, F.col("upto") - 1).alias(k) for k, v in own.items()]).where(F.col("x") <= F.col("highs"))
     n = F.col("w") if weight else F.lit(1)
-    long = df.select(F.explode(F.array(*cells)).alias("c"), *([F.col(weight).alias("w")] if weight else [])).where("c is not null")
-    return long.groupBy("c.range", "c.place").agg(F.sum(n).cast("bigint").alias("n"), F.min("c.x").alias("low"), F.max("c.x").alias("high"))
+    placed = place(F.col("x"), F.col("starts"), F.col("widths")).alias("place")
+    return held.groupBy(F.col("ids").alias("range"), placed).agg(F.sum(n).cast("bigint").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
 def select_ranks(df: DataFrame, whole: dict[str, _Range], weight: str | None = None) -> dict[tuple[str, int], float]:
@@ -101,10 +130,10 @@ def select_ranks(df: DataFrame, whole: dict[str, _Range], weight: str | None = N
         if not large:
             break
         small = [r for r in open_ if r not in large]
-        open_ = small + narrowed(large, _counted(df, large, lambda x, r, even=even: _cell(x, r, even), weight))
+        open_ = small + narrowed(large, _counted(df, large, lambda x, low, width, even=even: _cell(x, low, width, even), weight))
         even = not even
     if open_:  # each value is a cell of its own now
-        for r in narrowed(open_, _counted(df, open_, lambda x, r: x, weight)):
+        for r in narrowed(open_, _counted(df, open_, lambda x, low, width: x, weight)):
             out |= {(r.name, k): r.low for k in r.ranks}
     return out
 
