@@ -323,7 +323,7 @@ def _(t):
 )
 def _(t):
     network = PrivateBayesNetwork(epsilon=1.0, delta=1e-6, public=False).fit(t.lineitem)
-    made = network.generate()
+    made = materialize(network.generate())
     flags = made.select(F.col("l_returnflag").alias("v")).union(made.select("l_linestatus")).where("v is not null").distinct()
     real = t.lineitem.select(F.col("l_returnflag").alias("v")).union(t.lineitem.select("l_linestatus")).distinct()
     strange = flags.join(real, "v", "left_anti").agg(F.count(F.lit(1)).cast("double").alias("value"))
