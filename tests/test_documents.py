@@ -1,6 +1,11 @@
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from twintable.operators.documents import carry_section, classify_lines, documents_to_maps, documents_to_table, explode_lines
+from twintable.functions.text import BLANK, WHITE, squish
+from twintable.operators.documents import carry_section, classify_lines, documents_to_maps, documents_to_table, explode_lines, tidy_text
 from twintable.operators import documents
 from twintable.operators.sheets import clean_sheet, clean_sheets, promote_header
 from twintable.plans.prepare import prepare_documents, prepare_inputs
@@ -114,3 +119,21 @@ def test_maps_have_all_names_and_all_documents(spark):
     cells = {r["file"]: r["cells"] for r in documents_to_maps(df).collect()}
     assert cells["wide"] == {f"document_header_k{i}": str(i) for i in range(12_000)}
     assert cells["none"] == cells["null"] == {} and cells["few"]["document_header_a"] == "1"
+
+
+def test_white_space_as_the_patterns_say(spark):
+    parts = [" ", "  ", "\t", "\n", "\r", "\r\n", "a", "1) b", " ", "　", "é", "\x0b", "\x1c", "\x85", " ", ":"]
+    draw = random.Random(1)
+    texts = ["".join(draw.choice(parts[: 8 if i % 2 else 16]) for _ in range(draw.randint(0, 20))) for i in range(4000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for r in df.select("t", squish(F.col("t")).alias("s"), tidy_text(F.col("t")).alias("y")).collect():
+        if r["t"] is None:
+            assert r["s"] is None and r["y"] is None
+            continue
+        assert r["s"] == (re.sub(f"[{WHITE}]+", " ", r["t"]).strip(" ") or None)
+        assert r["y"] == re.sub(" ?(?:\r\n|\r|\n) ?", "\n", re.sub(f"[{BLANK}]+", " ", r["t"]).strip(" "))
+
+
+def test_line_breaks_need_no_pattern(spark):
+    plan = spark.range(1).select(tidy_text(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "?:" not in plan and "octet_length" in plan

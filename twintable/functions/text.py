@@ -26,6 +26,7 @@ PLACEHOLDER = r"(?i)^\((enter|verify).*\)$"
 # flag for it makes every match several times slower.
 BLANK = r" \t\f\u000b\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = BLANK + r"\r\n"
+ASCII_TABS = r"\t\f\u000b\u001c\u001d\u001e\u001f"
 
 NUMBER = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))\s*$"
 WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
@@ -35,9 +36,24 @@ def missing_to_null(c: Column, tokens=NULL_TOKENS) -> Column:
     return F.when(~c.isin(*tokens), c)
 
 
+def single_spaced(c: Column, lines: bool = False) -> Column:
+    """Every run of white space as one space, line breaks only with ``lines``.
+
+    Single spaces are left where they are, and texts in ASCII are looked through with a set that
+    needs one table look-up a character.
+    """
+    breaks = r"\r\n" if lines else ""
+
+    def pattern(blank: str) -> str:
+        return f" [ {blank}{breaks}]+|[{blank}{breaks}][ {blank}{breaks}]*"
+
+    plain = F.regexp_replace(c, pattern(ASCII_TABS), " ")
+    return F.when(F.octet_length(c) == F.length(c), plain).otherwise(F.regexp_replace(c, pattern(BLANK[1:]), " "))
+
+
 def squish(c: Column) -> Column:
     """Trim and collapse white space; an empty result becomes null."""
-    return F.when(c.rlike(f"[^{WHITE}]"), F.trim(F.regexp_replace(c, f"[{WHITE}]+", " ")))
+    return F.nullif(F.trim(single_spaced(c, lines=True)), F.lit(""))
 
 
 def without_placeholder(c: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from twintable.functions.text import BLANK, PLACEHOLDER, slug, squish
+from twintable.functions.text import PLACEHOLDER, single_spaced, slug, squish
 from twintable.session import materialize
 
 # How the lines of a document are told apart.
@@ -58,8 +58,11 @@ def classify_lines(lines: DataFrame) -> DataFrame:
 
 def tidy_text(text: Column) -> Column:
     """A text whose lines are trimmed, single spaced and end in a line feed."""
-    spaced = F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
-    return F.regexp_replace(spaced, " ?(?:\r\n|\r|\n) ?", "\n")
+    lined = F.trim(single_spaced(text))
+    # spaces are single here, so a line break has at most one on either side
+    for found, put in (("\r\n", "\n"), ("\r", "\n"), (" \n", "\n"), ("\n ", "\n")):
+        lined = F.replace(lined, F.lit(found), F.lit(put))
+    return lined
 
 
 def explode_lines(df: DataFrame, file: str, text: str) -> DataFrame:
@@ -138,7 +141,7 @@ def merge_cells(cells: DataFrame) -> DataFrame:
         F.collect_list(F.when(~F.col("overwrite") & F.col("value").isNotNull(), piece)).alias("_added"),
     )
     start = F.coalesce(F.col("_last").getField("line_no"), F.lit(-1))
-    added = F.array_sort(F.filter("_added", lambda p: p.getField("line_no") > start))
+    added = F.sort_array(F.filter("_added", lambda p: p.getField("line_no") > start))
     base = F.array_compact(F.array(F.col("_last").getField("value")))
     texts = F.concat(base, F.transform(added, lambda p: p.getField("value")))
     return grouped.select("file", "name", squish(F.array_join(texts, JOINT)).alias("value"))
