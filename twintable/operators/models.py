@@ -10,7 +10,6 @@ from pyspark.ml.feature import IndexToString, OneHotEncoder, SQLTransformer, Str
 from pyspark.sql import DataFrame, functions as F
 
 from twintable.operators.nearest import fit_space
-from twintable.session import materialize
 from twintable.spec import feature_types
 
 TOP_FEATURES = 20
@@ -79,8 +78,6 @@ def fit_classifier(train: DataFrame, target: str, kind: str = "logreg", **option
     Numbers fill with the median and text with its most frequent value; text
     values unknown to ``train`` encode as all zeros.
     """
-    # read some twenty times from here on, and what makes it may be a join over long texts
-    train = materialize(train)
     numeric, categorical = feature_types(train, target)
     space = fit_space(train, target)
     fills = [f"coalesce(cast(`{c}` as double), {space.medians[c]!r}D) AS `_x_{c}`" for c in numeric]
