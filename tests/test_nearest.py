@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from twintable.operators import nearest
@@ -96,3 +97,53 @@ def test_distance_summary_weights(spark):
     df = spark.createDataFrame([(2, 1.0), (1, 4.0)], "n bigint, distance double")
     row = distance_summary(df, "side").first()
     assert (row["min"], row["median"], row["mean"]) == pytest.approx((1.0, 1.0, 2.0))
+
+
+@pytest.mark.parametrize("cell,pairs", [(8, 50), (1, 7), (64, 200_000)])
+def test_small_cells_and_few_pairs_at_a_time(spark, monkeypatch, cell, pairs):
+    monkeypatch.setattr(nearest, "CELL_ROWS", cell)
+    monkeypatch.setattr(nearest, "PAIRS", pairs)
+    rng = np.random.default_rng(23)
+    real, syn = make(rng, 300, 90), make(rng, 150, 40)
+    syn += [(0.0, 0.0, "new", "p"), (100.0, 100.0, "new", "other")]
+    r = spark.createDataFrame([(*row, "L") for row in real], SCHEMA)
+    s = spark.createDataFrame([(*row, "L") for row in syn], SCHEMA)
+    assert spread(nearest.synthetic_to_real(r, s, "label")) == pytest.approx(brute(real, syn, False))
+    assert spread(nearest.real_to_real(r, "label")) == pytest.approx(brute(real, real, True))
+
+
+def compared(n):
+    """Boxes looked at and rows compared for a row, where ``n`` rows differ in two numbers and two categories."""
+    rng = np.random.default_rng(3)
+    values = np.column_stack([rng.integers(0, 50, n), rng.random(n) * 900, rng.integers(0, 64, n), rng.integers(0, 25, n)]).astype(float)
+    deviations = [values[:, 0].std(), values[:, 1].std()]
+    pivots = values[rng.random(n) < nearest.CELL_PIVOTS / nearest.CELL_ROWS]
+    tree = nearest._halved(pivots, deviations, n / len(pivots))
+    cell, _ = tree.home(values)
+    names = ["a", "b", "c", "d"]
+    order = np.argsort(cell, kind="stable")
+    found, starts, rows = np.unique(cell[order], return_index=True, return_counts=True)
+    box = {f"{side}_{x}": by.reduceat(values[order, j], starts) for side, by in (("low", np.minimum), ("high", np.maximum)) for j, x in enumerate(names)}
+    tree = tree.with_boxes(pa.table({"cell": found, "rows": rows, **box}), names)
+    asked = values[:500]
+    weights = np.full((500, 2), 2.0)
+    members = dict(zip(found, np.split(values[order], starts[1:])))
+    bound = np.empty(500)
+    for i in range(500):
+        square = nearest._square_distances(asked[i : i + 1], weights[:1], members[cell[i]], deviations)
+        bound[i] = square[square > 0].min()
+    pairs = [(row, node) for rows_, nodes in tree.reached(asked, weights, bound, deviations) for row, node in zip(rows_, nodes)]
+    return len(pairs) / 500, sum(len(members[node]) for _, node in pairs) / 500
+
+
+def test_work_of_a_row_does_not_grow_with_the_table():
+    few, many = compared(40_000), compared(640_000)
+    assert many[0] < 2 * few[0] and many[1] < 2 * few[1]
+    assert many[1] < 20 * nearest.CELL_ROWS
+
+
+def test_unique_category_does_not_make_cells():
+    rng = np.random.default_rng(4)
+    sample = np.column_stack([rng.random(2000), np.arange(2000.0)])
+    tree = nearest._halved(sample, [sample[:, 0].std()], 100.0)
+    assert set(tree.column) == {-1, 0}
