@@ -70,6 +70,19 @@ def test_long_words_equal_the_library(spark, coder):
     assert got == {i: coder.encode_ordinary(t) for i, t in rows}
 
 
+def test_frequent_words_do_not_pass_the_driver(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"one two two häuser 東京 {i}") for i in range(40)], "doc_id long, text string").repartition(8)
+    want = Counter(tuple(r) for r in byte_bpe.token_digests(df, "doc_id", "text", byte_bpe.public_ranks()).collect())
+
+    def refuse(*_):
+        raise AssertionError("words on the driver")
+
+    monkeypatch.setattr(type(df), "toArrow", refuse)
+    small = byte_bpe.token_digests(df, "doc_id", "text", byte_bpe.public_ranks(), 64)
+    monkeypatch.undo()
+    assert Counter(tuple(r) for r in small.collect()) == want
+
+
 def test_frequent_words_are_bounded(spark):
     blocks = spark.createDataFrame([([f"w{i}" for i in range(2000)] + [f"only{b}"],) for b in range(3)] + [(["w1", "x" * 99],)] * 2, "words array<string>")
     every = {r.word for r in byte_bpe.frequent_words(blocks).collect()}

@@ -2,8 +2,8 @@
 
 Texts are cut into words by Spark's own regular expressions. Words are folded pair by pair in
 order of rank, by an expression over their bytes with the ranks as literals. The words that
-most blocks of documents have are folded once and sent to the executors, a table of bounded
-size; what a block has besides is folded with the block, each word once. So neither texts nor
+most blocks of documents have are folded once and written to the shared folder, a table of
+bounded size that tasks read; what a block has besides is folded with the block, each word once. So neither texts nor
 words are shuffled, and documents take the tokens of their words as the block passes by.
 """
 
@@ -17,22 +17,24 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from twintable.llm.common import keep, modest_batches, release
+from twintable.llm.common import keep, modest_batches, open_folder, release, scratch
 
 #: White space, and the pattern of words of the vocabulary, in Java's syntax.
 SPACE = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE}\\p{{L}}\\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Text bytes of a block of documents; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
-#: Frequent words that are sent to the executors: how many at most, and the most bytes of one.
+#: Frequent words that all tasks read: how many at most, and the most bytes of one.
 FREQUENT_WORDS, FREQUENT_BYTES = 500_000, 32
 #: Words of more bytes aren't folded, as a fold copies the word at each step, but merged in ``merge_long``.
 LONG_BYTES = 256
 #: Words of a block that are folded as one row.
 CHUNK = 2_000
+_IDS = pa.list_(pa.int32())
 #: Larger than any rank: the pair is no token.
 NONE = 1 << 30
 #: Slots of the literal rank map and of its displacements; primes whose product exceeds 2**32.
@@ -118,8 +120,8 @@ def encode_bytes(data: Column, ranks: Ranks) -> Column:
 
 
 def encode_words(words_: Column, ranks: Ranks) -> Column:
-    """Token ids of each word of an array, in its order."""
-    return _let(_tables(ranks), lambda t: F.transform(words_, lambda w: _fold(byte_values(w), t["slots"], t["shifts"], ranks)))
+    """Token ids of each word of an array, given as arrays of byte values, in its order."""
+    return _let(_tables(ranks), lambda t: F.transform(words_, lambda w: _fold(w, t["slots"], t["shifts"], ranks)))
 
 
 def _tables(ranks: Ranks) -> Column:
@@ -300,38 +302,57 @@ def frequent_words(blocks: DataFrame, most: int = FREQUENT_WORDS) -> DataFrame:
     return counts.where(taken).select("word")
 
 
-def _told_apart(frequent: pa.Table, merges: Merges):
-    """Rows of a block: words to fold, then tokens of long words, then its documents with the place of each word.
+@lru_cache(maxsize=2)
+def _frequent(path: str, column: str) -> pa.Array:
+    """A column of the frequent words, in the same order in every task."""
+    files, folder = open_folder(path)
+    found = sorted(i.path for i in files.get_file_info(FileSelector(folder)) if i.base_name.endswith(".parquet"))
+    parts = [pq.read_table(f, columns=[column], filesystem=files) for f in found]
+    kind = _IDS if column == "ids" else pa.string()
+    return pa.concat_arrays([c.cast(kind) for p in parts for c in p.column(column).chunks] or [pa.array([], kind)])
+
+
+def _values(words_: pa.StringArray) -> pa.ListArray:
+    """The bytes of each word in UTF-8 as numbers."""
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(words_).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    data = np.zeros(0, np.uint8)
+    if ends[-1]:
+        first = np.frombuffer(words_.buffers()[1], dtype=np.int32)[words_.offset]
+        data = np.frombuffer(words_.buffers()[2], dtype=np.uint8)[first : first + ends[-1]]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(data.astype(np.int32)))
+
+
+def _told_apart(path: str, merges: Merges):
+    """Rows of a block: words to fold as byte values, then tokens of long words, then its documents with the place of each word.
 
     Places count the frequent words first, then those to fold, then the long ones.
     """
 
-    known = frequent.column("word").combine_chunks()
-
     def row(keys=None, sizes=None, places=None, words_=None, given=None):
         columns = [
             pa.array([sizes], pa.list_(pa.int32())),
             pa.array([places], pa.binary()),
-            pa.array([[]], pa.list_(pa.string())) if words_ is None else pa.ListArray.from_arrays(pa.array([0, len(words_)], pa.int32()), words_),
+            pa.array([[]], pa.list_(_IDS)) if words_ is None else pa.ListArray.from_arrays(pa.array([0, len(words_)], pa.int32()), words_),
             pa.array([[] if given is None else [given]], pa.list_(pa.list_(pa.int32()))),
         ]
         keys = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
         return pa.RecordBatch.from_arrays([keys, *columns], names=["keys", "sizes", "places", "words", "given"])
 
     def run(batches):
+        known = _frequent(path, "word")
         for batch in batches:
             for i in range(batch.num_rows):
-                yield from rows(batch.column(0)[i].values, batch.column(1)[i].values, batch.column(2)[i].as_buffer(), batch.column(3)[i].values)
+                yield from rows(known, batch.column(0)[i].values, batch.column(1)[i].values, batch.column(2)[i].as_buffer(), batch.column(3)[i].values)
             release()
 
-    def rows(keys, sizes, places, words_):
+    def rows(known, keys, sizes, places, words_):
         place = pc.fill_null(pc.index_in(words_, value_set=known), -1).to_numpy().astype(np.int32)
         new = np.flatnonzero(place < 0)
         fresh = words_.take(pa.array(new))
         long = pc.binary_length(fresh).to_numpy(zero_copy_only=False) > LONG_BYTES
         order = np.argsort(long, kind="stable")
         place[new[order]] = len(known) + np.arange(len(new), dtype=np.int32)
-        fold = fresh.filter(pa.array(~long))
+        fold = _values(fresh.filter(pa.array(~long)))
         for start in range(0, len(fold), CHUNK):
             yield row(keys.slice(0, 0), words_=fold.slice(start, CHUNK))
         for i in np.flatnonzero(long):
@@ -342,8 +363,8 @@ def _told_apart(frequent: pa.Table, merges: Merges):
     return run
 
 
-def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Broadcast]:
-    """Rows of blocks in their order, with ``ids``, and the tokens of frequent words.
+def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
+    """Rows of blocks in their order, with ``ids``, and the folder of the frequent words with theirs.
 
     Blocks are written once with their distinct words. Then a block is rows of ``ids``, the
     tokens of words that aren't frequent, and one with keys, sizes and places of its documents
@@ -352,20 +373,20 @@ def encoded_blocks(df: DataFrame, key: str, text: str, ranks: Ranks, block_bytes
     """
     spark = df.sparkSession
     modest_batches(spark)
+    release()  # what building the ranks took
     # The literals are megabytes long as text; descriptions of plans on the driver end before that.
     spark.conf.set("spark.sql.maxPlanStringLength", 100_000)
     kind = dict(df.dtypes)[key]
     cut = df.select(F.col(key).alias("key"), words(F.col(text)).alias("words"))
     blocks = keep(cut.mapInArrow(_batches_of(block_bytes, _block), f"keys array<{kind}>, sizes array<int>, places binary, words array<string>"), "zstd")
     modest_batches(spark, 8)  # a row is a block
-    frequent = frequent_words(blocks).repartition(64).withColumn("ids", encode_bytes(byte_values(F.col("word")), ranks)).toArrow()
-    run = _told_apart(frequent.select(["word"]), Merges(ranks))
-    rows = blocks.mapInArrow(run, f"keys array<{kind}>, sizes array<int>, places binary, words array<string>, given array<array<int>>")
+    # Tasks read these words from the shared folder: through the driver they would be held there several times.
+    frequent = scratch(spark)
+    frequent_words(blocks).repartition(64).withColumn("ids", encode_bytes(byte_values(F.col("word")), ranks)).write.parquet(frequent)
+    run = _told_apart(frequent, Merges(ranks))
+    rows = blocks.mapInArrow(run, f"keys array<{kind}>, sizes array<int>, places binary, words array<array<int>>, given array<array<int>>")
     rows = rows.select("keys", "sizes", "places", F.concat(encode_words(F.col("words"), ranks), "given").alias("ids"))
-    return rows, spark.sparkContext.broadcast(frequent.column("ids").combine_chunks())
-
-
-_IDS = pa.list_(pa.int32())
+    return rows, frequent
 
 
 def _said(ids: pa.ListArray) -> pa.Array:
@@ -390,10 +411,10 @@ def _documents(batches):
             release()
 
 
-def _digests(frequent: Broadcast, hex_pieces: str):
+def _digests(frequent: str, hex_pieces: str):
     def run(batches):
         pieces = pa.array([bytes.fromhex(p) for p in hex_pieces.split(",")], pa.large_binary())
-        often = frequent.value.cast(_IDS)
+        often = _frequent(frequent, "ids")
         often_said = _said(often)
         for keys, ends, places, rest in _documents(batches):
             parts = max(1, -(-len(places) // 500_000))
@@ -439,9 +460,9 @@ def token_digests(df: DataFrame, key: str, text: str, path: str, block_bytes: in
     return out.withColumnRenamed("key", key)
 
 
-def _ids(frequent: Broadcast):
+def _ids(frequent: str):
     def run(batches):
-        often = frequent.value.cast(_IDS)
+        often = _frequent(frequent, "ids")
         for keys, ends, places, rest in _documents(batches):
             ids = pa.concat_arrays([often, rest])
             for start in range(len(keys)):

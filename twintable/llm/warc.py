@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow.fs import FileSystem, FileType
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twintable.llm.common import keep, utf8
+from twintable.llm.common import keep, open_folder, utf8
 
 #: Payload bytes of a range of pages, and compressed bytes after which a file ends.
 RANGE_BYTES, FILE_BYTES = 32 << 20, 16 << 20
@@ -36,12 +36,6 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _READ = 1 << 20
 
 
-def open_folder(uri: str) -> tuple[FileSystem, str]:
-    if uri.startswith("file:/"):
-        uri = "file:///" + uri[5:].lstrip("/")
-    return FileSystem.from_uri(uri)
-
-
 def base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
