@@ -291,6 +291,53 @@ def test_joined_tables_give_the_same_scores(spark, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == sum(r.score < 0.7 for r in got)
 
 
+def test_ratios_do_not_pass_the_driver(spark, monkeypatch):
+    """Tasks read the tables of ratios; a store that they can't open gives the same scores by a join."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    rows = [(i, " ".join([word() for _ in range(40)] + ["zgrx" + word()] * (i % 4 == 0))) for i in range(300)] + [(None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    kind, sent = type(docs), []
+    whole = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: sent.append(self.columns) or whole(self))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: pytest.fail("a broadcast from the driver"))
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model).select("doc_id", "score").collect()
+    assert [c[0] for c in sent] == ["toxic"]  # the rows that weigh the features
+    monkeypatch.setattr(toxicity, "_readable", lambda path: False)
+    again = toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", "score").collect()
+    of = lambda found: sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in found)
+    assert [k for k, _ in of(again)] == [k for k, _ in of(got)]
+    assert [x for _, x in of(again)] == pytest.approx([x for _, x in of(got)], abs=1e-6)
+
+
+def test_shared_backoff_by_hand(spark):
+    """Kneser-Ney from one character up to four, worked out in plain Python."""
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(30)) for _ in range(5)]
+    grams = {g for t in texts for g in toxicity.codes([t])[0].tolist()}
+    below, now, levels = {}, grams, []
+    for size in (4, 3, 2, 1):
+        n = defaultdict(int)
+        for g in now:
+            n[g & ((1 << 7 * size) - 1)] += 1
+        levels.append((size, n))
+        now = set(n)
+    for size, n in reversed(levels):
+        total, kinds = defaultdict(int), defaultdict(int)
+        for g, k in n.items():
+            total[g >> 7] += k
+            kinds[g >> 7] += 1
+        p = {}
+        for g, k in n.items():
+            less = below[g & ((1 << 7 * (size - 1)) - 1)] if size > 1 else 1 / 128
+            p[g] = max(k - 0.75, 0) / total[g >> 7] + 0.75 * kinds[g >> 7] / total[g >> 7] * less
+        below = p
+    got = {r.gram: r.p for r in toxicity.shared_backoff(spark.createDataFrame([(g,) for g in grams], "gram long")).collect()}
+    assert got.keys() == below.keys() and all(got[g] == pytest.approx(below[g], rel=1e-12) for g in got)
+
+
 def test_a_rare_gram_keeps_its_ratio_beside_a_frequent_one(spark):
     """Two words whose grams are equal modulo 8,388,593, one of them frequent in plain texts, the other rare and toxic."""
     rng = random.Random(4)

@@ -5,25 +5,28 @@ characters further on; where it hasn't seen what follows, both fall back on one
 distribution that they share. As the shared part cancels, the ratio of the two likelihoods
 depends on a character and what it is seen after alone: it is worked out once for each in
 Spark and looked up while scoring. The tables of these ratios are exact and grow with the
-corpus: small ones go to the executors, others are joined with what blocks of documents hold.
+corpus: tasks read small ones from the shared folder, others are joined with what blocks of documents hold.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from twintable.llm.common import keep, modest_batches, release, slices
+from twintable.llm.common import keep, modest_batches, open_folder, release, scratch, slices
 
 #: A character is seen after its whole word up to ``PREFIX`` characters, further on after ``ORDER`` - 1.
 ORDER, PREFIX = 5, 8
 BITS = 7
 DISCOUNT = 0.75
-#: With at most so many different grams the tables go to the executors, 12 bytes for each gram and context; both ways give the same scores.
+#: With at most so many different grams tasks read the whole tables, 12 bytes for each gram and context; both ways give the same scores.
 LOOKUP_GRAMS = 2_000_000
 #: Documents meet the ratios of their grams in blocks of so many bytes, a longer document alone; work goes by slices.
 BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 19
@@ -144,11 +147,13 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
     tables = []
     now = grams.select("gram")
     for size in range(ORDER - 1, 0, -1):
-        now = now.groupBy(_tail(F.col("gram"), size).alias("gram")).agg(F.count("*").alias("n"))
+        # Written down, as the next one comes from it too.
+        now = keep(now.groupBy(_tail(F.col("gram"), size).alias("gram")).agg(F.count("*").alias("n")))
         tables.append((size, now))
+    of_context = Window.partitionBy("context")  # a context has at most 2**BITS grams
     for size, now in reversed(tables):
-        context = now.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
-        own = now.withColumn("context", F.shiftright("gram", BITS)).join(context, "context")
+        own = now.withColumn("context", F.shiftright("gram", BITS))
+        own = own.select("*", F.sum("n").over(of_context).alias("all"), F.count("*").over(of_context).alias("kinds"))
         seen, rest = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("all"), F.lit(DISCOUNT) * F.col("kinds") / F.col("all")
         if below is None:
             below = own.select("gram", (seen + rest / float(1 << BITS)).alias("p"))
@@ -181,12 +186,14 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen, other
 
 
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in ascending order and their ratios; at most ``LOOKUP_GRAMS`` rows come to the driver."""
-    rows = df.toArrow()
-    keys = rows.column(0).to_numpy()
+def _arrays(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in ascending order and their ratios, of a table in the shared folder."""
+    files, folder = open_folder(path)
+    found = sorted(i.path for i in files.get_file_info(FileSelector(folder)) if i.base_name.endswith(".parquet"))
+    parts = [pq.read_table(f, filesystem=files) for f in found]
+    keys, values = (np.concatenate([np.zeros(0, kind), *[p.column(i).to_numpy() for p in parts]]) for i, kind in enumerate((np.int64, np.float32)))
     order = np.argsort(keys)
-    return keys[order], rows.column(1).to_numpy()[order]
+    return keys[order], values[order]
 
 
 def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -213,13 +220,30 @@ class Lookup:
         return np.nan_to_num(out.astype(np.float64))
 
 
+def _readable(path: str) -> bool:
+    """Whether tasks can open a folder by themselves."""
+    try:
+        open_folder(path)
+    except (OSError, ValueError):  # a store that only Spark knows
+        return False
+    return True
+
+
+@lru_cache(maxsize=1)
+def _lookup(grams: str, contexts: str) -> Lookup:
+    """The whole tables of a model, once for each Python worker; at most ``LOOKUP_GRAMS`` grams."""
+    out = Lookup(*_arrays(grams), *_arrays(contexts))
+    release()
+    return out
+
+
 @dataclass
 class Model:
-    """Tables of ratios, with few grams as arrays, and weights; ``share`` is the score of every text where a class has no texts."""
+    """Tables of ratios, with few grams their folders, and weights; ``share`` is the score of every text where a class has no texts."""
 
     seen: DataFrame | None
     other: DataFrame | None
-    lookup: Lookup | None
+    folders: tuple[str, str] | None
     weights: np.ndarray | None
     share: float
 
@@ -252,14 +276,14 @@ def features(texts: list[str | None], lookup: Lookup) -> np.ndarray:
 
 def _over(df: DataFrame, model: Model, fn, schema) -> DataFrame:
     """``fn(rows, lookup)`` over slices of rows with a ``text``, with the ratios of all grams in them."""
-    if model.lookup is None:
+    if model.folders is None:
         return _over_blocks(df, model, fn, schema)
-    sent = df.sparkSession.sparkContext.broadcast(model.lookup)
+    folders = model.folders
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                yield fn(part, sent.value)
+                yield fn(part, _lookup(*folders))
 
     return df.mapInArrow(run, schema)
 
@@ -287,7 +311,7 @@ def _block_grams(batches):
 
 
 def _over_blocks(df: DataFrame, model: Model, fn, schema) -> DataFrame:
-    """As ``_over``, where the tables are too large to send: the different grams of a block are joined with them.
+    """As ``_over``, where the tables are too large for a task: the different grams of a block are joined with them.
 
     A gram is there at most once for each run of rows of a block, so a frequent one is no hot
     key. A task holds a block and the ratios of its own grams.
@@ -376,8 +400,12 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     if not sums[0] or not sums[1]:
         return Model(None, None, None, None, 1.0 if sums[0] else 0.0)
     seen, other = ratios(grams)
-    if sums[2] <= LOOKUP_GRAMS:
-        model = Model(None, None, Lookup(*_arrays(seen), *_arrays(other)), None, 0.0)
+    folders = scratch(documents.sparkSession), scratch(documents.sparkSession)
+    if sums[2] <= LOOKUP_GRAMS and _readable(folders[0]):
+        # Tasks read these tables from the shared folder: through the driver they would be held there several times.
+        for rows, folder in zip((seen, other), folders, strict=True):
+            rows.write.parquet(folder)
+        model = Model(None, None, folders, None, 0.0)
     else:
         model = Model(keep(seen), keep(other), None, None, 0.0)
 
